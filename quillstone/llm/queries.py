@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name -> (module, function); modules are imported when the list is asked for.
 _QUERIES = {
+    "op8_exact_dedup": ("exact_dedup", "op8_exact_dedup"),
     "op10_mixing": ("mixing", "op10_mixing"),
 }
 

@@ -3,3 +3,8 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_exact_dedup"] = """
+select doc_id, max(doc_id) over w as keep_id, cast(count(*) over w as bigint) as group_size, doc_id = max(doc_id) over w as kept,
+  sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))"""
