@@ -8,3 +8,9 @@ ORACLES["op8_exact_dedup"] = """
 select doc_id, max(doc_id) over w as keep_id, cast(count(*) over w as bigint) as group_size, doc_id = max(doc_id) over w as kept,
   sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))"""
+
+ORACLES["op4_warc"] = """
+with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as n, sha256(coalesce(html, '')) as d from pages),
+r as (select *, min(page_id) over (partition by d) as f from p)
+select page_id, n as payload_bytes, d as payload_digest, case when n >= 100 and page_id <> f then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> f then f end as refers_to from r"""
