@@ -7,6 +7,7 @@ from importlib import import_module
 #: name -> (module, function); modules are imported when the list is asked for.
 _QUERIES = {
     "op4_warc": ("warc", "op4_warc"),
+    "op6_quality": ("quality", "op6_quality"),
     "op8_exact_dedup": ("exact_dedup", "op8_exact_dedup"),
     "op10_mixing": ("mixing", "op10_mixing"),
 }
