@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name -> (module, function); modules are imported when the list is asked for.
 _QUERIES = {
+    "op2_pii": ("pii", "op2_pii"),
     "op4_warc": ("warc", "op4_warc"),
     "op6_quality": ("quality", "op6_quality"),
     "op7_bpe": ("bpe", "op7_bpe"),
