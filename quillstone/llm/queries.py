@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op2_pii": ("pii", "op2_pii"),
     "op4_warc": ("warc", "op4_warc"),
+    "op5_toxicity": ("toxicity", "op5_toxicity"),
     "op6_quality": ("quality", "op6_quality"),
     "op7_bpe": ("bpe", "op7_bpe"),
     "op8_exact_dedup": ("exact_dedup", "op8_exact_dedup"),
