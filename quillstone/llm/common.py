@@ -110,3 +110,77 @@ def slices(lengths: np.ndarray, budget: int) -> list[tuple[int, int]]:
     if begin < len(lengths):
         out.append((begin, len(lengths)))
     return out
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: An odd base of the polynomial hash and its inverse modulo 2**64.
+_BASE = 0xD1342543DE82EF95
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BLOCK = 1 << 21
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        made = []
+        for base in (_BASE, _BASE_INVERSE):
+            steps = np.full(max(n, _BLOCK + 1), base, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                made.append(np.cumprod(steps))
+        _POWERS[:] = made
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    b = np.frombuffer(data, np.uint8)
+    word = np.concatenate(([False], ~_BLANK[b], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(b) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+        h = (sums[ends] - sums[begins]) * down[begins]
+        return finish(h + (ends - begins).astype(np.uint64) * _STEP), begins
+
+
+def hash_texts(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and where each text's words begin (one entry more than texts).
+
+    Words are hashed in numpy, by sums of powers over blocks of bytes that end at white space; no word objects are made.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n".join(raw) + b"\n"
+    if lower:
+        data = data.lower()
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + _BLOCK)
+        while stop < len(data) and not _BLANK[data[stop - 1]]:
+            stop += 1
+        h, begins = _hash_block(data[at:stop])
+        hashes.append(h)
+        places.append(begins + at)
+        at = stop
+    heads = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), heads)
+
+
+def batch_windows(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words of a batch, and which of them lie in one text."""
+    g = window_hashes(h, k)
+    fits = np.ones(len(g), bool)
+    for e in np.unique(bounds[1:]):
+        fits[max(0, e - k + 1) : e] = False
+    return g, fits
+
+
+def running(a: np.ndarray, n: int, of) -> np.ndarray:
+    """of (np.minimum, np.maximum) over each n consecutive values."""
+    if len(a) < n:
+        return a[:0]
+    span, out = 1, a
+    while span * 2 <= n:
+        out = of(out[:-span], out[span:])
+        span *= 2
+    return out if span == n else of(out[: -(n - span)], out[n - span :])

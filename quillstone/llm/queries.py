@@ -12,6 +12,7 @@ _QUERIES = {
     "op6_quality": ("quality", "op6_quality"),
     "op7_bpe": ("bpe", "op7_bpe"),
     "op8_exact_dedup": ("exact_dedup", "op8_exact_dedup"),
+    "op9_substring_dedup": ("substring_dedup", "op9_substring_dedup"),
     "op10_mixing": ("mixing", "op10_mixing"),
 }
 
