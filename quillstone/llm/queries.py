@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name -> (module, function); modules are imported when the list is asked for.
 _QUERIES = {
+    "op1_jaccard_join": ("jaccard_join", "op1_jaccard_join"),
     "op2_pii": ("pii", "op2_pii"),
     "op4_warc": ("warc", "op4_warc"),
     "op5_toxicity": ("toxicity", "op5_toxicity"),
