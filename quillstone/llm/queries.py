@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_jaccard_join": ("jaccard_join", "op1_jaccard_join"),
     "op2_pii": ("pii", "op2_pii"),
+    "op3_maxent_lm": ("maxent_lm", "op3_maxent_lm"),
     "op4_warc": ("warc", "op4_warc"),
     "op5_toxicity": ("toxicity", "op5_toxicity"),
     "op6_quality": ("quality", "op6_quality"),
