@@ -76,7 +76,7 @@ def _sizes(size: int):
                 sets = shingle_sets(texts, size)
                 ids += [set_id(s) for s in sets]
                 ns += [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "cid", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "text_hash", "cid", "n"])
 
     return run
 
@@ -328,10 +328,10 @@ def links(held: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> Dat
 
 
 def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK, owners: int | None = None) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, set_id, one row per row of docs."""
+    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, null as empty), set_id and root (a component's own id; null without shingles), one row per row of docs."""
     spark = docs.sparkSession
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(named.mapInArrow(_sizes(size), "doc_id long, cid long, n long"), "sets")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = written(named.mapInArrow(_sizes(size), "doc_id long, text_hash long, cid long, n long"), "sets")
     if owners is None:
         total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
         owners = min(60_000, max(n_parts(spark), -(-total // OWNER_SHINGLES)))
@@ -342,10 +342,10 @@ def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block: in
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     joined = classes.join(roots, F.col("cid") == F.col("id"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "least")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named_classes = joined.join(best, "root").select("cid", "component_id")
+    named_classes = joined.join(best, "root").select("cid", "component_id", "root")
     out = rows.join(named_classes, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("set_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", F.col("cid").alias("set_id"), "root")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_id")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -69,11 +69,11 @@ def balanced(sources: DataFrame, most: float, steps: int = STEPS) -> DataFrame:
     return sources.withColumn("rate", F.when((F.col("total") > 0) & (F.col("target") > 0), F.least(F.exp(multiplier), F.lit(float(most)))).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, slots: int = SLOTS) -> DataFrame:
-    """docs: doc_id, text, source. Returns doc_id, source, size, source_size, target, rate, copies, taken, one row per row of docs."""
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, slots: int = SLOTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text, source, and columns to carry along. Returns those, doc_id, source, size, source_size, target, rate, copies, taken, one row per row of docs."""
+    sized = written(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size")), "sizes")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")
-    rows = sized.select("doc_id", "source", "size", slot)
+    rows = sized.select("doc_id", "source", *carry, "size", slot)
     groups = written(rows.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n")), "groups")
     totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
     sources = written(balanced(source_targets(totals, weights, share, most), most).select("source", "total", "target", "rate"), "targets")
@@ -89,11 +89,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
     joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("slot") == F.col("_t")))
     i = F.col("_start") + F.col("_rank")
     copies = (F.floor(F.col("rate") * i + 0.5) - F.floor(F.col("rate") * (i - 1) + 0.5)).cast("long")
-    first = joined.withColumn("copies", copies).select("doc_id", "source", "size", "slot", F.col("total").alias("source_size"), "target", "rate", "copies")
-    return settled(written(first, "copies"))
+    first = joined.withColumn("copies", copies).select("doc_id", "source", *carry, "size", "slot", F.col("total").alias("source_size"), "target", "rate", "copies")
+    return settled(written(first, "copies"), carry)
 
 
-def settled(rounded: DataFrame) -> DataFrame:
+def settled(rounded: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rounds a few of each source's smallest documents the other way (a copy stays the floor or ceiling of the rate), as many as fit in what is missing from, or over, its target."""
     taken = F.col("copies") * F.col("size")
     miss = rounded.groupBy("source").agg((F.max("target") - F.sum(taken)).alias("_miss"))
@@ -101,16 +101,21 @@ def settled(rounded: DataFrame) -> DataFrame:
     up = (F.col("_miss") > 0) & (F.col("copies") < F.ceil("rate"))
     down = (F.col("_miss") < 0) & (F.col("copies") > F.floor("rate"))
     rows = rows.withColumn("_may", (F.col("size") > 0) & (up | down))
-    groups = rows.filter("_may").groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("_n"), F.max("_miss").alias("_room"))
-    ascending = Window.partitionBy("source").orderBy("size", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.abs("_room") - F.coalesce(F.sum(F.col("size") * F.col("_n")).over(ascending), F.lit(0))
+    groups = written(rows.filter("_may").groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("_n"), F.max("_miss").alias("_room")), "movable")
+    ascending = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = groups.groupBy("source", "size").agg(F.sum("_n").alias("_m")).withColumn("_under", F.coalesce(F.sum(F.col("size") * F.col("_m")).over(ascending), F.lit(0)))
+    sizes = sizes.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "_under")
+    within = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_in", F.coalesce(F.sum(F.col("size") * F.col("_n")).over(within), F.lit(0)))
+    groups = groups.join(sizes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
+    left = F.abs("_room") - F.col("_under") - F.col("_in")
     groups = groups.withColumn("_turn", F.least(F.col("_n"), F.floor(left / F.col("size")))).filter("_turn > 0")
     groups = groups.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("slot").alias("_t"), "_turn")
     rank = F.row_number().over(Window.partitionBy("source", "size", "slot", "_may").orderBy("doc_id"))
     rows = rows.withColumn("_rank", rank).join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("slot") == F.col("_t")), "left")
     turned = F.col("_may") & (F.col("_rank") <= F.coalesce(F.col("_turn"), F.lit(0)))
     rows = rows.withColumn("copies", F.col("copies") + F.when(turned, F.signum("_miss").cast("long")).otherwise(F.lit(0)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.alias("taken"))
+    return rows.select("doc_id", "source", *carry, "size", "source_size", "target", "rate", "copies", taken.alias("taken"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

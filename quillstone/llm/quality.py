@@ -86,7 +86,7 @@ _MEASURED = "doc_id long, source string, body long, n_words long, word_chars lon
 
 
 def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs: doc_id, text, source. Returns doc_id, text_hash, the measures, base_failed, n_boilerplate_words and kept, one row per row of docs."""
+    """docs: doc_id, text, source. Returns doc_id, source, text_hash, the measures, base_failed, n_boilerplate_words and kept, one row per row of docs."""
     named = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
     rows = written(named.mapInPandas(_measure, _MEASURED).withColumn("row", F.monotonically_increasing_id()), "lines")
     hosts = rows.groupBy("source", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -99,7 +99,7 @@ def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int =
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     depleted = (F.col("n_boilerplate_words") > 0) & ((left < least_words) | (left < F.col("n_words") * least_share))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).withColumnRenamed("body", "text_hash").drop("row", "lost", "source")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).withColumnRenamed("body", "text_hash").drop("row", "lost")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
