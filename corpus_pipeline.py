@@ -1,15 +1,27 @@
-"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, mixing, BPE."""
+"""The corpus pipeline: quality rules, exact dedup, near-duplicate join, mixing to target weights, BPE."""
 
 from __future__ import annotations
 
-#: (name, function) pairs; each function takes (spark, docs, sf_dir).
-STAGES = []
+from quillstone.llm import stages
+from quillstone.llm.common import written
 
+#: (name, function) pairs; each function takes (spark, docs, sf_dir) and works on all its predecessor kept.
+STAGES = [
+    ("quality rules", stages.quality_rules),
+    ("exact dedup", stages.exact_copies),
+    ("n-gram jaccard join", stages.near_copies),
+    ("source mixing", stages.source_mix),
+    ("bpe round trip", stages.bpe_round_trip),
+]
+
+#: The near-duplicate and BPE stages are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-    return docs
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{k}")
+    return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
