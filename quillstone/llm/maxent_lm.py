@@ -11,7 +11,7 @@ share of the class, smoothed by `ALPHA` as the base model is. Frequent words, th
    training documents from common weights, and the weights come back as token-weighted means, block by block, in two levels. The
    rounds' documents are disjoint and together all training documents.
 3. Scoring. Whole texts are scored in numpy batches. Counts of frequent words are at hand; those of all others are asked of their
-   owners, who answer with sums per text.
+   owners, who answer each piece of texts with sums per text.
 
 Sent to every task: the frequent words and the weights, both of fixed size. Edge cases: null and empty texts are one end token; texts are
 read whole; equal texts have equal scores and are asked for once per batch; repeated rows come back each; a null doc_id is held
@@ -21,6 +21,7 @@ are ignored, whatever their names. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,6 +224,7 @@ def _ask(lexicon: Lexicon, owners: int):
             keys, at = np.array(list(first), np.int64), 0
             for texts in _slices(list(first.values())):
                 own_keys = keys[at : at + len(texts)]
+                piece = int.from_bytes(hashlib.blake2b(own_keys.tobytes(), digest_size=8).digest(), "little", signed=True)
                 at += len(texts)
                 tok, bounds = tokens(texts)
                 who = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))
@@ -238,35 +240,38 @@ def _ask(lexicon: Lexicon, owners: int):
                 for o in np.flatnonzero(np.diff(cuts)):
                     s = slice(cuts[o], cuts[o + 1])
                     local, back = np.unique(who[s], return_inverse=True)
-                    rows.append((int(o), own_keys[local].tobytes(), tok[s].tobytes(), back.astype("<u4").tobytes(), times[s].astype("<u4").tobytes()))
+                    rows.append((int(o), piece, own_keys[local].tobytes(), tok[s].tobytes(), back.astype("<u4").tobytes(), times[s].astype("<u4").tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["owner", "ths", "asked", "who", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["owner", "piece", "ths", "asked", "who", "times"])
 
     return run
 
 
 def _tell(asked: pa.Table, vocab: pa.Table) -> pa.Table:
-    """An owner's answers: for each text the sum of log10(count + ALPHA) over the asked tokens, and how many are known."""
-    names = ["th", "part", "known"]
-    if not asked.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
-    ths, words, times = [], [], []
-    for keys, a, who, t in zip(*(asked.column(c).to_pylist() for c in ("ths", "asked", "who", "times")), strict=True):
-        ths.append(np.frombuffer(keys, np.int64)[np.frombuffer(who, "<u4")])
-        words.append(np.frombuffer(a, np.uint64))
-        times.append(np.frombuffer(t, "<u4"))
-    ths, words, times = np.concatenate(ths), np.concatenate(words), np.concatenate(times).astype(np.int64)
-    order = np.lexsort((words, ths))
-    ths, words, times = ths[order], words[order], times[order]
-    new = np.concatenate(([True], (ths[1:] != ths[:-1]) | (words[1:] != words[:-1])))  # a text asked for by several batches counts once
-    ths, words, times = ths[new], words[new], times[new]
-    counts = np.zeros(len(words), np.int64)
-    if vocab.num_rows:
-        h, c = np.frombuffer(vocab.column("hashes")[0].as_py(), np.uint64), np.frombuffer(vocab.column("counts")[0].as_py(), np.int64)
-        at = np.minimum(np.searchsorted(h, words), len(h) - 1)
-        counts = np.where(h[at] == words, c[at], 0)
-    heads = np.flatnonzero(np.concatenate(([True], ths[1:] != ths[:-1])))
-    return pa.table([pa.array(ths[heads]), pa.array(np.add.reduceat(times * np.log10(counts + ALPHA), heads)), pa.array(np.add.reduceat(times * (counts > 0), heads))], names=names)
+    """An owner's answers, one row for each request: for each text the sum of log10(count + ALPHA) over the asked tokens, and how many are known."""
+    rows = []
+    h = np.frombuffer(vocab.column("hashes")[0].as_py(), np.uint64) if vocab.num_rows else np.zeros(0, np.uint64)
+    c = np.frombuffer(vocab.column("counts")[0].as_py(), np.int64) if vocab.num_rows else np.zeros(0, np.int64)
+    for owner, piece, keys, words, who, times in zip(*(asked.column(x).to_pylist() for x in ("owner", "piece", "ths", "asked", "who", "times")), strict=True):
+        words, who, times = np.frombuffer(words, np.uint64), np.frombuffer(who, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
+        counts = np.zeros(len(words), np.int64)
+        if len(h):
+            at = np.minimum(np.searchsorted(h, words), len(h) - 1)
+            counts = np.where(h[at] == words, c[at], 0)
+        n = len(keys) // 8
+        part = np.bincount(who, times * np.log10(counts + ALPHA), n)
+        known = np.bincount(who, times * (counts > 0), n).astype(np.int64)
+        rows.append((piece, owner, keys, part.tobytes(), known.tobytes()))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["piece", "owner", "ths", "part", "known"])
+
+
+def _gather(answers: pa.Table) -> pa.Table:
+    """Sums the owners' answers to one piece of texts, which is asked once of each owner however often it occurs."""
+    each = {o: x for o, *x in zip(*(answers.column(c).to_pylist() for c in ("owner", "ths", "part", "known")), strict=True)}
+    ths, part, known = (np.concatenate([np.frombuffer(each[o][i], t) for o in sorted(each)]) for i, t in enumerate((np.int64, np.float64, np.int64)))
+    u, back = np.unique(ths, return_inverse=True)
+    return pa.table([pa.array(u), pa.array(np.bincount(back, part, len(u))), pa.array(np.bincount(back, known, len(u)).astype(np.int64))], names=["th", "part", "known"])
 
 
 def held_out(doc_id) -> object:
@@ -309,9 +314,10 @@ def scored(docs: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None)
             at = row["block"] * len(weights) // BLOCKS
             weights[at : at + len(weights) // BLOCKS] += np.frombuffer(row["move"], np.float32).reshape(-1, CLASSES)
     rows = named.mapInArrow(_score(lexicon, weights, bias, scale), f"doc_id {kind}, held_out boolean, th long, n_tokens long, class_part double, own_part double, own_known long")
-    asked = named.select("th", "text").mapInArrow(_ask(lexicon, owners), "owner int, ths binary, asked binary, who binary, times binary")
-    told = asked.groupBy("owner").cogroup(vocab.select("owner", "hashes", "counts").groupBy("owner")).applyInArrow(_tell, "th long, part double, known long")
-    told = told.groupBy("th").agg(F.sum("part").alias("part"), F.sum("known").alias("known"))
+    asked = named.select("th", "text").mapInArrow(_ask(lexicon, owners), "owner int, piece long, ths binary, asked binary, who binary, times binary")
+    told = asked.groupBy("owner").cogroup(vocab.select("owner", "hashes", "counts").groupBy("owner")).applyInArrow(_tell, "piece long, owner int, ths binary, part binary, known binary")
+    told = told.groupBy("piece").applyInArrow(_gather, "th long, part double, known long")
+    told = told.groupBy("th").agg(F.max("part").alias("part"), F.max("known").alias("known"))  # a text in several pieces has the same sums in each
     counts = F.col("own_part") + F.coalesce("part", F.lit(0.0))
     base = float(np.log10(n + ALPHA * (v + 1)))
     none = F.lit(n == 0)
