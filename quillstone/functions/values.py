@@ -19,11 +19,16 @@ def variant(canonical: Column) -> Column:
 
 def step(key: str | int) -> str:
     """One step of a path."""
-    return f"$[{key}]" if isinstance(key, int) else "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    if isinstance(key, int):
+        return f"$[{key}]"
+    quote = "'" if "'" not in key else '"'
+    return f"$[{quote}{key}{quote}]"
 
 
 def find(v: Column, key: str | int) -> Column:
-    """The member or element, null if absent."""
+    """The member or element, null if absent. A key that no path can hold is looked up in the object's map."""
+    if isinstance(key, str) and (not key or "\\" in key or "]" in key or ("'" in key and '"' in key)):
+        return F.try_element_at(as_object(v), F.lit(key))
     return F.try_variant_get(v, step(key), "variant")
 
 
