@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,12 +139,26 @@ def code_points(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
+def decoded_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """decode_all as arrays; valid data is decoded at once."""
+    try:
+        v = points(data.decode("utf-8")).astype(np.int32)
+        return v, (1 + (v >= 0x80) + (v >= 0x800) + (v >= 0x10000)).astype(np.int32), np.ones(len(v), bool)
+    except UnicodeDecodeError:
+        v, n, ok = zip(*decode_all(data), strict=True)
+        return np.array(v, np.int32), np.array(n, np.int32), np.array(ok, bool)
+
+
 def utf8_decoded(data: Column) -> Column:
     """array of struct(value, length, valid) over the characters of a binary."""
 
-    @F.pandas_udf("array<struct<value int, length int, valid boolean>>")
-    def run(blobs: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else [{"value": v, "length": n, "valid": ok} for v, n, ok in decode_all(bytes(b))] for b in blobs], dtype=object)
+    @F.arrow_udf("array<struct<value int, length int, valid boolean>>")
+    def run(blobs: pa.Array) -> pa.Array:
+        each = [decoded_arrays(b) if b is not None else None for b in blobs.to_pylist()]
+        held = [e for e in each if e is not None]
+        cuts = np.concatenate(([0], np.cumsum([0 if e is None else len(e[0]) for e in each])))
+        columns = [pa.array(np.concatenate([e[i] for e in held]) if held else [], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns, ["value", "length", "valid"]), mask=pa.array([e is None for e in each]))
 
     return run(data)
 

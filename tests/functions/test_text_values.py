@@ -34,12 +34,18 @@ def test_decode(data, out):
     assert unicode16.decode_all(data) == out
 
 
+@pytest.mark.parametrize("data", [b"", "aé€😀".encode(), b"a\xffb\xe2\x82", b"\xed\xa0\x80"])
+def test_decoded_arrays(data):
+    assert list(zip(*(x.tolist() for x in unicode16.decoded_arrays(data)), strict=True)) == unicode16.decode_all(data)
+
+
 def test_encode():
     for c in (0, 0x7F, 0x80, 0x7FF, 0x800, 0xFFFF, 0x10000, 0x10FFFF):
         assert unicode16.encode_point(c) == chr(c).encode("utf-8", "surrogatepass")
 
 
 def test_utf8_columns(spark):
+    assert [r[0] for r in spark.createDataFrame([(None,), (b"",)], "b binary").select(unicode16.utf8_decoded(F.col("b"))).collect()] == [None, []]
     df = spark.createDataFrame([("a😀b", b"a\xff", [97, 0x20AC])], "t string, b binary, c array<int>")
     r = df.select(unicode16.code_points(F.col("t")).alias("p"), unicode16.utf8_decoded(F.col("b")).alias("d"), unicode16.utf8_encoded(F.col("c")).alias("e"), unicode16.category_counts(F.col("t")).alias("n")).first()
     assert list(r.p) == [97, 128512, 98] and [tuple(x) for x in r.d] == [(97, 1, True), (255, 1, False)] and bytes(r.e) == "a€".encode() and [tuple(x) for x in r.n] == [("Ll", 2), ("So", 1)]
