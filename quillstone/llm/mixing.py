@@ -72,7 +72,7 @@ def balanced(sources: DataFrame, most: float, steps: int = STEPS) -> DataFrame:
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, slots: int = SLOTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text, source, and columns to carry along. Returns those, doc_id, source, size, source_size, target, rate, copies, taken, one row per row of docs."""
     sized = written(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size")), "sizes")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")
+    slot = F.coalesce(F.pmod(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(slots)), F.lit(0)).alias("slot")
     rows = sized.select("doc_id", "source", *carry, "size", slot)
     groups = written(rows.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n")), "groups")
     totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))

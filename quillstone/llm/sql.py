@@ -14,3 +14,57 @@ with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as n, sha2
 r as (select *, min(page_id) over (partition by d) as f from p)
 select page_id, n as payload_bytes, d as payload_digest, case when n >= 100 and page_id <> f then 'revisit' else 'response' end as record_type,
   case when n >= 100 and page_id <> f then f end as refers_to from r"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op1_jaccard_join"] = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+r as (select doc_id as x, doc_id as y from d union select r.x, l.y from r join l on l.x = r.y)
+select doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (doc_id) join (select x as doc_id, min(y) as component_id from r group by x) using (doc_id)"""
+
+ORACLES["op6_quality"] = rf"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t, {_WORDS} as w from documents),
+win as (select r, i, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) > 4)),
+rep as (select r, i from win qualify count(*) over (partition by r, g) > 1),
+cov as (select r, count(distinct i + k) as n from rep, range(0, 5) s(k) group by r),
+lin as (select r, source, t, l, regexp_replace(regexp_replace(lower(trim(l)), '\s+', ' ', 'g'), '\d+', '0', 'g') as norm, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n
+  from (select r, source, t, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup as (select r, count(*) - count(distinct l) as n from lin group by r),
+held as (select source, norm, count(distinct t) as c from lin group by 1, 2 having c > 100),
+host as (select source, count(distinct t) as c from d group by 1),
+lost as (select r, sum(n) as n from lin join (select held.source, norm from held join host on held.source is not distinct from host.source where held.c > 0.02 * host.c) h
+  on lin.source is not distinct from h.source and lin.norm = h.norm group by r),
+m as (select d.r, doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(dup.n, 0) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as n_boilerplate_words
+  from d left join dup using (r) left join cov using (r) left join lost using (r)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_words - n_boilerplate_words as rest from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_boilerplate_words,
+  not base_failed and not (n_boilerplate_words > 0 and (rest < 10 or rest < 0.2 * n_words)) as kept from f"""
+
+ORACLES["op9_substring_dedup"] = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) > 49)),
+gone as (select distinct doc_id, i + k as p from (select doc_id, i from win qualify min(doc_id) over (partition by g) < doc_id), range(0, 50) s(k)),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from word anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+ORACLES["op10_mixing"] = rf"""
+with d as (select row_number() over () as r, doc_id, source, len({_WORDS}) as size, coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 4) as integer) % 512, 0) as slot from documents),
+s as (select source, sum(size) as total, row_number() over (order by encode(source) nulls last) - 1 as place from d group by source),
+w as (select *, case place % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight, 2.0::double * total as cap, 1.5::double * sum(total) over () as asked from s),
+o as (select *, (asked - coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, place rows between current row and unbounded following) as level,
+  row_number() over (order by cap / weight, place) as k from w),
+v as (select coalesce(arg_min(level, k) filter (where level <= cap / weight), 1e300) as level from o),
+t as (select source, cast(total as bigint) as total, least(cap, weight * v.level) as target, case when total > 0 then least(2.0, least(cap, weight * v.level) / total) else 0.0 end as rate from w, v),
+k as (select d.*, total, target, rate, row_number() over (partition by d.source order by size, slot, doc_id) as i from d join t on d.source is not distinct from t.source),
+c as (select *, cast(floor(rate * i + 0.5) - floor(rate * (i - 1) + 0.5) as bigint) as copies from k),
+m as (select *, target - sum(copies * size) over (partition by source) as miss from c),
+e as (select *, size > 0 and ((miss > 0 and copies < ceil(rate)) or (miss < 0 and copies > floor(rate))) as may from m),
+z as (select *, sum(case when may then size else 0 end) over (partition by source order by size, slot, doc_id rows unbounded preceding) as used from e),
+f as (select *, copies + case when may and used <= abs(miss) then cast(sign(miss) as bigint) else 0 end as n from z)
+select doc_id, size, total as source_size, target, n * size as taken, source, n as copies from f"""
