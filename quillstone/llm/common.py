@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,19 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
         if held:
             return held
         named = tempfile.mkdtemp(prefix="quillstone-shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it back."""
+    """Cuts lineage: writes df as a table in the shared folder and reads it back. release() deletes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillstone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> int:
+    """How many tables written() has made and release() has not deleted: a mark for release()."""
+    return len(_TABLES)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables written after a mark, but for the last `keep`. Results that still read them must have been written elsewhere."""
+    gone = _TABLES[since : len(_TABLES) - keep]
+    del _TABLES[since : len(_TABLES) - keep]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in gone:
+        p = hadoop(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

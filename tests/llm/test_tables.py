@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import mixing, stages, warc
-from quillstone.llm.common import shared_dir, written
+from quillstone.llm.common import release, shared_dir, tables, written
 from tests.llm.fixtures import counted, documents, empty, plain
 from tests.llm.test_dedup import similar
 from tests.llm.test_texts import measured
@@ -117,3 +117,12 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.filter(F.col("n_tokens") > 0).count() > 100
+
+
+def test_release(spark):
+    mark = tables()
+    a, b = written(spark.range(3), "a"), written(spark.range(4), "b")
+    release(spark, mark, keep=1)
+    assert tables() == mark + 1 and b.count() == 4
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(a.inputFiles()[0])
