@@ -4,6 +4,9 @@ Documents are sets of distinct 5-word shingles, as 64-bit hashes. Two link if th
 
 1. Exchange. Every document's hashes go to owners by hash range, as arrays; equal sets are one class and are sent once a batch. An owner
    counts in how many classes a shingle occurs (its list's length) and drops those of a single class: no link needs them.
+   Shingles that a sample shows in more than `HEAVY_SHARE` of all classes (a list of bounded size) go round the owners: they count as the
+   longest lists and are sent straight to where a class is put together, so no owner gets a list of a third of all classes. The
+   sample settles an order and a route only; every shingle is compared whichever way it went.
 2. Shingles are ordered by (list length, hash), rarest first. A class of n shingles needs T = ceil(percent * n) in common with any
    partner, so partners meet in the first n - T + 1 of both. Classes meeting there form blocks (components of that coarse graph).
 3. In a block each class is a T-occurrence query: its L longest inverted lists are set aside, the short ones are merged, classes with
@@ -38,6 +41,9 @@ OWNER_SHINGLES, BLOCK, PIVOTS = 3_000_000, 3_000, 4
 #: DivideSkip's balance between merging and probing.
 MU = 0.02
 _LOW = np.uint64((1 << 48) - 1)
+#: Classes looked at for heavy shingles; a heavy one is in at least this share of them, and in so many.
+SAMPLE, HEAVY_SHARE, HEAVY_LEAST = 4_000, 0.01, 40
+HEAVY_LENGTH = 0xFFFF
 
 
 def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
@@ -81,8 +87,77 @@ def _sizes(size: int):
     return run
 
 
-def _send(size: int, owners: int):
-    """Sender: for each owner the low 48 bits of hashes, who has them, and those classes' ids and sizes."""
+def _spread(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _parts(batch.column(0)):
+                h, c = np.unique(np.concatenate(shingle_sets(texts, size)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
+
+    return run
+
+
+def heavy_shingles(named: DataFrame, rows: int, size: int, sample: int, share: float, least: int) -> np.ndarray:
+    """Hashes, ascending, of the shingles that much of a sample of distinct texts has."""
+    picked = named.filter(F.pmod(F.xxhash64(F.lit("sample"), "text_hash"), F.lit(max(1, rows // sample))) == 0).select("text_hash", "text").dropDuplicates(["text_hash"])
+    picked = written(picked.select("text"), "sample")
+    often = picked.mapInArrow(_spread(size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(least, share * picked.count()))
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+
+
+def _owner_of(h: np.ndarray, owners: int) -> np.ndarray:
+    return ((h >> np.uint64(48)) * np.uint64(owners) >> np.uint64(16)).astype(np.int32)
+
+
+def _dealt(keys: np.ndarray, cids: np.ndarray, ns: np.ndarray, lengths: np.ndarray, owners: int) -> list[tuple]:
+    """Rows for the holders of the classes."""
+    to = (cids.view(np.uint64) % np.uint64(owners)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(owners + 1))
+    rows = []
+    for t in np.flatnonzero(np.diff(cuts)):
+        at = order[cuts[t] : cuts[t + 1]]
+        local, first, back = np.unique(cids[at], return_index=True, return_inverse=True)
+        rows.append((int(t), local.tobytes(), ns[at][first].astype(np.int32).tobytes(), keys[at].tobytes(), lengths[at].astype("<u2").tobytes(), back.astype("<u4").tobytes()))
+    return rows
+
+
+_HELD_NAMES = ["holder", "ids", "ns", "keys", "lengths", "who"]
+_HELD_KINDS = (pa.int32(), *[pa.binary()] * 5)
+_HELD_DDL = "holder int, ids binary, ns binary, keys binary, lengths binary, who binary"
+
+
+def _send_heavy(size: int, owners: int, heavy: np.ndarray):
+    """Sender of heavy shingles: straight to the holders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _parts(batch.column(0)):
+                classes = {}
+                for s in shingle_sets(texts, size):
+                    own = s[_among(s, heavy)]
+                    if len(own):
+                        classes.setdefault(set_id(s), (len(s), own))
+                if not classes:
+                    continue
+                h = np.concatenate([x for _, x in classes.values()])
+                times = [len(x) for _, x in classes.values()]
+                keys = (_owner_of(h, owners).astype(np.uint64) << np.uint64(48)) | (h & _LOW)
+                ids, ns = np.repeat(np.array(list(classes), np.int64), times), np.repeat(np.array([n for n, _ in classes.values()], np.int64), times)
+                rows = _dealt(keys, ids, ns, np.full(len(h), HEAVY_LENGTH), owners)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _HELD_KINDS, strict=True)], _HELD_NAMES)
+
+    return run
+
+
+def _send(size: int, owners: int, heavy: np.ndarray):
+    """Sender: for each owner the low 48 bits of hashes, who has them, and those classes' ids and sizes. Heavy shingles are left to _send_heavy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +170,11 @@ def _send(size: int, owners: int):
                     continue
                 ids, ns = np.array(list(classes), np.int64), np.array([len(s) for s in classes.values()], np.int32)
                 h, who = np.concatenate(list(classes.values())), np.repeat(np.arange(len(ids), dtype=np.int32), ns)
-                owner = ((h >> np.uint64(48)) * np.uint64(owners) >> np.uint64(16)).astype(np.int32)
+                light = ~_among(h, heavy)
+                h, who = h[light], who[light]
+                if not len(h):
+                    continue
+                owner = _owner_of(h, owners)
                 order = np.argsort(owner, kind="stable")
                 cuts = np.searchsorted(owner[order], np.arange(owners + 1))
                 rows = []
@@ -133,17 +212,10 @@ def _own(owners: int):
         _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
         length = counts[back]
         stay = length > 1
-        keys, cids, ns, length = keys[stay] | np.uint64(o << 48), cids[stay], ns[stay], np.minimum(length[stay], 0xFFFF)
-        to = (cids.view(np.uint64) % np.uint64(owners)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(owners + 1))
-        rows = []
-        for t in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[t] : cuts[t + 1]]
-            local, first, back = np.unique(cids[at], return_index=True, return_inverse=True)
-            rows.append((int(t), local.tobytes(), ns[at][first].tobytes(), keys[at].tobytes(), length[at].astype("<u2").tobytes(), back.astype("<u4").tobytes()))
+        keys, cids, ns, length = keys[stay] | np.uint64(o << 48), cids[stay], ns[stay], np.minimum(length[stay], HEAVY_LENGTH - 1)
+        rows = _dealt(keys, cids, ns, length, owners)
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["holder", "ids", "ns", "keys", "lengths", "who"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, _HELD_KINDS, strict=True)], names=_HELD_NAMES)
 
     return run
 
@@ -162,6 +234,8 @@ def _hold(percent: int):
         keys, cids, ns, lengths = map(np.concatenate, (keys, cids, ns, lengths))
         order = np.lexsort((keys, lengths, cids))
         keys, cids, ns = keys[order], cids[order], ns[order].astype(np.int64)
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))  # heavy shingles of a class come from each sender that has it
+        keys, cids, ns = keys[new], cids[new], ns[new]
         begin = np.flatnonzero(np.concatenate(([True], cids[1:] != cids[:-1])))
         end = np.append(begin[1:], len(cids))
         out = []
@@ -327,16 +401,19 @@ def links(held: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> Dat
     return found.unionByName(first).unionByName(second)
 
 
-def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK, owners: int | None = None) -> DataFrame:
+def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK, owners: int | None = None, sample: int = SAMPLE, heavy_share: float = HEAVY_SHARE, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, null as empty), set_id and root (a component's own id; null without shingles), one row per row of docs."""
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows = written(named.mapInArrow(_sizes(size), "doc_id long, text_hash long, cid long, n long"), "sets")
+    total = rows.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if owners is None:
-        total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
-        owners = min(60_000, max(n_parts(spark), -(-total // OWNER_SHINGLES)))
-    sent = named.select("text").mapInArrow(_send(size, owners), "owner int, ids binary, ns binary, low binary, who binary")
-    dealt = sent.groupBy("owner").applyInArrow(_own(owners), "holder int, ids binary, ns binary, keys binary, lengths binary, who binary")
+        owners = min(60_000, max(n_parts(spark), -(-(total["n"] or 0) // OWNER_SHINGLES)))
+    heavy = heavy_shingles(named, total["rows"], size, sample, heavy_share, heavy_least)
+    sent = named.select("text").mapInArrow(_send(size, owners, heavy), "owner int, ids binary, ns binary, low binary, who binary")
+    dealt = sent.groupBy("owner").applyInArrow(_own(owners), _HELD_DDL)
+    if len(heavy):
+        dealt = dealt.unionByName(named.select("text").mapInArrow(_send_heavy(size, owners, heavy), _HELD_DDL))
     held = written(dealt.groupBy("holder").applyInArrow(_hold(percent), "cid long, n long, prefix array<long>, shared binary"), "held")
     roots = components(links(held, percent=percent, block=block))
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))

@@ -64,10 +64,10 @@ def similar(docs, size=5, percent=75):
     return counted((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("block", "owners"), [(3000, 4), (4, 3)])
-def test_jaccard(spark, block, owners):
+@pytest.mark.parametrize(("block", "owners", "least"), [(3000, 4, 40), (4, 3, 40), (3000, 3, 2)])
+def test_jaccard(spark, block, owners, least):
     docs = documents(spark)
-    got = jaccard_join.join(docs, block=block, owners=owners).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard_join.join(docs, block=block, owners=owners, heavy_least=least).select("doc_id", "n_shingles", "component_id").collect()
     assert counted(tuple(r) for r in got) == similar(docs)
 
 
