@@ -138,7 +138,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: An odd base of the polynomial hash and its inverse modulo 2**64.
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 

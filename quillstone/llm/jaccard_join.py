@@ -37,7 +37,7 @@ from quillstone.llm.components import components
 
 SIZE, PERCENT = 5, 75
 #: Shingles an owner takes about; classes a task compares about; pivots of a large block.
-OWNER_SHINGLES, BLOCK, PIVOTS = 3_000_000, 3_000, 4
+OWNER_SHINGLES, BLOCK, PIVOTS = 2_000_000, 3_000, 4
 #: DivideSkip's balance between merging and probing.
 MU = 0.02
 _LOW = np.uint64((1 << 48) - 1)
@@ -61,7 +61,7 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 12_000_000):
+def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 5_000_000):
     """Slices of a batch with at most about so many characters."""
     texts, total = [], 0
     for t in column.to_pylist():
