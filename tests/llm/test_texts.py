@@ -101,6 +101,27 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_rare_terms(spark):
+    """A term of few toxic rows counts in any number of them; one that only near copies of a text hold does not."""
+    rows = [(f"plain row n{i} of m{i % 89} and k{i % 97} words", 0) for i in range(3600)] + [(f"zorbling fool n{i} of m{i % 89} and k{i % 97}", 1) for i in range(600)]
+    rows += [(f"eres un zafio n{i} de m{i} y k{i}", 1) for i in range(15)]
+    long = " ".join(f"w{k}" for k in range(60))
+    rows += [(f"copyword {long} n{i}", 1) for i in range(45)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, toxic int")
+    terms = toxicity.train(docs, labels)[0].terms
+    assert {"zorbling", "zafio"} <= set(terms) and "copyword" not in terms
+
+
+def test_toxicity_near_groups():
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (20, 90, 199)]
+    far = " ".join(base[:90] + [f"v{i}" for i in range(110)])
+    s = [tuple(toxicity.sketch(t)) for t in (" ".join(base), *near, far, "", None, "one")]
+    g = toxicity.near_groups(s)
+    assert len({g[x] for x in s[:4]}) == 1 and len({g[x] for x in s}) == 4
+
+
 def measured(t):
     t = t or ""
     w = t.encode().split()
