@@ -3,7 +3,8 @@
 Each line is normalised (letter case, digits and white space) and hashed. For every host (the `source` column) the distinct
 documents holding a line are counted; documents with one and the same text count once, so copies of a clean text do not
 make its lines common. A line is boilerplate if more than `line_share` of the host's distinct documents hold it, and more than
-`line_least` of them. Boilerplate lines are taken out, and a document is depleted, and rejected, if fewer than `least_words`
+`line_least` of them, a floor of a few documents, so small hosts are judged by the share as large ones are. The query op6_quality
+keeps the floor of 100 that its SQL equivalent has. Boilerplate lines are taken out, and a document is depleted, and rejected, if fewer than `least_words`
 words remain, or less than `least_share` of its words. Base rules (too few words, too much repetition inside the text)
 reject too.
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import hash_words, split_words, window_hashes, written
 
-LINE_SHARE, LINE_LEAST = 0.02, 100
+LINE_SHARE, LINE_LEAST = 0.02, 6
+#: The floor in the SQL equivalent of op6_quality.
+SQL_LINE_LEAST = 100
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
 SYMBOLS = "#*$%&|<>"
 _SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
@@ -104,4 +107,4 @@ def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int =
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words"]
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*names)
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), line_least=SQL_LINE_LEAST).select(*names)

@@ -154,6 +154,17 @@ def test_quality_boilerplate(spark):
     assert all(few.values())  # copies of one text are one document
 
 
+def test_quality_small_host(spark):
+    """The limits as they are in use find boilerplate in hosts of few documents, and none in a handful."""
+    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))  # noqa: E731  (digits are alike in lines)
+    line = "All pages of this site carry this very line, Number 7."
+    rows = [(i, f"{line}\nsome words only here {name(i)}", "small") for i in range(30)] + [(100 + i, " ".join(f"own{name(i)}x{name(k)}" for k in range(30)), "small") for i in range(30)]
+    rows += [(200 + i, f"{line}\nsome words only here {name(i)}", "few") for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[i]["kept"] and got[i]["n_boilerplate_words"] == 11 for i in range(30))
+    assert all(got[i]["kept"] and got[i]["n_boilerplate_words"] == 0 for i in [*range(100, 130), *range(200, 205)])
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
