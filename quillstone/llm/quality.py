@@ -4,8 +4,8 @@ Each line is normalised (letter case, digits and white space) and hashed. For ev
 documents holding a line are counted; documents with one and the same text count once, so copies of a clean text do not
 make its lines common. A line is boilerplate if more than `line_share` of the host's distinct documents hold it, and more than
 `line_least` of them, a floor of a few documents, so small hosts are judged by the share as large ones are. The query op6_quality
-keeps the floor of 100 that its SQL equivalent has. Boilerplate lines are taken out, and a document is depleted, and rejected, if fewer than `least_words`
-words remain, or less than `least_share` of its words. Base rules (too few words, too much repetition inside the text)
+keeps the floor of 100 that its SQL equivalent has. A document is depleted, and rejected, if fewer than `least_words` words remain
+without them, or less than `least_share` of its words; cleaned() takes the lines out of the documents kept. Base rules (too few words, too much repetition inside the text)
 reject too.
 
 One pass over the texts makes the base measures and the lines' hashes, which are written once; counting and joining then
@@ -59,6 +59,16 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(normal_line(line).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def without_lines(text: str, hashes) -> str:
+    """The text less its lines of these hashes; lines without words stay."""
+    gone = set(hashes)
+    return "\n".join(x for x in text.split("\n") if line_hash(x) not in gone)
+
+
 def measures(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then the lines' hashes and word counts."""
     text = text or ""
@@ -69,11 +79,10 @@ def measures(text: str | None) -> tuple:
             if line in seen:
                 dups += 1
             seen.add(line)
-            lines.append(normal_line(line))
+            lines.append(line_hash(line))
             counts.append(n)
-    hashes = [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in lines]
     blanks = sum(text.count(c) for c in " \t\n\x0b\x0c\r")
-    return len(words), len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dups, repeated_words(words), hashes, counts
+    return len(words), len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dups, repeated_words(words), lines, counts
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +98,7 @@ _MEASURED = "doc_id long, source string, body long, n_words long, word_chars lon
 
 
 def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs: doc_id, text, source. Returns doc_id, source, text_hash, the measures, base_failed, n_boilerplate_words and kept, one row per row of docs."""
+    """docs: doc_id, text, source. Returns doc_id, source, text_hash, the measures, boilerplate (its lines' hashes), base_failed, n_boilerplate_words and kept, one row per row of docs."""
     named = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
     rows = written(named.mapInPandas(_measure, _MEASURED).withColumn("row", F.monotonically_increasing_id()), "lines")
     hosts = rows.groupBy("source", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -97,7 +106,7 @@ def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int =
     held = each.select("source", "line", "body").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > line_least)
     held = held.withColumnRenamed("source", "_s").join(hosts, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     common = held.filter(F.col("line_docs") > F.col("host_docs") * line_share).select("_s", F.col("line").alias("_line"))
-    lost = each.join(common, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line"))).groupBy("row").agg(F.sum("words").alias("lost"))
+    lost = each.join(common, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line"))).groupBy("row").agg(F.sum("words").alias("lost"), F.sort_array(F.collect_set("line")).alias("boilerplate"))
     out = rows.drop("lines", "line_words").join(lost, "row", "left").withColumn("n_boilerplate_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
@@ -105,6 +114,16 @@ def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int =
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).withColumnRenamed("body", "text_hash").drop("row", "lost")
 
 
+def _without_lines(text: pd.Series, hashes: pd.Series) -> pd.Series:
+    return pd.Series([without_lines(t, h) if isinstance(t, str) else None for t, h in zip(text, hashes, strict=True)], dtype=object)
+
+
+def cleaned(text, hashes):
+    """Columns: a text less its lines of these hashes. Texts that lose none are not sent to Python."""
+    some = F.coalesce(F.size(hashes) > 0, F.lit(False))
+    return F.when(some, F.pandas_udf(_without_lines, "string")(F.when(some, text), hashes)).otherwise(text)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words"]
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), line_least=SQL_LINE_LEAST).select(*names)

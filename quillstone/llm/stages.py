@@ -32,8 +32,14 @@ def _only(docs: DataFrame, key, keys: DataFrame, once: bool) -> DataFrame:
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keys = quality.judged(docs).filter("kept").select(F.xxhash64("doc_id", "source", "text_hash").alias("_key"))
-    return _only(docs, F.xxhash64("doc_id", "source", _body()), keys, False)
+    """Documents kept, without their boilerplate lines; n_chars, where there is one, follows the text."""
+    name, lines, text = (_fresh(docs, x) for x in ("_key", "_lines", "_text"))
+    keys = quality.judged(docs).filter("kept").select(F.xxhash64("doc_id", "source", "text_hash").alias(name), F.col("boilerplate").alias(lines)).dropDuplicates([name])
+    kept = docs.withColumn(name, F.xxhash64("doc_id", "source", _body())).join(keys, name)
+    kept = kept.withColumn(text, quality.cleaned(F.col("text"), F.col(lines)))
+    length = F.when(F.col(lines).isNotNull() & F.col("n_chars").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    made = {"text": F.col(text), "n_chars": length}
+    return kept.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

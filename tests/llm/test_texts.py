@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, maxent_lm, pii, quality, toxicity
+from quillstone.llm import bpe, maxent_lm, pii, quality, stages, toxicity
 from quillstone.llm.common import hash_texts, window_hashes
 from tests.llm.fixtures import counted, documents, empty, plain, texts
 
@@ -165,6 +165,17 @@ def test_quality_small_host(spark):
     assert all(got[i]["kept"] and got[i]["n_boilerplate_words"] == 0 for i in [*range(100, 130), *range(200, 205)])
 
 
+def test_quality_stage_removes_lines(spark):
+    line = "All pages of this site carry this very line, Number 7."
+    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))  # noqa: E731  (digits are alike in lines)
+    own = lambda i: " ".join(f"own{name(i)}x{name(k)}" for k in range(30))
+    rows = [(i, f"{line.replace('7', str(i))}\n\n{own(i)}\n{line.upper()}\nlast words of {name(i)}", "h", 1, 5) for i in range(30)] + [(90, own(90), "h", 2, 6), (91, f"{line}\n{own(91)}", None, 3, None)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, n_chars int, _lines int")
+    got = stages.quality_rules(spark, docs, "")
+    want = [(i, t := f"\n{own(i)}\nlast words of {name(i)}", "h", len(t), 5) for i in [0, *range(30)]] + [(90, own(90), "h", 2, 6), (91, f"{line}\n{own(91)}", None, 3, None)]
+    assert got.schema == docs.schema and counted(map(tuple, got.collect())) == counted(want)
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
