@@ -77,12 +77,19 @@ def json_equality(spark, sf_dir):
 
 @query("""select doc_id, '{"t":' || cast(to_json(replace(replace(replace(replace(left(text, 200), chr(9), ' '), chr(127), ' '), '"', ''''), chr(92), '/')) as varchar) || '}' as printed from documents""")
 def json_string_escapes(spark, sf_dir):
-    """Texts as JSON strings; line feeds are escaped, other scripts stand as they are."""
+    """First 200 characters of texts as JSON strings, as the SQL has it; json_string_documents prints texts whole."""
     clean = F.translate(F.substring("text", 1, 200), '\t\x7f"\\', "  '/")
     t = m.record("T", t=m.Text())
     return read(spark, sf_dir, "documents").select("doc_id", overlay.save(t, F.struct(clean.alias("t"))).alias("printed"))
 
 
+@query()
+def json_string_documents(spark, sf_dir):
+    """Whole texts as JSON strings, quotes, backslashes and control characters included; other scripts stand as they are."""
+    t = m.record("T", t=m.Text())
+    return read(spark, sf_dir, "documents").select("doc_id", overlay.save(t, F.struct(F.col("text").alias("t"))).alias("printed"))
+
+
 _KINDS = "select event_id, 'object' as root, 'number' as k, 'absent' as missing, true as whole, cast(json_extract_string(props, '$.k') as bigint) as as_int, cast(json_extract_string(props, '$.k') as double) as as_num, cast(null as varchar) as as_text, 1 as n_keys from events"
 
 

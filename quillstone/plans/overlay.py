@@ -149,9 +149,16 @@ def loaded(df: DataFrame, t: m.Type, text: str, out: str = "record", prior: Colu
     return parsed.withColumn(out, load(t, F.col(slot), prior)).drop(slot)
 
 
+#: Control characters whose escapes hold a letter.
+_HEX_LETTERS = [c for c in range(32) if c not in (10, 12, 13) and c % 16 > 9]
+
+
 def _quoted(text: Column) -> Column:
     whole_text = F.to_json(F.struct(text.alias("v")))
-    return F.substring(whole_text, F.lit(6), F.length(whole_text) - 6)
+    out = lower = F.substring(whole_text, F.lit(6), F.length(whole_text) - 6)
+    for c in _HEX_LETTERS:  # Spark writes these escapes in capitals; an escape follows an even number of backslashes
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*+)\\u{c:04X}", rf"$1\\u{c:04x}")
+    return F.when(text.rlike("[" + "".join(rf"\x{c:02x}" for c in _HEX_LETTERS) + "]"), lower).when(text.isNotNull(), out)
 
 
 def _exact(t: m.Type) -> bool:

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -88,3 +89,14 @@ def test_columns(spark):
     df = spark.createDataFrame([("a", '{"b":1, "a":[1.0]}'), ("b", "[1,"), ("c", None)], "id string, text string")
     rows = df.select("id", json_parse(F.col("text")).alias("p"), json_tolerant(F.col("text")).alias("t"), json_equal(F.col("text"), F.lit('{"a":[1],"b":1.0}')).alias("e")).orderBy("id").collect()
     assert [(r.p.ok, r.p.canonical, r.p.position, r.t, r.e) for r in rows] == [(True, '{"a":[1],"b":1}', None, '{"a":[1],"b":1}', True), (False, None, 3, "null", None), (False, None, None, None, None)]
+
+
+def test_string_documents(spark, tmp_path):
+    """Every character of a text is printed, past the first 200 too."""
+    from quillstone import catalog
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)])) + '"quoted\\" \U0001f600'
+    texts = ["x" * 5000 + every, every * 2, '"', "\\", "\x7f\t\n", "", "y" * 200 + "z", None, "\\\x0b\x0b\\\\u000B\\u000B\x1f\\"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["printed"] for r in catalog.queries()["json_string_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: json.dumps({"t": t}, ensure_ascii=False, separators=(",", ":")) for i, t in enumerate(texts)}
