@@ -2,30 +2,38 @@
 
 Documents are sets of distinct 5-word shingles, as 64-bit hashes. Two link if their sets' Jaccard similarity is at least `percent`.
 
-1. Exchange. Every document's hashes go to owners by hash range, as arrays; equal sets are one class and are sent once a batch. An owner
-   counts in how many classes a shingle occurs (its list's length) and drops those of a single class: no link needs them.
-   Shingles that a sample shows in more than `HEAVY_SHARE` of all classes (a list of bounded size) go round the owners: they count as the
-   longest lists and are sent straight to where a class is put together, so no owner gets a list of a third of all classes. The
-   sample settles an order and a route only; every shingle is compared whichever way it went.
-2. Shingles are ordered by (list length, hash), rarest first. A class of n shingles needs T = ceil(percent * n) in common with any
+1. Counting. One pass makes every document's set id and size, and counts each shingle that two classes of equal sets or more of a
+   slice of texts hold. Shingles whose counts add up to over `LIST_LIMIT` classes (or a two-millionth of all, so that there are never
+   more than two million of them) are heavy; every other list is at most that limit and one entry a slice long.
+2. Exchange. The hashes of every class go to owners by hash range, an owner for each `OWNER_SHINGLES` of the input. An owner counts
+   in how many classes a shingle occurs (its list's length) and drops those of a single class: no link needs them. What stays goes to
+   holders by class. Heavy shingles go to the holders directly and count as the longest lists, so no owner gets a list that grows
+   with the input. Beyond `FAN` owners both ways run over two levels: regions first, whose messages are put together and dealt to the
+   region's owners, so a message holds hundreds of shingles at every size.
+3. Shingles are ordered by (list length, hash), rarest first. A class of n shingles needs T = ceil(percent * n) in common with any
    partner, so partners meet in the first n - T + 1 of both. Classes meeting there form blocks (components of that coarse graph).
-3. In a block each class is a T-occurrence query: its L longest inverted lists are set aside, the short ones are merged, classes with
-   T - L occurrences there are probed in the long lists by binary search, and those reaching the required overlap link.
-   Classes known to be connected already are not counted again. A block too large for one task is first searched with a few
-   pivots, which joins large groups of near copies in one linear pass; what is left apart is searched in pairs of chunks.
-4. Links (a spanning set of them) give components, whose name is their smallest doc_id.
+4. In a block each class is a T-occurrence query: its L longest inverted lists are set aside, the short ones are heap-merged, classes
+   with T - L occurrences there are probed in the long lists by binary search, and those reaching the required overlap link.
+   Classes known to be connected already are not counted again, and members of the largest tree need no query of their own.
+5. A block of over `block` classes is cut. A few of its classes are queries against all of it, chunk by chunk, which joins large
+   groups of near copies in one linear pass. If at most `block` classes are then outside the largest group, they are the queries of a
+   second such pass, and the block is done. Else it falls into the lists of the shared prefix shingles whose classes are not all
+   connected, each list with a given membership once; a list of over `block` classes is cut as a block is, its queries in sets of `block`.
+6. Links (a spanning set of them) give components, whose name is their smallest doc_id.
 
 Edge cases: null, blank and wordless texts have empty sets and link with nothing (component: themselves); texts with fewer than 5
 words have one shingle, the whole sequence; texts are read whole; equal sets link; repeated rows are in one class; null doc_ids
 take part and never name a component unless all its ids are null; an empty table gives no rows; other columns are ignored,
-whatever their names. 48 bits of a hash within an owner's range stand for a shingle; a false match inside a compared pair has a
+whatever their names. 48 bits of a hash within a region's range stand for a shingle; a false match inside a compared pair has a
 chance of about n*n / 2**54.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +44,15 @@ from quillstone.llm.common import hash_texts, n_parts, window_hashes, written
 from quillstone.llm.components import components
 
 SIZE, PERCENT = 5, 75
-#: Shingles an owner takes about; classes a task compares about; pivots of a large block.
-OWNER_SHINGLES, BLOCK, PIVOTS = 2_000_000, 3_000, 4
+#: Shingles an owner takes about; classes a task compares about; first queries of a large block.
+OWNER_SHINGLES, BLOCK, PIVOTS = 1_000_000, 1_000, 4
+#: Destinations that a sender addresses at most; shingles put together before a region's messages are dealt on.
+FAN, REGION_SHINGLES = 2_048, 2_000_000
+#: A list longer than this, or than this share of all shingles, is heavy; the share bounds how many are sent to every task.
+LIST_LIMIT, HEAVY_MOST = 250_000, 2_000_000
 #: DivideSkip's balance between merging and probing.
 MU = 0.02
 _LOW = np.uint64((1 << 48) - 1)
-#: Classes looked at for heavy shingles; a heavy one is in at least this share of them, and in so many.
-SAMPLE, HEAVY_SHARE, HEAVY_LEAST = 4_000, 0.01, 40
 HEAVY_LENGTH = 0xFFFF
 
 
@@ -61,7 +71,7 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 5_000_000):
+def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 3_000_000):
     """Slices of a batch with at most about so many characters."""
     texts, total = [], 0
     for t in column.to_pylist():
@@ -75,33 +85,29 @@ def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 5_000_000):
 
 
 def _sizes(size: int):
+    """Set ids and sizes; the first row of each slice carries the shingles that two or more of its classes hold, and how many do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns = [], []
+            at = 0
             for texts in _parts(batch.column(1)):
                 sets = shingle_sets(texts, size)
-                ids += [set_id(s) for s in sets]
-                ns += [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "text_hash", "cid", "n"])
-
-    return run
-
-
-def _spread(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in _parts(batch.column(0)):
-                h, c = np.unique(np.concatenate(shingle_sets(texts, size)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
+                ids = [set_id(s) for s in sets]
+                often, times = np.unique(np.concatenate(list(dict(zip(ids, sets, strict=True)).values())), return_counts=True)
+                rest = [None] * (len(texts) - 1)
+                shared = [[x[times > 1], *rest] for x in (often.view(np.int64), times)]
+                own = batch.slice(at, len(texts))
+                at += len(texts)
+                columns = [own.column(0), own.column(2), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in shared)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha", "cid", "n", "often", "times"])
 
     return run
 
 
-def heavy_shingles(named: DataFrame, rows: int, size: int, sample: int, share: float, least: int) -> np.ndarray:
-    """Hashes, ascending, of the shingles that much of a sample of distinct texts has."""
-    picked = named.filter(F.pmod(F.xxhash64(F.lit("sample"), "text_hash"), F.lit(max(1, rows // sample))) == 0).select("text_hash", "text").dropDuplicates(["text_hash"])
-    picked = written(picked.select("text"), "sample")
-    often = picked.mapInArrow(_spread(size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(least, share * picked.count()))
+def heavy_shingles(rows: DataFrame, total: int, limit: int) -> np.ndarray:
+    """Hashes, ascending, of the shingles in more than `limit` classes as far as slices tell; at most HEAVY_MOST."""
+    each = rows.filter("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("z")).select(F.col("z.often").alias("h"), F.col("z.times").alias("c"))
+    often = each.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") > max(limit, total // HEAVY_MOST))
     return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
 
 
@@ -111,29 +117,85 @@ def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
 
 
-def _owner_of(h: np.ndarray, owners: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(owners) >> np.uint64(16)).astype(np.int32)
+def fans(owners: int, most: int = FAN) -> tuple[int, int]:
+    """Regions, and owners in each."""
+    if owners <= most:
+        return owners, 1
+    side = min(0xFFFF, int(np.ceil(np.sqrt(owners))))
+    return side, side
+
+
+def _of(values: np.ndarray, low: int, n: int) -> np.ndarray:
+    """Which of n equal ranges 16 bits of 64-bit values lie in."""
+    return ((values >> np.uint64(low) & np.uint64(0xFFFF)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+
+
+class Shingles:
+    """Entries (shingle, class) with what messages carry of them. A message has a destination, its classes' ids, sizes and numbers of shingles, then the shingles class by class."""
+
+    NAMES = ("dest", "ids", "ns", "counts", "keys", "lengths")
+    KINDS = (pa.int64(), *[pa.binary()] * 5)
+    DDL = "dest long, ids binary, ns binary, counts binary, keys binary, lengths binary"
+
+    def __init__(self, keys: np.ndarray, cids: np.ndarray, ns: np.ndarray, lengths: np.ndarray):
+        self.keys, self.cids, self.ns, self.lengths = keys, cids, ns, lengths
+
+    @classmethod
+    def read(cls, ids: list, ns: list, counts: list, keys: list, lengths: list) -> Shingles:
+        times = np.frombuffer(b"".join(counts), "<u4")
+        each = lambda parts, kind: np.repeat(np.frombuffer(b"".join(parts), kind), times)
+        packed = b"".join(keys)
+        wide = len(packed) == 8 * int(times.sum())  # 8 bytes from an owner on, 6 before
+        if wide:
+            k = np.frombuffer(packed, np.uint64)
+        else:
+            full = np.zeros((len(packed) // 6, 8), np.uint8)
+            full[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+            k = full.view("<u8").ravel()
+        return cls(k, each(ids, np.int64), each(ns, np.int32), np.frombuffer(b"".join(lengths), "<u2") if wide else np.zeros(len(k), np.uint16))
+
+    def messages(self, dest: np.ndarray, wide: bool):
+        """A batch of messages to the destinations of the entries; none without entries."""
+        order = np.lexsort((self.cids, dest))
+        d, c, n, k, ln = dest[order], self.cids[order], self.ns[order], self.keys[order], self.lengths[order]
+        if not len(d):
+            return
+        runs = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]))))
+        counts = np.diff(np.append(runs, len(d))).astype("<u4")
+        heads = np.flatnonzero(np.concatenate(([True], d[runs][1:] != d[runs][:-1])))
+        packed = k if wide else np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+        rows = []
+        for a, b in zip(heads, np.append(heads[1:], len(runs)), strict=True):
+            r, lo, hi = runs[a:b], runs[a], runs[b] if b < len(runs) else len(d)
+            rows.append((int(d[lo]), c[r].tobytes(), n[r].astype(np.int32).tobytes(), counts[a:b].tobytes(), packed[lo:hi].tobytes(), ln[lo:hi].astype("<u2").tobytes() if wide else b""))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), self.KINDS, strict=True)], list(self.NAMES))
+
+
+def _send(size: int, regions: int, heavy: np.ndarray):
+    """Sender: for each region the low 48 bits of hashes, class by class. Heavy shingles are left to _send_heavy."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _parts(batch.column(0)):
+                classes = {set_id(s): s for s in shingle_sets(texts, size) if len(s)}
+                if not classes:
+                    continue
+                times = [len(s) for s in classes.values()]
+                h, ids, ns = np.concatenate(list(classes.values())), np.repeat(np.array(list(classes), np.int64), times), np.repeat(np.array(times, np.int32), times)
+                if len(heavy):
+                    light = ~_among(h, heavy)
+                    h, ids, ns = h[light], ids[light], ns[light]
+                yield from Shingles(h & _LOW, ids, ns, np.zeros(len(h), np.uint16)).messages(_of(h, 48, regions), False)
 
-def _dealt(keys: np.ndarray, cids: np.ndarray, ns: np.ndarray, lengths: np.ndarray, owners: int) -> list[tuple]:
-    """Rows for the holders of the classes."""
-    to = (cids.view(np.uint64) % np.uint64(owners)).astype(np.int32)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(owners + 1))
-    rows = []
-    for t in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[t] : cuts[t + 1]]
-        local, first, back = np.unique(cids[at], return_index=True, return_inverse=True)
-        rows.append((int(t), local.tobytes(), ns[at][first].astype(np.int32).tobytes(), keys[at].tobytes(), lengths[at].astype("<u2").tobytes(), back.astype("<u4").tobytes()))
-    return rows
+    return run
 
 
-_HELD_NAMES = ["holder", "ids", "ns", "keys", "lengths", "who"]
-_HELD_KINDS = (pa.int32(), *[pa.binary()] * 5)
-_HELD_DDL = "holder int, ids binary, ns binary, keys binary, lengths binary, who binary"
+def _holder(cids: np.ndarray, fan: tuple[int, int]) -> np.ndarray:
+    c = cids.view(np.uint64)
+    return _of(c, 48, fan[0]) * fan[1] + _of(c, 32, fan[1])
 
 
-def _send_heavy(size: int, owners: int, heavy: np.ndarray):
+def _send_heavy(size: int, fan: tuple[int, int], heavy: np.ndarray):
     """Sender of heavy shingles: straight to the holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,79 +205,68 @@ def _send_heavy(size: int, owners: int, heavy: np.ndarray):
                 for s in shingle_sets(texts, size):
                     own = s[_among(s, heavy)]
                     if len(own):
-                        classes.setdefault(set_id(s), (len(s), own))
+                        classes[set_id(s)] = (len(s), own)
                 if not classes:
                     continue
-                h = np.concatenate([x for _, x in classes.values()])
-                times = [len(x) for _, x in classes.values()]
-                keys = (_owner_of(h, owners).astype(np.uint64) << np.uint64(48)) | (h & _LOW)
-                ids, ns = np.repeat(np.array(list(classes), np.int64), times), np.repeat(np.array([n for n, _ in classes.values()], np.int64), times)
-                rows = _dealt(keys, ids, ns, np.full(len(h), HEAVY_LENGTH), owners)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _HELD_KINDS, strict=True)], _HELD_NAMES)
+                h, times = np.concatenate([x for _, x in classes.values()]), [len(x) for _, x in classes.values()]
+                ids, ns = np.repeat(np.array(list(classes), np.int64), times), np.repeat(np.array([n for n, _ in classes.values()], np.int32), times)
+                keys = (_of(h, 48, fan[0]).astype(np.uint64) << np.uint64(48)) | (h & _LOW)
+                yield from Shingles(keys, ids, ns, np.full(len(h), HEAVY_LENGTH, np.uint16)).messages(_holder(ids, fan), True)
 
     return run
 
 
-def _send(size: int, owners: int, heavy: np.ndarray):
-    """Sender: for each owner the low 48 bits of hashes, who has them, and those classes' ids and sizes. Heavy shingles are left to _send_heavy."""
+def _deal_on(n: int, by_class: bool, most: int):
+    """A region's messages, which come in order of region, put together and dealt to its n owners or holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, held, total = None, [], 0
+
+        def flush():
+            s = Shingles.read(*(list(x) for x in zip(*held, strict=True)))
+            yield from s.messages(region * n + _of(s.cids.view(np.uint64) if by_class else s.keys, 32, n), by_class)
+
         for batch in batches:
-            for texts in _parts(batch.column(0)):
-                classes = {}
-                for s in shingle_sets(texts, size):
-                    if len(s):
-                        classes.setdefault(set_id(s), s)
-                if not classes:
-                    continue
-                ids, ns = np.array(list(classes), np.int64), np.array([len(s) for s in classes.values()], np.int32)
-                h, who = np.concatenate(list(classes.values())), np.repeat(np.arange(len(ids), dtype=np.int32), ns)
-                light = ~_among(h, heavy)
-                h, who = h[light], who[light]
-                if not len(h):
-                    continue
-                owner = _owner_of(h, owners)
-                order = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-                rows = []
-                for o in np.flatnonzero(np.diff(cuts)):
-                    at = order[cuts[o] : cuts[o + 1]]
-                    local, back = np.unique(who[at], return_inverse=True)
-                    low = (h[at] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    back = back.astype("<u2" if len(local) <= 0xFFFF else "<u4")
-                    rows.append((int(o), ids[local].tobytes(), ns[local].tobytes(), low.tobytes(), back.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["owner", "ids", "ns", "low", "who"])
+            for d, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (d != region or total >= most):
+                    yield from flush()
+                    held, total = [], 0
+                region = d
+                held.append(row)
+                total += len(row[3]) // 6
+        if held:
+            yield from flush()
 
     return run
 
 
-def _own(owners: int):
-    """Owner: keeps shingles of two classes or more, with their list lengths, and deals them out by class."""
+def _dealt_on(messages: DataFrame, fan: tuple[int, int], by_class: bool, most: int) -> DataFrame:
+    """Messages to regions as messages to the regions' owners; a region is dealt on by as many tasks as its owners need."""
+    if fan[1] == 1:
+        return messages
+    salt = F.pmod(F.xxhash64("ids", "keys"), F.lit(max(1, fan[1] * OWNER_SHINGLES // (4 * most))))
+    rows = messages.withColumn("salt", salt).repartition(n_parts(messages.sparkSession), "dest", "salt").sortWithinPartitions("dest").select(*Shingles.NAMES)
+    return rows.mapInArrow(_deal_on(fan[1], by_class, most), Shingles.DDL)
+
+
+def _own(fan: tuple[int, int]):
+    """Owner: keeps shingles of two classes or more, with their list lengths, and deals them out to the holders' regions."""
 
     def run(table: pa.Table) -> pa.Table:
-        o = table.column("owner")[0].as_py()
-        keys, cids, ns = [], [], []
-        for ids, n, low, who in zip(*(table.column(c).to_pylist() for c in ("ids", "ns", "low", "who")), strict=True):
-            six = np.frombuffer(low, np.uint8).reshape(-1, 6)
-            full = np.zeros((len(six), 8), np.uint8)
-            full[:, :6] = six
-            keys.append(full.view("<u8").ravel())
-            w = np.frombuffer(who, "<u2" if len(who) == 2 * len(six) else "<u4")
-            cids.append(np.frombuffer(ids, np.int64)[w])
-            ns.append(np.frombuffer(n, np.int32)[w])
-        keys, cids, ns = np.concatenate(keys), np.concatenate(cids), np.concatenate(ns)
-        order = np.lexsort((cids, keys))
-        keys, cids, ns = keys[order], cids[order], ns[order]
-        if len(keys):
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))
-            keys, cids, ns = keys[new], cids[new], ns[new]
-        _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        length = counts[back]
+        region = np.uint64(table.column("dest")[0].as_py() // fan[1])
+        s = Shingles.read(*(table.column(c).to_pylist() for c in Shingles.NAMES[1:]))
+        del table
+        order = np.lexsort((s.cids, s.keys))
+        keys, cids, ns = s.keys[order], s.cids[order], s.ns[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))
+        keys, cids, ns = keys[new], cids[new], ns[new]
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        length = np.diff(np.append(heads, len(keys)))
+        length = np.repeat(length, length)
         stay = length > 1
-        keys, cids, ns, length = keys[stay] | np.uint64(o << 48), cids[stay], ns[stay], np.minimum(length[stay], HEAVY_LENGTH - 1)
-        rows = _dealt(keys, cids, ns, length, owners)
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, _HELD_KINDS, strict=True)], names=_HELD_NAMES)
+        out = Shingles(keys[stay] | region << np.uint64(48), cids[stay], ns[stay], np.minimum(length[stay], HEAVY_LENGTH - 1))
+        schema = pa.schema(list(zip(Shingles.NAMES, Shingles.KINDS, strict=True)))
+        return pa.Table.from_batches(out.messages(_of(out.cids.view(np.uint64), 48, fan[0]), True), schema)
 
     return run
 
@@ -224,16 +275,9 @@ def _hold(percent: int):
     """Holder: puts classes' shared shingles together, rarest first, and finds each one's prefix."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, cids, ns, lengths = [], [], [], []
-        for ids, n, k, ln, who in zip(*(table.column(c).to_pylist() for c in ("ids", "ns", "keys", "lengths", "who")), strict=True):
-            w = np.frombuffer(who, "<u4")
-            keys.append(np.frombuffer(k, np.uint64))
-            cids.append(np.frombuffer(ids, np.int64)[w])
-            ns.append(np.frombuffer(n, np.int32)[w])
-            lengths.append(np.frombuffer(ln, "<u2"))
-        keys, cids, ns, lengths = map(np.concatenate, (keys, cids, ns, lengths))
-        order = np.lexsort((keys, lengths, cids))
-        keys, cids, ns = keys[order], cids[order], ns[order].astype(np.int64)
+        s = Shingles.read(*(table.column(c).to_pylist() for c in Shingles.NAMES[1:]))
+        order = np.lexsort((s.keys, s.lengths, s.cids))
+        keys, cids, ns = s.keys[order], s.cids[order], s.ns[order].astype(np.int64)
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))  # heavy shingles of a class come from each sender that has it
         keys, cids, ns = keys[new], cids[new], ns[new]
         begin = np.flatnonzero(np.concatenate(([True], cids[1:] != cids[:-1])))
@@ -252,7 +296,7 @@ def _hold(percent: int):
 
 class Forest:
     def __init__(self, n: int):
-        self.up, self.parts = list(range(n)), n
+        self.up, self.size, self.parts, self.largest = list(range(n)), [1] * n, n, 0
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -263,27 +307,30 @@ class Forest:
         i, j = self.find(i), self.find(j)
         if i == j:
             return False
-        self.up[max(i, j)] = min(i, j)
+        i, j = min(i, j), max(i, j)
+        self.up[j] = i
+        self.size[i] += self.size[j]
         self.parts -= 1
+        if self.size[i] >= self.size[self.find(self.largest)]:
+            self.largest = i
         return True
 
+    def in_largest(self, i: int) -> bool:
+        return self.find(i) == self.find(self.largest)
+
+
+def search(sets: list[np.ndarray], ns: list[int], percent: int = PERCENT, known: list[int] | None = None, queries: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of a block that join what was apart, each a truly similar pair.
 
-def search(sets: list[np.ndarray], ns: list[int], percent: int = PERCENT, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links of a block that join what was apart, each a truly similar pair. sets: ascending keys; ns: sizes, keys left out too; known: labels already connected."""
+    sets: ascending keys; ns: sizes, keys left out too; known: labels already connected; queries: the members compared with all others
+    (without it every pair is covered: a pair without a query lies in the largest tree at the end).
+    """
     m = len(sets)
     forest, out = Forest(m), []
     first: dict[int, int] = {}
     for i, label in enumerate(known or ()):
         forest.join(first.setdefault(label, i), i)
     sizes = np.array(ns, np.int64)
-    linked = lambda i, j, both: 100 * both >= percent * (ns[i] + ns[j] - both)
-    if m <= 3:
-        for i in range(m):
-            for j in range(i + 1, m):
-                if forest.find(i) != forest.find(j) and linked(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
-                    forest.join(i, j)
-                    out.append((i, j))
-        return out
     keys = np.concatenate(sets)
     who = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(keys, kind="stable")  # lists hold classes in ascending order
@@ -291,36 +338,42 @@ def search(sets: list[np.ndarray], ns: list[int], percent: int = PERCENT, known:
     heads = np.flatnonzero(np.concatenate(([True], listed[1:] != listed[:-1])))
     stops = np.append(heads[1:], len(listed))
     names = listed[heads]
-    for x in range(m):
-        if forest.parts == 1:
-            break
+    #: Every entry as list * m + class, ascending: a binary search finds a class in any list.
+    entries = np.repeat(np.arange(len(heads)), stops - heads) * m + postings
+
+    def query(x: int) -> None:
         at = np.searchsorted(names, sets[x])
-        a, b = heads[at], stops[at]
+        lengths = stops[at] - heads[at]
         t = -(-percent * ns[x] // 100)
-        by = np.argsort(a - b, kind="stable")  # longest first
-        longest = int(b[by[0]] - a[by[0]]) if len(by) else 0
-        aside = min(t - 1, len(by), int(t / (MU * np.log2(longest + 2) + 1)))
-        short = [postings[a[i] : b[i]] for i in by[aside:]]
-        if not short:
-            continue
-        counts = np.bincount(np.concatenate(short), minlength=m)
-        found = np.flatnonzero(counts >= t - aside)
+        by = at[np.argsort(-lengths, kind="stable")]  # longest first
+        aside = min(t - 1, len(by), int(t / (MU * np.log2(int(lengths.max(initial=0)) + 2) + 1)))
+        short = [postings[heads[i] : stops[i]].tolist() for i in by[aside:]]
+        seen = ((c, sum(1 for _ in run)) for c, run in groupby(heapq.merge(*short)))
         mine = forest.find(x)
-        found = np.array([c for c in found.tolist() if c != x and forest.find(c) != mine], np.int64)
-        need = (percent * (ns[x] + sizes[found]) + 99 + percent) // (100 + percent)
-        total = counts[found]
-        for k, i in enumerate(by[:aside]):
-            live = total + (aside - k) >= need
-            if not live.all():
-                found, total, need = found[live], total[live], need[live]
-            if not len(found):
-                break
-            lst = postings[a[i] : b[i]]
-            p = np.searchsorted(lst, found)
-            total = total + ((p < len(lst)) & (lst[np.minimum(p, len(lst) - 1)] == found))
-        for c, both in zip(found.tolist(), total.tolist(), strict=True):
-            if linked(x, c, both) and forest.join(x, c):
+        hits = [(c, k) for c, k in seen if k >= t - aside and forest.find(c) != mine]
+        if not hits:
+            return
+        found, total = (np.array(v, np.int64) for v in zip(*hits, strict=True))
+        need = -(-percent * (ns[x] + sizes[found]) // (100 + percent))
+        if aside:
+            wanted = by[:aside, None] * m + found
+            place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+            total = total + (entries[place] == wanted).sum(axis=0)
+        for c in found[total >= need].tolist():
+            if forest.join(x, c):
                 out.append((x, c))
+
+    todo = list(range(m)) if queries is None else queries
+    while todo and forest.parts > 1:
+        left = []
+        for x in todo:
+            if forest.parts == 1:
+                break
+            if queries is None and forest.size[forest.find(forest.largest)] > 1 and forest.in_largest(x):
+                left.append(x)
+            else:
+                query(x)
+        todo = [x for x in left if not forest.in_largest(x)]
     return out
 
 
@@ -331,7 +384,8 @@ def _search(percent: int):
         task, held = None, []
 
         def finish():
-            links = search([np.frombuffer(r[3], np.uint64) for r in held], [r[1] for r in held], percent, [r[2] for r in held])
+            asked = None if all(r[3] for r in held) else [i for i, r in enumerate(held) if r[3]]
+            links = search([np.frombuffer(r[4], np.uint64) for r in held], [r[1] for r in held], percent, [r[2] for r in held], asked)
             return [(held[i][0], held[j][0]) for i, j in links]
 
         def table(pairs):
@@ -339,7 +393,7 @@ def _search(percent: int):
 
         for batch in batches:
             out = []
-            for t, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for t, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if t != task:
                     if len(held) > 1:
                         out += finish()
@@ -353,75 +407,96 @@ def _search(percent: int):
 
 
 def _searched(tasks: DataFrame, percent: int) -> DataFrame:
-    """tasks: task, cid, n, label, shared."""
-    dealt = tasks.select("task", "cid", "n", "label", "shared").repartition(n_parts(tasks.sparkSession), "task").sortWithinPartitions("task", "cid")
+    """tasks: task, cid, n, label, query, shared."""
+    dealt = tasks.select("task", "cid", "n", "label", "query", "shared").repartition(n_parts(tasks.sparkSession), "task").sortWithinPartitions("task", "cid")
     return dealt.mapInArrow(_search(percent), "u long, v long")
 
 
+def _asked(members: DataFrame, query, percent: int, block: int) -> DataFrame:
+    """Links of queries with all of their block. members: block, cid, n, label, shared, m (members of the block), q (its queries); query: which are queries.
+
+    A block is dealt in chunks and its queries in sets, of about `block` each; a task has a chunk and a set.
+    """
+    chunks, groups = F.ceil(F.col("m") / block).cast("int"), F.ceil(F.greatest("q", F.lit(1)) / block).cast("int")
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    placed = members.withColumn("chunk", part("chunk", chunks)).withColumn("chunks", chunks).withColumn("own", F.when(query, part("set", groups))).withColumn("groups", groups)
+    inside = placed.withColumn("group", each(F.col("groups"))).withColumn("query", F.coalesce(F.col("own") == F.col("group"), F.lit(False)))
+    outside = placed.filter(F.col("own").isNotNull()).withColumn("group", F.col("own")).withColumn("_to", each(F.col("chunks"))).filter("_to <> chunk").withColumn("chunk", F.col("_to")).drop("_to").withColumn("query", F.lit(True))
+    rows = inside.unionByName(outside)
+    return _searched(rows.withColumn("task", F.xxhash64("block", "chunk", "group")), percent)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows: ..., cid, label. Follows the links found since."""
+    named = components(links)
+    return rows.join(named, rows["cid"] == named["id"], "left").withColumn("label", F.coalesce("root", "label")).drop("id", "root")
+
+
+def large_links(members: DataFrame, keys: DataFrame | None, *, percent: int, block: int) -> DataFrame:
+    """Links of blocks that are too large for a task. members: block, cid, n, label, shared, m; keys: cid, key, by which a block falls apart (None: it is such a list)."""
+    chosen = members.groupBy("block").agg(F.array(*[F.min_by("cid", F.xxhash64(F.lit(i), "cid")) for i in range(PIVOTS)]).alias("pivots"))
+    pivoted = members.join(chosen, "block").withColumn("q", F.lit(PIVOTS))
+    found = written(_asked(pivoted, F.array_contains("pivots", F.col("cid")), percent, block), "pivot-links")
+    named = written(_labelled(members.select("block", "cid", "label"), found), "labels")
+    sizes = written(named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("k")), "label-sizes")
+    masses = sizes.groupBy("block").agg(F.max_by("label", F.struct("k", "label")).alias("mass"), (F.sum("k") - F.max("k")).alias("q"))
+    masses = written(masses.filter("q > 0"), "masses")
+    state = members.drop("label").join(named, ["block", "cid"]).join(masses, "block")
+    near = state if keys is None else state.filter(F.col("q") <= block)
+    out = found.unionByName(written(_asked(near, F.col("label") != F.col("mass"), percent, block), "rest-links"))
+    if keys is None or not masses.filter(F.col("q") > block).limit(1).count():
+        return out
+    hard = written(state.filter(F.col("q") > block).select("cid", "n", "label", "shared"), "hard")
+    held = keys.join(hard.select("cid", "label"), "cid")
+    lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("sign"), F.min("label").alias("a"), F.max("label").alias("b"))
+    lists = written(lists.filter("a <> b").groupBy("m", "sign").agg(F.min("key").alias("key")).select("key", "m"), "lists")
+    rows = keys.join(lists, "key").join(hard, "cid").withColumnRenamed("key", "block")
+    short = written(_searched(rows.filter(F.col("m") <= block).withColumn("task", F.col("block")).withColumn("query", F.lit(True)), percent), "list-links")
+    out = out.unionByName(short)
+    if lists.filter(F.col("m") > block).limit(1).count():
+        out = out.unionByName(large_links(written(rows.filter(F.col("m") > block), "long-lists"), None, percent=percent, block=block))
+    return out
+
+
 def links(held: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """held: cid, n, prefix, shared. Returns u, v: similar pairs that connect all that is connected."""
     keys = held.select("cid", F.explode("prefix").alias("key"))
     meets = keys.groupBy("key").agg(F.min("cid").alias("v"), F.max("cid").alias("top")).filter("v <> top").select("key", "v")
     coarse = keys.join(meets, "key").select(F.col("cid").alias("u"), "v").distinct()
     blocks = components(coarse).select(F.col("id").alias("cid"), F.col("root").alias("block"))
-    placed = held.select("cid", "n", "shared").join(blocks, "cid")
     counts = written(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")), "blocks")
-    large = counts.filter(F.col("m") > block)
-    whole = placed.join(counts.filter(F.col("m") <= block).select("block"), "block", "left_semi")
-    found = written(_searched(whole.select(F.col("block").alias("task"), "cid", "n", F.col("cid").alias("label"), "shared"), percent), "links")
-    if not large.limit(1).count():
+    placed = held.select("cid", "n", "shared").join(blocks, "cid").join(counts, "block").withColumn("label", F.col("cid"))
+    whole = placed.filter(F.col("m") <= block).withColumn("task", F.col("block")).withColumn("query", F.lit(True))
+    found = written(_searched(whole, percent), "links")
+    if not counts.filter(F.col("m") > block).limit(1).count():
         return found
-    # Pivots against all of a large block, chunk by chunk.
-    part = written(placed.join(large, "block").withColumn("chunks", F.ceil(F.col("m") / block).cast("int")), "large")
-    score = F.xxhash64(F.lit("pivot"), "cid")
-    edge = part.groupBy("block").agg(F.percentile_approx(score, F.lit(min(1.0, PIVOTS / block)), F.lit(10_000)).alias("cut"), F.first("chunks").alias("c"))
-    pivots = part.join(edge, "block").filter(score <= F.col("cut"))
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "cid"), F.col("chunks")).cast("int")
-    rows = part.select("block", chunk.alias("chunk"), "cid", "n", "shared").unionByName(pivots.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cid", "n", "shared"))
-    task = F.xxhash64("block", "chunk").alias("task")
-    first = written(_searched(rows.dropDuplicates(["block", "chunk", "cid"]).select(task, "cid", "n", F.col("cid").alias("label"), "shared"), percent), "pivot-links")
-    # What is still apart, in pairs of chunks; chunks hold one component where they can, and two chunks of one component are not compared.
-    labels = components(first)
-    named = part.join(labels, part["cid"] == labels["id"], "left").withColumn("label", F.coalesce("root", "cid")).drop("id", "root")
-    sizes = written(named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("k")), "labels")
-    big = F.col("k") * 4 >= block
-    own = F.when(big, F.col("label")).otherwise(F.lit(None).cast("long"))
-    groups = sizes.groupBy("block", own.alias("own")).agg(F.sum("k").alias("k")).withColumn("pieces", F.ceil(2 * F.col("k") / block).cast("int"))
-    pieces = written(groups.select("block", "own", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")), "pieces")
-    a, b = pieces.select("block", F.col("own").alias("own_a"), F.col("piece").alias("piece_a")), pieces.select(F.col("block").alias("block_b"), F.col("own").alias("own_b"), F.col("piece").alias("piece_b"))
-    order = lambda own, piece: F.struct(F.coalesce(own, F.lit(-(1 << 63))), piece)
-    apart = (order(F.col("own_a"), F.col("piece_a")) <= order(F.col("own_b"), F.col("piece_b"))) & ~((F.col("own_a") == F.col("own_b")) & F.col("own_a").isNotNull()).eqNullSafe(True)
-    plan = a.join(b, (F.col("block") == F.col("block_b")) & apart).withColumn("task", F.xxhash64("block", "own_a", "piece_a", "own_b", "piece_b"))
-    ends = plan.select("block", "task", F.col("own_a").alias("o"), F.col("piece_a").alias("p")).unionByName(plan.select("block", "task", F.col("own_b").alias("o"), F.col("piece_b").alias("p"))).distinct()
-    ends = ends.withColumnRenamed("block", "_b")
-    member = named.join(sizes, ["block", "label"]).withColumn("own", own).join(groups.select(F.col("block").alias("_gb"), F.col("own").alias("_go"), "pieces"), (F.col("block") == F.col("_gb")) & F.col("own").eqNullSafe(F.col("_go")))
-    member = member.withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), "cid"), F.col("pieces")).cast("int"))
-    tasks = member.join(ends, (F.col("block") == F.col("_b")) & F.col("own").eqNullSafe(F.col("o")) & (F.col("piece") == F.col("p")))
-    second = written(_searched(tasks.select("task", "cid", "n", "label", "shared"), percent), "chunk-links")
-    return found.unionByName(first).unionByName(second)
-
-
-def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK, owners: int | None = None, sample: int = SAMPLE, heavy_share: float = HEAVY_SHARE, heavy_least: int = HEAVY_LEAST) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, null as empty), set_id and root (a component's own id; null without shingles), one row per row of docs."""
+    large = written(placed.filter(F.col("m") > block), "large")
+    shared = keys.join(meets.select("key"), "key").join(large.select("cid"), "cid", "left_semi")
+    return found.unionByName(large_links(large, written(shared, "large-keys"), percent=percent, block=block))
+
+
+def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK, owners: int | None = None, fan: int = FAN, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_shingles, component_id, text_sha (SHA-256 of the text, null as empty), set_id and root (a component's own id; null without shingles), one row per row of docs."""
     spark = docs.sparkSession
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = written(named.mapInArrow(_sizes(size), "doc_id long, text_hash long, cid long, n long"), "sets")
-    total = rows.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    if owners is None:
-        owners = min(60_000, max(n_parts(spark), -(-(total["n"] or 0) // OWNER_SHINGLES)))
-    heavy = heavy_shingles(named, total["rows"], size, sample, heavy_share, heavy_least)
-    sent = named.select("text").mapInArrow(_send(size, owners, heavy), "owner int, ids binary, ns binary, low binary, who binary")
-    dealt = sent.groupBy("owner").applyInArrow(_own(owners), _HELD_DDL)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_sha"))
+    rows = written(named.mapInArrow(_sizes(size), "doc_id long, text_sha binary, cid long, n long, often array<long>, times array<long>"), "sets")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    to = fans(owners or max(n_parts(spark), -(-total // OWNER_SHINGLES)), fan)
+    most = min(REGION_SHINGLES, max(1, total)) if fan == FAN else 1_000
+    heavy = heavy_shingles(rows, total, list_limit)
+    sent = _dealt_on(named.select("text").mapInArrow(_send(size, to[0], heavy), Shingles.DDL), to, False, most)
+    kept = _dealt_on(sent.groupBy("dest").applyInArrow(_own(to), Shingles.DDL), to, True, most)
     if len(heavy):
-        dealt = dealt.unionByName(named.select("text").mapInArrow(_send_heavy(size, owners, heavy), _HELD_DDL))
-    held = written(dealt.groupBy("holder").applyInArrow(_hold(percent), "cid long, n long, prefix array<long>, shared binary"), "held")
+        kept = kept.unionByName(named.select("text").mapInArrow(_send_heavy(size, to, heavy), Shingles.DDL))
+    held = written(kept.groupBy("dest").applyInArrow(_hold(percent), "cid long, n long, prefix array<long>, shared binary"), "held")
     roots = components(links(held, percent=percent, block=block))
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     joined = classes.join(roots, F.col("cid") == F.col("id"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "least")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named_classes = joined.join(best, "root").select("cid", "component_id", "root")
     out = rows.join(named_classes, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", F.col("cid").alias("set_id"), "root")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_sha", F.col("cid").alias("set_id"), "root")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """The operators as pipeline stages: each takes documents and returns those that stay, with the columns of documents.
 
-Rows are told apart by their id, source and text (64 bits of a hash), so null or repeated ids do no harm; of rows alike in
+Rows are told apart by their id, source and the SHA-256 of their text, so null or repeated ids do no harm; of rows alike in
 all three the dedup stages keep one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 
 
-def _body():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _sha(text="text"):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -24,45 +26,53 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _only(docs: DataFrame, key, keys: DataFrame, once: bool) -> DataFrame:
-    """Rows of docs whose key is among keys (a column _key)."""
-    name = _fresh(docs, "_key")
-    kept = docs.withColumn(name, key).join(keys.select(F.col("_key").alias(name)).distinct(), name, "left_semi")
-    return (kept.dropDuplicates([name]) if once else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+def _met(docs: DataFrame, own: list, found: DataFrame, keys: list[str], carry: dict[str, str], once: bool) -> DataFrame:
+    """Rows of docs whose own key columns equal a row of found, nulls being equal, with its columns to carry (name: new name); keys are not repeated in found."""
+    names = [_fresh(docs, f"_key{i}") for i in range(len(own))]
+    renamed = found.select(*[F.col(k).alias(f"{n}_") for k, n in zip(keys, names, strict=True)], *[F.col(c).alias(n) for c, n in carry.items()])
+    keyed = docs.withColumns(dict(zip(names, own, strict=True)))
+    keyed = keyed.dropDuplicates(names) if once else keyed
+    met = keyed.join(renamed, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]))
+    return met.drop(*names, *[f"{n}_" for n in names])
+
+
+def _as(docs: DataFrame, rows: DataFrame, made: dict | None = None) -> DataFrame:
+    return rows.select(*[made[c].alias(c) if made and c in made else F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents kept, without their boilerplate lines; n_chars, where there is one, follows the text."""
-    name, lines, text = (_fresh(docs, x) for x in ("_key", "_lines", "_text"))
-    keys = quality.judged(docs).filter("kept").select(F.xxhash64("doc_id", "source", "text_hash").alias(name), F.col("boilerplate").alias(lines)).dropDuplicates([name])
-    kept = docs.withColumn(name, F.xxhash64("doc_id", "source", _body())).join(keys, name)
+    lines, text = (_fresh(docs, x) for x in ("_lines", "_text"))
+    judged = quality.judged(docs).filter("kept").select("doc_id", "source", "text_sha", "boilerplate").dropDuplicates(["doc_id", "source", "text_sha"])
+    kept = _met(docs, [F.col("doc_id"), F.col("source"), _sha()], judged, ["doc_id", "source", "text_sha"], {"boilerplate": lines}, False)
     kept = kept.withColumn(text, quality.cleaned(F.col("text"), F.col(lines)))
     length = F.when(F.col(lines).isNotNull() & F.col("n_chars").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    made = {"text": F.col(text), "n_chars": length}
-    return kept.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
+    return _as(docs, kept, {"text": F.col(text), "n_chars": length})
 
 
 def exact_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keys = exact_dedup.dedup(docs).filter("kept").select(F.xxhash64("doc_id", "text_sha256").alias("_key"))
-    return _only(docs, F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)), keys, True)
+    kept = exact_dedup.dedup(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha")).distinct()
+    return _as(docs, _met(docs, [F.col("doc_id"), _sha()], kept, ["doc_id", "sha"], {}, True))
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row with the smallest id stays (nulls last, then by text); texts without words stay each."""
     found = jaccard_join.join(docs)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t")))
-    grouped = found.filter(F.col("root").isNotNull()).groupBy("root").agg(least.alias("s")).select(F.xxhash64("s.i", "s.t").alias("_key"))
-    alone = found.filter(F.col("root").isNull()).select(F.xxhash64("doc_id", "text_hash").alias("_key"))
-    return _only(docs, F.xxhash64("doc_id", _body()), grouped.unionByName(alone), True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_sha").alias("t")))
+    grouped = found.filter(F.col("root").isNotNull()).groupBy("root").agg(least.alias("s")).select(F.col("s.i").alias("i"), F.col("s.t").alias("t"))
+    alone = found.filter(F.col("root").isNull()).select(F.col("doc_id").alias("i"), F.col("text_sha").alias("t"))
+    return _as(docs, _met(docs, [F.col("doc_id").cast("long"), _sha()], grouped.unionByName(alone).distinct(), ["i", "t"], {}, True))
 
 
 def source_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    key, name, times = F.xxhash64("doc_id", "source", _body()), _fresh(docs, "_key"), _fresh(docs, "_times")
-    decided = mixing.mix(docs.select("doc_id", "source", "text", key.alias("_key")), carry=("_key",)).groupBy("_key").agg(F.sum("copies").cast("int").alias("n"))
-    decided = decided.filter("n > 0").select(F.col("_key").alias(name), F.sequence(F.lit(1), F.col("n")).alias(times))
-    rows = docs.withColumn(name, key).dropDuplicates([name]).join(decided, name)
-    return rows.withColumn(times, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = _fresh(docs, "_times")
+    sha = _fresh(docs, "_sha")
+    rows = docs.select("doc_id", "source", "text", _sha().alias(sha))
+    decided = mixing.mix(rows, carry=(sha,)).groupBy("doc_id", "source", sha).agg(F.sum("copies").cast("int").alias("n")).filter("n > 0")
+    decided = decided.withColumn("times", F.sequence(F.lit(1), F.col("n")))
+    met = _met(docs, [F.col("doc_id"), F.col("source"), _sha()], decided, ["doc_id", "source", sha], {"times": times}, True)
+    return _as(docs, met.withColumn(times, F.explode(times)))
 
 
 def bpe_round_trip(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,20 +64,49 @@ def similar(docs, size=5, percent=75):
     return counted((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("block", "owners", "least"), [(3000, 4, 40), (4, 3, 40), (3000, 3, 2)])
-def test_jaccard(spark, block, owners, least):
+@pytest.mark.parametrize(("block", "owners", "fan", "limit"), [(1000, 4, 2048, 250_000), (4, 3, 2048, 250_000), (1000, 3, 2048, 2), (2, 9, 4, 250_000), (3, 7, 2, 3)])
+def test_jaccard(spark, monkeypatch, block, owners, fan, limit):
+    """Small bounds force large blocks, two levels of owners, and heavy shingles."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
     docs = documents(spark)
-    got = jaccard_join.join(docs, block=block, owners=owners, heavy_least=least).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard_join.join(docs, block=block, owners=owners, fan=fan, list_limit=limit).select("doc_id", "n_shingles", "component_id").collect()
     assert counted(tuple(r) for r in got) == similar(docs)
 
 
+def chained(n: int = 60) -> list[str]:
+    """Texts that share rare passages with their neighbours, some of them near copies, so blocks are chains of what is not alike."""
+    r = np.random.default_rng(9)
+    words = lambda k: " ".join(f"v{x}" for x in r.integers(0, 10**6, k))
+    passages = [words(12) for _ in range(n + 1)]
+    out = []
+    for i in range(n):
+        text = f"{passages[i]} {passages[i + 1]} {words(6)} {passages[7]}"
+        out += [text, f"{text} more"] if i % 3 == 0 else [text]
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 5, 1000])
+def test_jaccard_of_chains(spark, block):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(chained())], "doc_id long, text string, source string").repartition(3)
+    got = jaccard_join.join(docs, block=block).select("doc_id", "n_shingles", "component_id").collect()
+    assert counted(tuple(r) for r in got) == similar(docs)
+
+
+def test_fans():
+    assert jaccard_join.fans(2048) == (2048, 1)
+    assert all(a * b >= n and a <= 0xFFFF for n in (2049, 10**5, 13 * 10**6) for a, b in [jaccard_join.fans(n)])
+
+
 def test_search_matches_all_pairs():
     r = np.random.default_rng(3)
     base = r.choice(2**40, 60, replace=False).astype(np.uint64)
     sets = [np.unique(np.concatenate((r.choice(base, 50, replace=False), r.choice(2**40, r.integers(0, 12)).astype(np.uint64)))) for _ in range(40)]
     ns = [len(s) for s in sets]
     forest = jaccard_join.Forest(40)
-    for i, j in jaccard_join.search(sets, ns):
+    found = jaccard_join.search(sets, ns)
+    asked = jaccard_join.search(sets, ns, queries=[3, 17])
+    assert {x for x, _ in asked} <= {3, 17}
+    for i, j in found:
         assert 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
         forest.join(i, j)
     for i in range(40):
