@@ -176,9 +176,14 @@ def hash_texts(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(raw) + b"\n"
-    if lower:
-        data = data.lower()
-    hashes, places, at = [], [], 0
+    h, places = hash_bytes(data.lower() if lower else data)
+    heads = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    return h, np.searchsorted(places, heads)
+
+
+def hash_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of UTF-8 text that ends in white space, and where they begin."""
+    hashes, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(data):
         stop = min(len(data), at + _BLOCK)
         while stop < len(data) and not _BLANK[data[stop - 1]]:
@@ -187,8 +192,15 @@ def hash_texts(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray
         hashes.append(h)
         places.append(begins + at)
         at = stop
-    heads = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), heads)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def unrolled(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each run of word hashes h[bounds[i]:bounds[i + 1]], order taken into account."""
+    up, down = _powers(len(h) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(finish(h + _STEP) * up[:-1])))
+        return finish((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * _STEP)
 
 
 def batch_windows(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,20 +1,20 @@
 """Quality rules by cross-document line frequency.
 
-Each line is normalised (letter case, digits and white space) and hashed. For every host (the `source` column) the distinct
-documents holding a line are counted; documents with one and the same text count once, so copies of a clean text do not
-make its lines common. A line is boilerplate if more than `line_share` of the host's distinct documents hold it, and more than
-`line_least` of them, a floor of a few documents, so small hosts are judged by the share as large ones are. The query op6_quality
-keeps the floor of 100 that its SQL equivalent has. A document is depleted, and rejected, if fewer than `least_words` words remain
-without them, or less than `least_share` of its words; cleaned() takes the lines out of the documents kept. Base rules (too few words, too much repetition inside the text)
-reject too.
-
-One pass over the texts makes the base measures and the lines' hashes, which are written once; counting and joining then
-move only hashes. Counts combine on the map side; the join of lines with boilerplate lines leaves hot lines to adaptive
-skew handling, or is broadcast where Spark finds the boilerplate small.
-
-Edge cases: null and blank texts have no words, fail the base rule, and are not kept; a null source is a host of its own;
-an empty table gives no rows; repeated rows are judged alike and each returned; a text of any length is read whole; other
-columns are ignored, whatever their names.
+Each line is normalised (A-Z lower-cased, runs of 0-9 as one 0, runs of ASCII white space as one blank, none at the ends) and hashed. For
+every host (the `source` column) the distinct documents holding a line are counted; documents with one and the same text count once,
+so copies of a clean text do not make its lines common. A line is boilerplate if more than `line_share` of the host's distinct
+documents hold it, and more than `line_least` of them, a floor of a few documents, so small hosts are judged by the share as large ones
+are. Boilerplate lines are removed. A document is depleted, and rejected, if fewer than `least_words` words remain without them, or
+less than `least_share` of its words. Base rules (too few words, too much repetition inside the text) reject too.
+
+One pass over the texts makes the base measures and the lines' hashes, in numpy over slices of texts, which are written once;
+counting and joining then move only hashes. Counts combine on the map side; the join of lines with boilerplate lines leaves hot
+lines to adaptive skew handling, or is broadcast where Spark finds the boilerplate small. Only texts that lose lines are read again
+in Python; they are found by host and SHA-256, sent to every task if their counted number is at most `broadcast_rows`, else by a shuffle.
+
+Edge cases: null and blank texts have no words, fail the base rule, and are not kept; lines without words are never boilerplate; a
+null source is a host of its own; an empty table gives no rows; repeated rows are judged alike and each returned; a text of any
+length is read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,93 +25,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import hash_words, split_words, window_hashes, written
+from quillstone.llm.common import finish, hash_bytes, slices, unrolled, window_hashes, written
 
 LINE_SHARE, LINE_LEAST = 0.02, 6
-#: The floor in the SQL equivalent of op6_quality.
-SQL_LINE_LEAST = 100
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
+REPEAT = 5
+BROADCAST_ROWS = 100_000
 SYMBOLS = "#*$%&|<>"
-_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
-
-
-def normal_line(line: str) -> str:
-    """Lower case, digit runs as 0, white space runs as one space."""
-    return _DIGITS.sub("0", _SPACE.sub(" ", line.strip().lower()))
-
-
-def repeated_words(words: list[bytes], size: int = 5) -> int:
-    """Words in windows of `size` words that the text holds twice or more, the first of them too."""
-    n = len(words)
-    if n <= size:
-        return 0
-    _, back, counts = np.unique(window_hashes(hash_words(words), size), return_inverse=True, return_counts=True)
-    twice = counts[back] > 1
-    if not twice.any():
+SLICE_CHARS = 2_000_000
+_DIGITS = re.compile(rb"[0-9]+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def line_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line of the texts, one after another: its text, its normalised hash and its number of words."""
+    data = b"\n".join([_DIGITS.sub(b"0", r.lower()) for r in raw]) + b"\n"
+    h, begins = hash_bytes(data)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    bounds = np.concatenate(([0], np.searchsorted(begins, ends)))
+    text = np.repeat(np.arange(len(raw)), [r.count(b"\n") + 1 for r in raw])
+    return text, unrolled(h, bounds), np.diff(bounds)
+
+
+def repeated_words(h: np.ndarray, bounds: np.ndarray, size: int = REPEAT) -> np.ndarray:
+    """Of each text, the words in windows of `size` words that the text holds twice or more, the first of them too."""
+    n = len(h)
+    total = np.zeros(n + 1, np.int64)
+    g = window_hashes(h, size)
+    if len(g):
+        doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        own = np.flatnonzero(doc[: len(g)] == doc[size - 1 :])
+        with np.errstate(over="ignore"):
+            mixed = finish(g[own] + doc[own] * _STEP)
+        _, back, counts = np.unique(mixed, return_inverse=True, return_counts=True)
+        at = own[counts[back] > 1]
+        np.add.at(total, at, 1)
+        np.add.at(total, at + size, -1)
+    covered = np.concatenate(([0], np.cumsum(np.cumsum(total[:-1]) > 0)))
+    return covered[bounds[1:]] - covered[bounds[:-1]]
+
+
+def duplicate_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line."""
+    if "\n" not in text:
         return 0
-    edges = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(twice)
-    np.add.at(edges, at, 1)
-    np.add.at(edges, at + size, -1)
-    return int((np.cumsum(edges[:-1]) > 0).sum())
+    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
+    return len(lines) - len(set(lines))
 
 
-def line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(normal_line(line).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def without_lines(text: str, hashes) -> str:
-    """The text less its lines of these hashes; lines without words stay."""
-    gone = set(hashes)
-    return "\n".join(x for x in text.split("\n") if line_hash(x) not in gone)
-
-
-def measures(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then the lines' hashes and word counts."""
-    text = text or ""
-    words = split_words(text)
-    seen, lines, counts, dups = set(), [], [], 0
-    for line in text.split("\n"):
-        if n := len(line.encode("utf-8", "surrogatepass").split()):
-            if line in seen:
-                dups += 1
-            seen.add(line)
-            lines.append(line_hash(line))
-            counts.append(n)
-    blanks = sum(text.count(c) for c in " \t\n\x0b\x0c\r")
-    return len(words), len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dups, repeated_words(words), lines, counts
-
-
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.iloc[at : at + 1000]
-            out = pd.DataFrame([measures(t) for t in part["text"]], columns=names, index=part.index)
-            yield pd.concat([part[["doc_id", "source", "body"]], out], axis=1)
-
-
-_MEASURED = "doc_id long, source string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+        texts = [t or "" for t in batch.column(4).to_pylist()]
+        for a, b in slices([len(t) for t in texts], SLICE_CHARS):
+            part = texts[a:b]
+            raw = [encoded(t) for t in part]
+            h, begins = hash_bytes(b"\n".join(raw) + b"\n")
+            bounds = np.searchsorted(begins, np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))))
+            of, lines, words = line_hashes(raw)
+            some = words > 0
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(of[some], minlength=len(part)))))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, t)) for v, t in ((lines[some].view(np.int64), pa.int64()), (words[some].astype(np.int32), pa.int32()))]
+            chars = [len(t) - sum(map(t.count, " \t\n\x0b\x0c\r")) for t in part]
+            counts = [np.diff(bounds), chars, [sum(map(t.count, SYMBOLS)) for t in part], [duplicate_lines(t) for t in part], repeated_words(h, bounds)]
+            own = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(4)), *(pa.array(c, pa.int64()) for c in counts), *lists], _NAMES)
+
+
+_NAMES = ["doc_id", "source", "body", "text_sha", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
+_MEASURED = "doc_id long, source string, body long, text_sha binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs: doc_id, text, source. Returns doc_id, source, text_hash, the measures, boilerplate (its lines' hashes), base_failed, n_boilerplate_words and kept, one row per row of docs."""
-    named = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
-    rows = written(named.mapInPandas(_measure, _MEASURED).withColumn("row", F.monotonically_increasing_id()), "lines")
+    """docs: doc_id, text, source. Returns doc_id, source, text_sha, the measures, boilerplate (its lines' hashes, null if it has none), base_failed, n_boilerplate_words and kept, one row per row of docs."""
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", "source", F.xxhash64(text).alias("body"), F.unhex(F.sha2(text, 256)).alias("text_sha"), "text")
+    rows = written(named.mapInArrow(_measure, _MEASURED).withColumn("row", F.monotonically_increasing_id()), "lines")
     hosts = rows.groupBy("source", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
     each = rows.select("row", "source", "body", F.explode(F.arrays_zip("lines", "line_words")).alias("z")).select("row", "source", "body", F.col("z.lines").alias("line"), F.col("z.line_words").alias("words"))
     held = each.select("source", "line", "body").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > line_least)
     held = held.withColumnRenamed("source", "_s").join(hosts, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     common = held.filter(F.col("line_docs") > F.col("host_docs") * line_share).select("_s", F.col("line").alias("_line"))
     lost = each.join(common, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line"))).groupBy("row").agg(F.sum("words").alias("lost"), F.sort_array(F.collect_set("line")).alias("boilerplate"))
-    out = rows.drop("lines", "line_words").join(lost, "row", "left").withColumn("n_boilerplate_words", F.coalesce("lost", F.lit(0)).cast("long"))
+    out = rows.drop("lines", "line_words", "body").join(lost, "row", "left").withColumn("n_boilerplate_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     depleted = (F.col("n_boilerplate_words") > 0) & ((left < least_words) | (left < F.col("n_words") * least_share))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).withColumnRenamed("body", "text_hash").drop("row", "lost")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row", "lost")
+
+
+def without_lines(text: str, hashes) -> str:
+    """The text less its lines of these hashes; lines without words stay."""
+    _, found, words = line_hashes([encoded(text)])
+    gone = (words > 0) & np.isin(found.view(np.int64), np.array(list(hashes), np.int64))
+    return "\n".join([x for x, g in zip(text.split("\n"), gone, strict=True) if not g])
 
 
 def _without_lines(text: pd.Series, hashes: pd.Series) -> pd.Series:
@@ -124,6 +138,19 @@ def cleaned(text, hashes):
     return F.when(some, F.pandas_udf(_without_lines, "string")(F.when(some, text), hashes)).otherwise(text)
 
 
+def changed_texts(docs: DataFrame, found: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Each distinct text of a host that loses lines: source, text_sha, kept_text. found: what judged() returns."""
+    wanted = written(found.filter("boilerplate is not null").select(F.col("source").alias("_s"), F.col("text_sha").alias("_sha"), "boilerplate").dropDuplicates(["_s", "_sha"]), "changed")
+    small = wanted.count() <= broadcast_rows
+    texts = docs.select("source", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_sha"))
+    met = texts.join(F.broadcast(wanted) if small else wanted, F.col("source").eqNullSafe(F.col("_s")) & (F.col("text_sha") == F.col("_sha"))).select("source", "text_sha", "text", "boilerplate")
+    return met.dropDuplicates(["source", "text_sha"]).select("source", "text_sha", cleaned(F.col("text"), F.col("boilerplate")).alias("kept_text"))
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = written(judged(docs), "judged")
+    changed = changed_texts(docs, found).select(F.col("source").alias("_s"), F.col("text_sha").alias("_sha"), F.sha2("kept_text", 256).alias("changed"))
+    out = found.join(changed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("text_sha") == F.col("_sha")), "left")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words"]
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), line_least=SQL_LINE_LEAST).select(*names)
+    return out.select(*names, F.coalesce("changed", F.lower(F.hex("text_sha"))).alias("cleaned_sha256"))

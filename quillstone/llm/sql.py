@@ -31,19 +31,23 @@ with d as (select row_number() over () as r, doc_id, source, coalesce(text, '')
 win as (select r, i, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) > 4)),
 rep as (select r, i from win qualify count(*) over (partition by r, g) > 1),
 cov as (select r, count(distinct i + k) as n from rep, range(0, 5) s(k) group by r),
-lin as (select r, source, t, l, regexp_replace(regexp_replace(lower(trim(l)), '\s+', ' ', 'g'), '\d+', '0', 'g') as norm, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n
-  from (select r, source, t, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]')),
+every as (select r, source, t, unnest(string_split(t, chr(10))) as l, unnest(range(1, len(string_split(t, chr(10))) + 1)) as p from d),
+lin as (select r, source, t, l, p, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n,
+  regexp_replace(trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') as norm
+  from every where regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup as (select r, count(*) - count(distinct l) as n from lin group by r),
-held as (select source, norm, count(distinct t) as c from lin group by 1, 2 having c > 100),
+held as (select source, norm, count(distinct t) as c from lin group by 1, 2 having c > 6),
 host as (select source, count(distinct t) as c from d group by 1),
-lost as (select r, sum(n) as n from lin join (select held.source, norm from held join host on held.source is not distinct from host.source where held.c > 0.02 * host.c) h
-  on lin.source is not distinct from h.source and lin.norm = h.norm group by r),
+common as (select held.source, norm from held join host on held.source is not distinct from host.source where held.c > 0.02 * host.c),
+gone as (select r, p, n from lin join common h on lin.source is not distinct from h.source and lin.norm = h.norm),
+lost as (select r, sum(n) as n from gone group by r),
+rest as (select r, string_agg(l, chr(10) order by p) as k from every anti join gone using (r, p) group by r),
 m as (select d.r, doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
-  coalesce(dup.n, 0) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as n_boilerplate_words
-  from d left join dup using (r) left join cov using (r) left join lost using (r)),
-f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_words - n_boilerplate_words as rest from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_boilerplate_words,
-  not base_failed and not (n_boilerplate_words > 0 and (rest < 10 or rest < 0.2 * n_words)) as kept from f"""
+  coalesce(dup.n, 0) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as n_boilerplate_words, sha256(coalesce(rest.k, '')) as cleaned_sha256
+  from d left join dup using (r) left join cov using (r) left join lost using (r) left join rest using (r)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_words - n_boilerplate_words as remaining from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_boilerplate_words, cleaned_sha256,
+  not base_failed and not (n_boilerplate_words > 0 and (remaining < 10 or remaining < 0.2 * n_words)) as kept from f"""
 
 ORACLES["op9_substring_dedup"] = rf"""
 with d as (select doc_id, {_WORDS} as w from documents),
