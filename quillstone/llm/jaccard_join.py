@@ -45,7 +45,7 @@ from quillstone.llm.components import components
 
 SIZE, PERCENT = 5, 75
 #: Shingles an owner takes about; classes a task compares about; first queries of a large block.
-OWNER_SHINGLES, BLOCK, PIVOTS = 1_000_000, 1_000, 4
+OWNER_SHINGLES, BLOCK, PIVOTS = 2_000_000, 3_000, 4
 #: Destinations that a sender addresses at most; shingles put together before a region's messages are dealt on.
 FAN, REGION_SHINGLES = 2_048, 2_000_000
 #: A list longer than this, or than this share of all shingles, is heavy; the share bounds how many are sent to every task.
@@ -131,7 +131,7 @@ def _of(values: np.ndarray, low: int, n: int) -> np.ndarray:
 
 
 class Shingles:
-    """Entries (shingle, class) with what messages carry of them. A message has a destination, its classes' ids, sizes and numbers of shingles, then the shingles class by class."""
+    """Entries (shingle, class) with what messages carry of them. A message has a destination, its classes' ids, sizes and numbers of shingles, then the shingles class by class. Sizes take 2 bytes and numbers 1, or 4 each where some in the message is larger."""
 
     NAMES = ("dest", "ids", "ns", "counts", "keys", "lengths")
     KINDS = (pa.int64(), *[pa.binary()] * 5)
@@ -142,8 +142,8 @@ class Shingles:
 
     @classmethod
     def read(cls, ids: list, ns: list, counts: list, keys: list, lengths: list) -> Shingles:
-        times = np.frombuffer(b"".join(counts), "<u4")
-        each = lambda parts, kind: np.repeat(np.frombuffer(b"".join(parts), kind), times)
+        small = lambda parts, kind: np.concatenate([np.frombuffer(x, kind if 8 * len(x) < 4 * len(i) else "<u4") for x, i in zip(parts, ids, strict=True)]).astype(np.int64)
+        times = small(counts, "u1")
         packed = b"".join(keys)
         wide = len(packed) == 8 * int(times.sum())  # 8 bytes from an owner on, 6 before
         if wide:
@@ -152,22 +152,25 @@ class Shingles:
             full = np.zeros((len(packed) // 6, 8), np.uint8)
             full[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
             k = full.view("<u8").ravel()
-        return cls(k, each(ids, np.int64), each(ns, np.int32), np.frombuffer(b"".join(lengths), "<u2") if wide else np.zeros(len(k), np.uint16))
+        return cls(k, np.repeat(np.frombuffer(b"".join(ids), np.int64), times), np.repeat(small(ns, "<u2"), times), np.frombuffer(b"".join(lengths), "<u2") if wide else np.zeros(len(k), np.uint16))
 
-    def messages(self, dest: np.ndarray, wide: bool):
-        """A batch of messages to the destinations of the entries; none without entries."""
-        order = np.lexsort((self.cids, dest))
+    def messages(self, dest: np.ndarray, wide: bool, by_class: bool = False):
+        """A batch of messages to the destinations of the entries; none without entries. by_class: entries of a class stand together."""
+        if len(dest) and dest.max() <= 0xFFFF:
+            dest = dest.astype(np.uint16)
+        order = np.argsort(dest, kind="stable") if by_class else np.lexsort((self.cids, dest))
         d, c, n, k, ln = dest[order], self.cids[order], self.ns[order], self.keys[order], self.lengths[order]
         if not len(d):
             return
         runs = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]))))
-        counts = np.diff(np.append(runs, len(d))).astype("<u4")
+        counts = np.diff(np.append(runs, len(d)))
+        small = lambda v, kind: v.astype(kind if v.max() <= np.iinfo(kind).max else "<u4").tobytes()
         heads = np.flatnonzero(np.concatenate(([True], d[runs][1:] != d[runs][:-1])))
         packed = k if wide else np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
         rows = []
         for a, b in zip(heads, np.append(heads[1:], len(runs)), strict=True):
             r, lo, hi = runs[a:b], runs[a], runs[b] if b < len(runs) else len(d)
-            rows.append((int(d[lo]), c[r].tobytes(), n[r].astype(np.int32).tobytes(), counts[a:b].tobytes(), packed[lo:hi].tobytes(), ln[lo:hi].astype("<u2").tobytes() if wide else b""))
+            rows.append((int(d[lo]), c[r].tobytes(), small(n[r], "<u2"), small(counts[a:b], "u1"), packed[lo:hi].tobytes(), ln[lo:hi].astype("<u2").tobytes() if wide else b""))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), self.KINDS, strict=True)], list(self.NAMES))
 
 
@@ -185,7 +188,7 @@ def _send(size: int, regions: int, heavy: np.ndarray):
                 if len(heavy):
                     light = ~_among(h, heavy)
                     h, ids, ns = h[light], ids[light], ns[light]
-                yield from Shingles(h & _LOW, ids, ns, np.zeros(len(h), np.uint16)).messages(_of(h, 48, regions), False)
+                yield from Shingles(h & _LOW, ids, ns, np.zeros(len(h), np.uint16)).messages(_of(h, 48, regions), False, True)
 
     return run
 
@@ -211,7 +214,7 @@ def _send_heavy(size: int, fan: tuple[int, int], heavy: np.ndarray):
                 h, times = np.concatenate([x for _, x in classes.values()]), [len(x) for _, x in classes.values()]
                 ids, ns = np.repeat(np.array(list(classes), np.int64), times), np.repeat(np.array([n for n, _ in classes.values()], np.int32), times)
                 keys = (_of(h, 48, fan[0]).astype(np.uint64) << np.uint64(48)) | (h & _LOW)
-                yield from Shingles(keys, ids, ns, np.full(len(h), HEAVY_LENGTH, np.uint16)).messages(_holder(ids, fan), True)
+                yield from Shingles(keys, ids, ns, np.full(len(h), HEAVY_LENGTH, np.uint16)).messages(_holder(ids, fan), True, True)
 
     return run
 
@@ -463,6 +466,7 @@ def links(held: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> Dat
     """held: cid, n, prefix, shared. Returns u, v: similar pairs that connect all that is connected."""
     keys = held.select("cid", F.explode("prefix").alias("key"))
     meets = keys.groupBy("key").agg(F.min("cid").alias("v"), F.max("cid").alias("top")).filter("v <> top").select("key", "v")
+    meets = written(meets, "meets")  # read back, so that hot keys of the join can be split
     coarse = keys.join(meets, "key").select(F.col("cid").alias("u"), "v").distinct()
     blocks = components(coarse).select(F.col("id").alias("cid"), F.col("root").alias("block"))
     counts = written(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")), "blocks")
