@@ -1,6 +1,8 @@
 """Exact dedup by a Golomb-coded exchange of fingerprints.
 
-1. Every row's text gets a SHA-256; its leading bits are the fingerprint. Rows form senders of at most 65,536 rows.
+1. Every row's text gets a SHA-256; its leading bits are the fingerprint. Runs of 1,024 rows are put together to senders of about 65,536
+   rows, or of `MESSAGE` rows for each owner if that is more, so a message keeps at least about `MESSAGE` fingerprints and the number of
+   messages follows the rows at every size.
 2. A sender sorts its distinct fingerprints, cuts them by owner (a range of the fingerprint space) and sends each owner a
    Golomb-Rice code of the gaps. A text that a sender holds a thousand times is sent once, so no owner is flooded.
 3. An owner decodes what it was sent, finds fingerprints that came from two senders or more, and answers each sender
@@ -23,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import golomb
-from quillstone.llm.common import written
+from quillstone.llm.common import n_parts, written
 
 #: Bits of a fingerprint. At n rows about n / 2**48 of the single texts are suspected wrongly, and then cleared by their bytes.
 BITS = 48
-SENDER_ROWS_LOG2 = 16
-OWNER_ROWS = 2_000_000
+SENDER_ROWS, RUN_LOG2, MESSAGE = 65_536, 10, 64
+#: Fingerprints an owner decodes at once: 64 MB of them.
+OWNER_ROWS = 8_000_000
 BROADCAST_ROWS = 500_000
 
 
@@ -87,9 +90,17 @@ def _receive(owners: int):
     return receive
 
 
+def dealt(n: int, parts: int) -> tuple[int, int]:
+    """Owners and senders for n rows."""
+    owners = max(4, -(-n // OWNER_ROWS))
+    return owners, max(parts, -(-n // max(SENDER_ROWS, MESSAGE * owners)))
+
+
 def suspects(rows: DataFrame, owners: int | None = None) -> DataFrame:
-    """rows: sender, sha. Returns the distinct sha of rows whose fingerprint another row has too."""
-    owners = owners or max(1, -(-rows.count() // OWNER_ROWS) * 4)
+    """rows: row, sha. Returns the distinct sha of rows whose fingerprint another row has too."""
+    asked, senders = dealt(rows.count(), n_parts(rows.sparkSession))
+    owners = owners or asked
+    rows = rows.select(F.pmod(F.xxhash64(F.shiftright("row", RUN_LOG2)), F.lit(senders)).alias("sender"), "sha")
     coded = rows.groupBy("sender").applyInPandas(_send(owners), "owner int, sender long, n int, k int, code binary")
     bitmaps = coded.groupBy("owner").applyInPandas(_answer, "sender long, owner int, bitmap binary")
     found = rows.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_receive(owners), "sha binary")
@@ -101,8 +112,7 @@ def dedup(docs: DataFrame, *, owners: int | None = None, broadcast_rows: int = B
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select("doc_id", text.alias("text"))
     rows = written(named.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.monotonically_increasing_id().alias("row")), "digests")
-    sent = rows.select(F.shiftright("row", SENDER_ROWS_LOG2).alias("sender"), "sha")
-    found = written(suspects(sent, owners), "suspects")
+    found = written(suspects(rows.select("row", "sha"), owners), "suspects")
     small = found.count() <= broadcast_rows
     wanted = F.broadcast(found) if small else found
     texts = named.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).join(wanted, "sha", "left_semi")

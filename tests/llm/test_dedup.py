@@ -40,6 +40,13 @@ def test_exact(spark, broadcast_rows):
     assert counted(kept) == counted((keep[t], sha(t)) for t in groups)
 
 
+def test_messages_follow_the_rows():
+    """Golomb-coded lists stay long, and owners bounded, from a thousand rows to 5e10."""
+    for n in (10**3, 10**6, 10**9, 5 * 10**10):
+        owners, senders = exact_dedup.dealt(n, 12)
+        assert n / owners <= exact_dedup.OWNER_ROWS and owners * senders <= max(4 * 12, 1.1 * n / 64 + owners)
+
+
 def similar(docs, size=5, percent=75):
     rows = plain(docs)
     sets = []
