@@ -10,7 +10,7 @@ A window is `length` consecutive words. A word goes if a window over it also sta
 3. Automata. Each shard's passages become a suffix automaton over words, sent with the shard to as many tasks as its
    queries need (a checked number), and the passages of later documents stream through it. Where the matching statistic
    reaches `length`, the span is removed. This decides on words, not on hashes.
-Equal texts are handled as one reference: a text's later copies lie in its first copy as a whole.
+Equal texts, by SHA-256, are handled as one reference: a text's later copies lie in its first copy as a whole.
 
 Edge cases: null, blank and short texts have no window and stay; texts are read whole; repeated rows with one doc_id do
 not remove each other; a null doc_id counts as larger than any (and nulls as equal); an empty table gives no rows; other columns
@@ -64,7 +64,7 @@ def _mark(length: int):
                 joined = [b" ".join(split_words(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array([hashlib.sha256(j).hexdigest() for j in joined]), _lists(np.concatenate(each).view(np.int64) if each else [], cuts, pa.int64())],
-                    ["d", "th", "n_words", "sha", "marks"],
+                    ["d", "text_sha", "n_words", "sha", "marks"],
                 )
 
     return run
@@ -204,19 +204,23 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, query_words: int = QUERY_WORDS) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text. Returns (one row per row of docs: doc_id, n_words, n_removed, kept_sha256; text_hash, kept text of each changed first copy)."""
+    """docs: doc_id, text. Returns (one row per row of docs: doc_id, n_words, n_removed, kept_sha256; text_sha, kept text of each changed first copy)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = written(named.mapInArrow(_mark(length), "d long, th long, n_words long, sha string, marks array<long>"), "marks")
-    firsts = rows.filter(F.col("n_words") >= length).groupBy("th").agg(F.min("d").alias("d"))
-    texts = rows.join(firsts, ["th", "d"]).dropDuplicates(["th"]).select("th", "d", F.explode("marks").alias("mark"))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.unhex(F.sha2(text, 256)).alias("text_sha"), text.alias("text"))
+    rows = named.mapInArrow(_mark(length), "d long, text_sha binary, n_words long, sha string, marks array<long>")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "marks")
+    # A text goes by the row number of its first copy from here on.
+    firsts = rows.filter(F.col("n_words") >= length).groupBy("text_sha").agg(F.min(F.struct("d", "row")).alias("f")).select("text_sha", F.col("f.d").alias("d"), F.col("f.row").alias("th"))
+    firsts = written(firsts, "firsts")
+    texts = rows.select("row", "marks").join(firsts, rows["row"] == firsts["th"]).select("th", "d", F.explode("marks").alias("mark"))
     texts = written(texts, "first-marks")
     shared = texts.groupBy("mark").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("mark")
-    wanted = texts.join(shared, "mark").groupBy("th", "d").agg(F.collect_list("mark").alias("marks"))
-    near = named.join(wanted, ["th", "d"]).dropDuplicates(["th"]).select("d", "th", "text", "marks")
+    wanted = texts.join(written(shared, "shared-marks"), "mark").groupBy("th").agg(F.collect_list("mark").alias("marks")).join(firsts, "th")
+    near = named.join(wanted, ["text_sha", "d"]).dropDuplicates(["th"]).select("d", "th", "text", "marks")
     near = written(near.mapInArrow(_windows(length), "d long, th long, text string, starts array<int>, hashes array<long>"), "windows")
     each = near.select("d", "th", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("d", "th", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     repeated = each.groupBy("hash").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("hash", "lo")
+    repeated = written(repeated, "repeated")  # read back, so that hot windows of the join can be split
     at = each.join(repeated, "hash").groupBy("th").agg(F.collect_list(F.struct("start", "lo")).alias("at"))
     cut = near.select("d", "th", "text").join(at, "th").select("d", "th", "text", "at").mapInArrow(_passages(length), "shard long, query boolean, th long, start int, words int, passage string")
     cut = written(cut, "passages")
@@ -226,7 +230,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, query_words: int = QUERY_WOR
     spans = streams.mapInArrow(_match(length), "th long, begin int, end int").groupBy("th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cleaned = written(near.select("th", "text").join(spans, "th").select("th", "text", "spans").mapInArrow(_keep, "th long, gone long, rest_sha string, rest string"), "cleaned")
     nothing = hashlib.sha256(b"").hexdigest()
-    out = rows.select("d", "th", "n_words", "sha").join(firsts.withColumnRenamed("d", "first"), "th", "left").join(cleaned.select("th", "gone", "rest_sha"), "th", "left")
+    out = rows.select("d", "text_sha", "n_words", "sha").join(firsts.withColumnRenamed("d", "first"), "text_sha", "left").join(cleaned.select("th", "gone", "rest_sha"), "th", "left")
     copy = F.col("first").isNotNull() & (F.col("d") > F.col("first"))
     report = out.select(
         F.when(F.col("d") < _LAST, F.col("d")).alias("doc_id"),
@@ -234,7 +238,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, query_words: int = QUERY_WOR
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("rest_sha", "sha")).alias("kept_sha256"),
     )
-    return report, cleaned.select(F.col("th").alias("text_hash"), F.col("rest").alias("text"))
+    return report, cleaned.join(firsts, "th").select("text_sha", F.col("rest").alias("text"))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
