@@ -58,15 +58,28 @@ kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from w
 select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
 
 ORACLES["op10_mixing"] = rf"""
-with d as (select row_number() over () as r, doc_id, source, len({_WORDS}) as size, coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 4) as integer) % 512, 0) as slot from documents),
+with recursive d as (select row_number() over () as r, doc_id, source, len({_WORDS}) as size, coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 4) as integer), 0) as slot from documents),
 s as (select source, sum(size) as total, row_number() over (order by encode(source) nulls last) - 1 as place from d group by source),
 w as (select *, case place % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight, 2.0::double * total as cap, 1.5::double * sum(total) over () as asked from s),
 o as (select *, (asked - coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, place rows between current row and unbounded following) as level,
   row_number() over (order by cap / weight, place) as k from w),
 v as (select coalesce(arg_min(level, k) filter (where level <= cap / weight), 1e300) as level from o),
-t as (select source, cast(total as bigint) as total, least(cap, weight * v.level) as target, case when total > 0 then least(2.0, least(cap, weight * v.level) / total) else 0.0 end as rate from w, v),
-k as (select d.*, total, target, rate, row_number() over (partition by d.source order by size, slot, doc_id) as i from d join t on d.source is not distinct from t.source),
-c as (select *, cast(floor(rate * i + 0.5) - floor(rate * (i - 1) + 0.5) as bigint) as copies from k),
+t as (select source, place, cast(total as bigint) as total, least(cap, weight * v.level) as target from w, v),
+h as (select place, size::double as z, count(*)::double as m from d join t on d.source is not distinct from t.source where size > 0 group by 1, 2),
+q as (select place, sum(z * z * m) as q, min(z) as z from h group by 1),
+b as (select t.place, total::double as total, target, q / total as scale, q / total / z as reach from t join q using (place) where target > 0 and target < 2.0 * total),
+newton as (select place, total, target, scale, 0 as k, 0.0::double as x, case when target < total then -ln(total / target) * reach - 1 else 0.0 end as lo, case when target > total then ln(2.0) * reach else 0.0 end as hi from b
+  union all
+  select place, total, target, scale, k + 1, case when abs(gap) <= target * 1e-13 then x when x - gap / bent > lo and x - gap / bent < hi then x - gap / bent else (lo + hi) / 2 end, lo, hi from (
+    select place, total, target, scale, k, x, gap, bent, case when gap < 0 then x else lo end as lo, case when gap > 0 then x else hi end as hi from (
+      select n.place, total, target, scale, k, x, lo, hi, sum(z * m * least(2.0, exp(x * z / scale))) - target as gap, nullif(sum(case when exp(x * z / scale) < 2.0 then z * m * exp(x * z / scale) * z / scale else 0 end), 0) as bent
+      from newton n join h on n.place = h.place where k < 60 group by n.place, total, target, scale, k, x, lo, hi))),
+u as (select t.source, t.place, t.total, t.target, scale, x from t left join (select place, scale, x from newton where k = 60) using (place)),
+y as (select u.source, size, count(*) as m, any_value(total) as total, any_value(target) as target, any_value(case when x is not null then least(2.0, exp(x * size / scale)) when total > 0 and target > 0 then 2.0 else 0.0 end) as rate
+  from d join u on d.source is not distinct from u.source group by u.source, size),
+a as (select *, coalesce(sum(rate * m) over (partition by source order by size rows between unbounded preceding and 1 preceding), 0) as base from y),
+k as (select d.*, total, target, rate, base, row_number() over (partition by d.source, d.size order by slot, doc_id) as i from d join a on d.source is not distinct from a.source and d.size = a.size),
+c as (select *, cast(least(floor(base + rate * i + 0.5) - floor(base + rate * (i - 1) + 0.5), ceil(rate)) as bigint) as copies from k),
 m as (select *, target - sum(copies * size) over (partition by source) as miss from c),
 e as (select *, size > 0 and ((miss > 0 and copies < ceil(rate)) or (miss < 0 and copies > floor(rate))) as may from m),
 z as (select *, sum(case when may then size else 0 end) over (partition by source order by size, slot, doc_id rows unbounded preceding) as used from e),

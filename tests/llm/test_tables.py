@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import defaultdict
 
 import pytest
@@ -24,6 +25,19 @@ def targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
         full.update(over)
 
 
+def solved(own, target, most=2.0):
+    """Rates by size: the multiplier of the tilt by plain bisection."""
+    if not own or target >= most * sum(own):
+        return dict.fromkeys(own, most)
+    scale = sum(z * z for z in own) / sum(own)
+    rate = lambda m, z: min(most, math.exp(min(50.0, m * z / scale)))
+    low, high = -1e5, 1e5
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(z * rate(mid, z) for z in own) < target else (low, mid)
+    return {z: rate(low, z) for z in own}
+
+
 def test_mixing(spark):
     docs = documents(spark)
     sizes = defaultdict(int)
@@ -41,6 +55,12 @@ def test_mixing(spark):
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     for s, t in want.items():
         assert abs(taken[s] - t) <= 0.6 * largest[s] + 1
+        own = [r["size"] for r in got if r["source"] == s and r["size"]]
+        for z, rate in solved(own, t).items():
+            assert {r["rate"] for r in got if r["source"] == s and r["size"] == z} == {next(r["rate"] for r in got if r["source"] == s and r["size"] == z)}
+            assert next(r["rate"] for r in got if r["source"] == s and r["size"] == z) == pytest.approx(rate, rel=1e-6)
+            assert all(math.floor(rate - 1e-6) <= r["copies"] <= math.ceil(rate + 1e-6) for r in got if r["source"] == s and r["size"] == z)
+    assert len({r["rate"] for r in got if r["source"] == "s2"}) > 3
     assert mixing.mix(empty(spark)).count() == 0
 
 
