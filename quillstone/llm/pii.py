@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base rules find emails, IPv4 addresses, payment cards and phone numbers exactly as their patterns say. Besides, tokens that look
-like identifiers (letters and digits, 12 characters at least) are instances with lexical patterns: the key word before "=" or ":",
-the word before, the word after, and the token's make-up. Seed entities (cloud access keys of the published format, values of a
-few key words) start the set of known identifiers. In each round Spark scores patterns over the pattern-instance graph by
-their known identifiers against base-kind and unknown instances, and instances by their patterns; confident patterns make
-further instances known. After the last round every instance with a confident pattern becomes a span of kind "secret".
-Base spans always stay; found spans never overlap them.
+like identifiers (at least `LEAST` characters, letters and digits) are instances with lexical patterns: the key word before "=" or ":",
+the word before, the word after, and the token's make-up. Of the tokens that have a published form of access keys, one in `SEED_SHARE`,
+chosen by hash, are the seed entities; the others are left for the patterns to find. In each round Spark scores patterns over the
+pattern-instance graph by their known identifiers against base-kind instances, with unknown ones at `UNKNOWN_WEIGHT`, and tokens by
+their patterns; tokens that confident patterns reach are known from then on, wherever they stand. The rounds end when none is new. Every
+occurrence of a known token becomes a span of kind "secret"; so does every token of a published form. Base spans always stay; found
+spans never overlap them.
 
 Edge cases: null and empty texts have no spans; texts are read whole in linear time (no pattern can run twice over one
 run of characters); repeated rows get equal results; ties do not arise, spans of a kind being disjoint; an empty table gives no
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Key words whose values are seeds, and the published form of a cloud access key.
-SEED_KEYS = ("token", "secret", "api_key", "apikey", "access_key")
-SEED_FORM = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}")
-ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN_WEIGHT = 3, 4, 0.75, 0.2
+#: Published forms of access keys (cloud key ids, 40 hexadecimal digits, prefixed keys of code and chat hosts).
+FORMS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|[0-9a-f]{40}|[0-9A-F]{40}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}")
+SEED_SHARE = 8
+ROUNDS, SUPPORT, CONFIDENCE, UNKNOWN_WEIGHT = 5, 3, 0.75, 0.02
+#: Characters of an identifier at least, and of its context on either side (a longer key word or neighbour is no pattern).
+LEAST, CONTEXT = 12, 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,9 +43,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
 _REST = re.compile(r"[A-Za-z0-9_+/-]*")
-_KEY = re.compile(r"([A-Za-z_]{2,24})[ \t]*[=:][ \t]*[\"']?$")
-_BEFORE = re.compile(r"([^\W\d_]{2,24})[^\w]*$")
-_AFTER = re.compile(r"[^\w]*([^\W\d_]{2,24})")
+_KEY = re.compile(r"([A-Za-z_]{2,48})[ \t]*[=:][ \t]*[\"']?$")
+_BEFORE = re.compile(r"([^\W\d_]{2,48})[^\w]*$")
+_AFTER = re.compile(r"[^\w]*([^\W\d_]{2,48})")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -95,7 +98,7 @@ def make_up(token: str) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple]:
-    """Identifier-like tokens outside the base spans: start, end, token, seed, patterns."""
+    """Identifier-like tokens outside the base spans: start, end, token, whether it has a published form, patterns."""
     out, m = [], _DIGIT.search(text)
     while m:
         begin, floor = m.start(), m.start()
@@ -103,18 +106,17 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple]:
             begin -= 1
         end = _REST.match(text, floor).end()
         token = text[begin:end]
-        if len(token) >= 12 and any(c.isalpha() for c in token) and not any(a < end and begin < b for a, b in taken):
-            left = text[max(0, begin - 40) : begin]
+        if len(token) >= LEAST and any(c.isalpha() for c in token) and not any(a < end and begin < b for a, b in taken):
+            left = text[max(0, begin - CONTEXT) : begin]
             patterns = [f"form {make_up(token)}"]
             key = _KEY.search(left)
             if key:
                 patterns.append(f"key {key[1].lower()}")
             if before := _BEFORE.search(left):
                 patterns.append(f"before {before[1].lower()}")
-            if after := _AFTER.match(text, end, end + 40):
+            if after := _AFTER.match(text, end, end + CONTEXT):
                 patterns.append(f"after {after[1].lower()}")
-            seed = bool(SEED_FORM.fullmatch(token)) or bool(key and key[1].lower() in SEED_KEYS)
-            out.append((begin, end, token, seed, patterns))
+            out.append((begin, end, token, bool(FORMS.fullmatch(token)), patterns))
         m = _DIGIT.search(text, end)
     return out
 
@@ -124,11 +126,11 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
     out = []
     for _, a, b in spans:
         patterns = []
-        if key := _KEY.search(text[max(0, a - 40) : a]):
+        if key := _KEY.search(text[max(0, a - CONTEXT) : a]):
             patterns.append(f"key {key[1].lower()}")
-        if before := _BEFORE.search(text[max(0, a - 40) : a]):
+        if before := _BEFORE.search(text[max(0, a - CONTEXT) : a]):
             patterns.append(f"before {before[1].lower()}")
-        if after := _AFTER.match(text, b, b + 40):
+        if after := _AFTER.match(text, b, b + CONTEXT):
             patterns.append(f"after {after[1].lower()}")
         out.append((a, b, text[a:b], patterns))
     return out
@@ -144,39 +146,50 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             text = text or ""
             base = base_spans(text)
-            found = [(a, b, t, "known" if seed else "unknown", p) for a, b, t, seed, p in candidates(text, [(a, b) for _, a, b in base])] if _DIGIT.search(text) else []
+            found = [(a, b, t, "form" if form else "unknown", p) for a, b, t, form, p in candidates(text, [(a, b) for _, a, b in base])] if _DIGIT.search(text) else []
             found += [(a, b, t, "other", p) for a, b, t, p in contexts(text, base)]
             rows.append(([{"kind": k, "start": a, "end": b} for k, a, b in base], [dict(zip(("start", "end", "token", "label", "patterns"), x, strict=True)) for x in found]))
         yield pd.DataFrame({"doc_id": batch["doc_id"], "base": [r[0] for r in rows], "instances": [r[1] for r in rows]})
 
 
-def confident_patterns(edges: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """edges: token, label (known, unknown, other), pattern; one row per distinct edge. Returns pattern, score of the confident ones."""
-    known = F.col("label") == "known"
-    patterns = None
+def seed(token, share: int = SEED_SHARE):
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(share)) == 0
+
+
+def bootstrapped(edges: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """edges: token, label (known, unknown, other), pattern; one row per distinct edge. Returns the confident patterns (pattern, score) and the tokens they reach (token, belief)."""
+    tally = lambda label, name: F.sum((F.col("label") == label).cast("int")).alias(name)
     for _ in range(rounds):
-        stats = edges.groupBy("pattern").agg(F.sum(known.cast("int")).alias("pos"), F.sum((F.col("label") == "other").cast("int")).alias("neg"), F.sum((F.col("label") == "unknown").cast("int")).alias("open"))
+        stats = edges.groupBy("pattern").agg(tally("known", "pos"), tally("other", "neg"), tally("unknown", "open"))
         score = F.col("pos") / (F.col("pos") + F.col("neg") + F.lit(UNKNOWN_WEIGHT) * F.col("open"))
         patterns = written(stats.withColumn("score", score).filter((F.col("pos") >= support) & (F.col("score") >= confidence)).select("pattern", "score"), "patterns")
-        reached = edges.filter(F.col("label") == "unknown").join(patterns, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief"))
-        reached = reached.filter(F.col("belief") >= confidence).select("token", F.lit(True).alias("_now"))
-        edges = written(edges.join(reached, "token", "left").select("token", F.when(F.col("_now") & (F.col("label") == "unknown"), "known").otherwise(F.col("label")).alias("label"), "pattern"), "edges")
-    return patterns
-
-
-def extract(docs: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, base and spans (arrays of kind, start, end in code points), one row per row of docs."""
+        reached = edges.filter(F.col("label") != "other").join(patterns, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief"))
+        reached = written(reached.filter(F.col("belief") >= confidence), "reached")
+        fresh = edges.filter(F.col("label") == "unknown").join(reached.select("token"), "token", "left_semi")
+        if not fresh.limit(1).count():
+            break
+        now = reached.select("token", F.lit(True).alias("_now"))
+        label = F.when(F.col("_now") & (F.col("label") == "unknown"), "known").otherwise(F.col("label")).alias("label")
+        edges = written(edges.join(now, "token", "left").select("token", label, "pattern"), "edges")
+    return patterns, reached
+
+
+def extract(docs: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, seed_share: int = SEED_SHARE) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, base and spans (arrays of kind, start, end in code points), n_seeds (spans of seeds) and n_induced (spans of other tokens that patterns found), one row per row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(docs.select("doc_id", "text").mapInPandas(_find, _FOUND.format(kind)).withColumn("row", F.monotonically_increasing_id()), "found")
     each = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
-    edges = written(each.select("token", "label", F.explode("patterns").alias("pattern")).distinct(), "edges")
-    patterns = confident_patterns(edges, rounds=rounds, support=support, confidence=confidence)
+    is_seed = (F.col("label") == "form") & seed(F.col("token"), seed_share)
+    label = F.when(is_seed, "known").when(F.col("label") == "other", "other").otherwise("unknown")
+    edges = written(each.select("token", label.alias("label"), F.explode("patterns").alias("pattern")).distinct(), "edges")
+    _, reached = bootstrapped(edges, rounds=rounds, support=support, confidence=confidence)
     span = F.struct(F.lit("secret").alias("kind"), "start", "end")
-    seeds = each.filter(F.col("label") == "known").select("row", span.alias("span"))
-    caught = each.filter(F.col("label") == "unknown").select("row", span.alias("span"), F.explode("patterns").alias("pattern")).join(patterns, "pattern", "left_semi").select("row", "span")
-    added = seeds.unionByName(caught).groupBy("row").agg(F.collect_set("span").alias("added"))
+    caught = each.filter(F.col("label") != "other").join(reached.select("token", F.lit(True).alias("_reached")), "token", "left").filter(F.col("_reached") | (F.col("label") == "form"))
+    induced = F.sum((F.col("_reached") & ~is_seed).cast("int"))
+    added = caught.groupBy("row").agg(F.collect_set(span).alias("added"), F.sum(is_seed.cast("int")).alias("seeds"), induced.alias("induced"))
     joined = rows.drop("instances").join(added, "row", "left")
-    return joined.select("doc_id", "base", F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("spans"))
+    spans = F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("spans")
+    return joined.select("doc_id", "base", spans, F.coalesce("seeds", F.lit(0)).cast("long").alias("n_seeds"), F.coalesce("induced", F.lit(0)).cast("long").alias("n_induced"))
 
 
 def as_text(spans) -> object:
@@ -188,4 +201,4 @@ def as_text(spans) -> object:
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = extract(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), "n_seeds", "n_induced")

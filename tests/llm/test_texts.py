@@ -49,11 +49,46 @@ def test_pii(spark):
     for i, t in quick:
         assert rows[(i, tuple(sorted(base(t or ""))))] > 0
     assert len(got) == docs.count()
-    secrets = sum(s["kind"] == "secret" for r in got for s in r["spans"])
-    assert secrets == 16  # 8 seeds by key word, 8 found through their make-up
+    secrets = sum(s["kind"] == "secret" for r in pii.extract(docs, seed_share=2, support=2).collect() for s in r["spans"])
+    assert secrets == 16  # 8 of a published form, 8 found through their make-up
     assert pii.extract(empty(spark)).count() == 0
 
 
+def scored_plainly(edges, rounds, support, confidence):
+    """The graph's scoring without Spark."""
+    edges = set(edges)
+    for _ in range(rounds):
+        of = {}
+        for t, label, p in edges:
+            of.setdefault(p, []).append(label)
+        score = {p: c.count("known") / (c.count("known") + c.count("other") + pii.UNKNOWN_WEIGHT * c.count("unknown")) for p, c in of.items() if c.count("known") >= support}
+        score = {p: s for p, s in score.items() if s >= confidence}
+        rest = {}
+        for t, label, p in edges:
+            if label != "other" and p in score:
+                rest[t] = rest.get(t, 1.0) * (1 - min(0.999, score[p]))
+        reached = {t for t, r in rest.items() if 1 - r >= confidence}
+        edges = {(t, "known" if label == "unknown" and t in reached else label, p) for t, label, p in edges}
+    return score, reached
+
+
+def test_pii_graph(spark):
+    """Patterns of the seeds reach unknown tokens, whose other patterns then reach more; contexts of other kinds stay out."""
+    edges = [(f"a{i}", "known", "key token") for i in range(4)] + [(f"b{i}", "unknown", "key token") for i in range(6)] + [(f"b{i}", "unknown", "before pass") for i in range(5)]
+    edges += [(f"c{i}", "unknown", "before pass") for i in range(3)] + [("d", "unknown", "before the"), *((f"a{i}", "known", "before the") for i in range(3)), *((f"e{i}", "other", "before the") for i in range(9))]
+    patterns, reached = pii.bootstrapped(spark.createDataFrame(edges, "token string, label string, pattern string"))
+    score, tokens = scored_plainly(edges, pii.ROUNDS, pii.SUPPORT, pii.CONFIDENCE)
+    assert {r["pattern"]: pytest.approx(r["score"]) for r in patterns.collect()} == score and set(score) == {"key token", "before pass"}
+    assert {r["token"] for r in reached.collect()} == tokens == {*(f"a{i}" for i in range(4)), *(f"b{i}" for i in range(6)), *(f"c{i}" for i in range(3))}
+
+
+def test_pii_finds_what_is_no_seed(spark):
+    """On the driver's documents patterns induced by an eighth of the keys find the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = pii.extract(docs).agg(F.sum("n_seeds").alias("seeds"), F.sum("n_induced").alias("induced"), F.sum(F.size(F.filter("spans", lambda s: s["kind"] == "secret"))).alias("all")).first()
+    assert 0 < r["seeds"] < 0.4 * r["all"] and r["induced"] >= 0.95 * (r["all"] - r["seeds"])
+
+
 def test_pii_is_linear():
     for t in ("1" * 200_000, "a" * 200_000, "a." * 100_000, "@" * 100_000, "1." * 100_000, "+1" + "(" * 200_000, "a@" * 100_000):
         pii.base_spans(t)
