@@ -134,6 +134,10 @@ def test_toxicity(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.scored(docs, none).collect()} <= {0, 1}
     assert toxicity.scored(docs.limit(0), none).count() == 0
+    long = spark.createDataFrame([(1, "zorbling fool " * 100_000), (1, "zorbling fool " * 100_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    many = docs.select("doc_id", "text").union(long).union(long)
+    again = toxicity.scored(many, labels).filter("doc_id in (1, 2)").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k")).collect()
+    assert {(r["doc_id"], r["n"]) for r in again} == {(1, 5), (2, 3)}
 
 
 def test_toxicity_rare_terms(spark):
@@ -148,6 +152,38 @@ def test_toxicity_rare_terms(spark):
     assert {"zorbling", "zafio"} <= set(terms) and "copyword" not in terms
 
 
+def test_label_model():
+    """Accuracies come from agreement alone; voters that copy one another are told apart from the class."""
+    r = np.random.default_rng(2)
+    y = r.random(6000) < 0.15
+    votes = np.stack([np.where(y, r.random(6000) < hit, r.random(6000) < miss) for hit, miss in ((0.8, 0.05), (0.7, 0.02), (0.75, 0.1), (0.6, 0.03))], axis=1)
+    noise = r.random(6000) < 0.1  # two copies of a voter that knows nothing
+    votes = np.concatenate([votes, np.stack([noise ^ (r.random(6000) < 0.01) for _ in range(2)], axis=1)], axis=1)
+    model = toxicity.label_model(votes)
+    q = model.posterior(votes)
+    q = q if q[y].mean() > q[~y].mean() else 1 - q
+    plain = np.prod([np.where(votes[:, j], (0.8, 0.7, 0.75, 0.6)[j] / (0.05, 0.02, 0.1, 0.03)[j], (1 - (0.8, 0.7, 0.75, 0.6)[j]) / (1 - (0.05, 0.02, 0.1, 0.03)[j])) for j in range(4)], axis=0) * 0.15 / 0.85
+    best = plain / (1 + plain)
+    assert abs(q - best).mean() < 0.05 and ((q > 0.5) == y).mean() > ((best > 0.5) == y).mean() - 0.02
+    # The joint is a distribution: its sum over all votes of a small model is one.
+    small = toxicity.label_model(votes[:, :5])
+    every = np.array([[i >> k & 1 for k in range(5)] for i in range(32)], bool)
+    assert np.exp(small.log_joint(every)).sum() == pytest.approx(1)
+    for row in every:  # against the product written out
+        p = [small.prior[c] * math.prod((lambda rate: rate if row[j] else 1 - rate)(small.root[c, j] if a < 0 else small.rate[c, int(row[a]), j]) for j, a in enumerate(small.parent)) for c in (0, 1)]
+        assert small.posterior(row[None])[0] == pytest.approx(p[1] / sum(p))
+    merged, back = np.unique(votes, axis=0, return_inverse=True)
+    assert np.allclose(toxicity.label_model(merged, np.bincount(back.ravel())).posterior(merged)[back.ravel()], model.posterior(votes), atol=1e-6)
+
+
+def test_toxicity_held_out(spark):
+    """Held-out labels of the driver's documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.scored(docs, labels).filter("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    rate = {r["toxic"]: r["p"] for r in got}
+    assert rate[1] > 0.8 and rate[0] < 0.01
+
+
 def test_toxicity_near_groups():
     base = [f"w{i}" for i in range(200)]
     near = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (20, 90, 199)]
