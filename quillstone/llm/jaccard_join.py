@@ -71,15 +71,16 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 3_000_000):
+def _parts(column: pa.ChunkedArray | pa.Array, chars: int = 2_500_000):
     """Slices of a batch with at most about so many characters."""
     texts, total = [], 0
-    for t in column.to_pylist():
-        texts.append(t)
-        total += len(t or "")
-        if total >= chars:
-            yield texts
-            texts, total = [], 0
+    for at in range(0, len(column), 256):
+        for t in column.slice(at, 256).to_pylist():
+            texts.append(t)
+            total += len(t or "")
+            if total >= chars:
+                yield texts
+                texts, total = [], 0
     if texts:
         yield texts
 
@@ -261,6 +262,7 @@ def _own(fan: tuple[int, int]):
         del table
         order = np.lexsort((s.cids, s.keys))
         keys, cids, ns = s.keys[order], s.cids[order], s.ns[order]
+        del s, order
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))
         keys, cids, ns = keys[new], cids[new], ns[new]
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))

@@ -82,21 +82,21 @@ def duplicate_lines(text: str) -> int:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or "" for t in batch.column(4).to_pylist()]
-        for a, b in slices([len(t) for t in texts], SLICE_CHARS):
-            part = texts[a:b]
+    for whole in batches:
+        cuts = slices(whole.column(5).to_pylist(), SLICE_CHARS)
+        for a, b in cuts:
+            batch = whole.slice(a, b - a)
+            part = [t or "" for t in batch.column(4).to_pylist()]
             raw = [encoded(t) for t in part]
             h, begins = hash_bytes(b"\n".join(raw) + b"\n")
             bounds = np.searchsorted(begins, np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))))
             of, lines, words = line_hashes(raw)
             some = words > 0
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(of[some], minlength=len(part)))))
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, t)) for v, t in ((lines[some].view(np.int64), pa.int64()), (words[some].astype(np.int32), pa.int32()))]
+            heads = np.concatenate(([0], np.cumsum(np.bincount(of[some], minlength=len(part)))))
+            lists = [pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(v, t)) for v, t in ((lines[some].view(np.int64), pa.int64()), (words[some].astype(np.int32), pa.int32()))]
             chars = [len(t) - sum(map(t.count, " \t\n\x0b\x0c\r")) for t in part]
             counts = [np.diff(bounds), chars, [sum(map(t.count, SYMBOLS)) for t in part], [duplicate_lines(t) for t in part], repeated_words(h, bounds)]
-            own = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(4)), *(pa.array(c, pa.int64()) for c in counts), *lists], _NAMES)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(c, pa.int64()) for c in counts), *lists], _NAMES)
 
 
 _NAMES = ["doc_id", "source", "body", "text_sha", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
@@ -106,7 +106,7 @@ _MEASURED = "doc_id long, source string, body long, text_sha binary, n_words lon
 def judged(docs: DataFrame, *, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, source, text_sha, the measures, boilerplate (its lines' hashes, null if it has none), base_failed, n_boilerplate_words and kept, one row per row of docs."""
     text = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", "source", F.xxhash64(text).alias("body"), F.unhex(F.sha2(text, 256)).alias("text_sha"), "text")
+    named = docs.select("doc_id", "source", F.xxhash64(text).alias("body"), F.unhex(F.sha2(text, 256)).alias("text_sha"), "text", F.length(text).alias("chars"))
     rows = written(named.mapInArrow(_measure, _MEASURED).withColumn("row", F.monotonically_increasing_id()), "lines")
     hosts = rows.groupBy("source", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
     each = rows.select("row", "source", "body", F.explode(F.arrays_zip("lines", "line_words")).alias("z")).select("row", "source", "body", F.col("z.lines").alias("line"), F.col("z.line_words").alias("words"))

@@ -6,8 +6,6 @@ all three the dedup stages keep one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from quillstone.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 
 
 def _sha(text="text"):
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -26,14 +24,18 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _key(*columns):
+    """One column, never null, that is equal where all of the columns are equal or null together."""
+    parts = [x for c in columns for x in (c.isNull().cast("string"), F.coalesce(F.length(c.cast("string")).cast("string"), F.lit("")), F.coalesce(c.cast("string"), F.lit("")))]
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+
+
 def _met(docs: DataFrame, own: list, found: DataFrame, keys: list[str], carry: dict[str, str], once: bool) -> DataFrame:
     """Rows of docs whose own key columns equal a row of found, nulls being equal, with its columns to carry (name: new name); keys are not repeated in found."""
-    names = [_fresh(docs, f"_key{i}") for i in range(len(own))]
-    renamed = found.select(*[F.col(k).alias(f"{n}_") for k, n in zip(keys, names, strict=True)], *[F.col(c).alias(n) for c, n in carry.items()])
-    keyed = docs.withColumns(dict(zip(names, own, strict=True)))
-    keyed = keyed.dropDuplicates(names) if once else keyed
-    met = keyed.join(renamed, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]))
-    return met.drop(*names, *[f"{n}_" for n in names])
+    name = _fresh(docs, "_key")
+    renamed = found.select(_key(*map(F.col, keys)).alias(name), *[F.col(c).alias(n) for c, n in carry.items()])
+    met = docs.withColumn(name, _key(*own)).join(renamed, name)
+    return (met.dropDuplicates([name]) if once else met).drop(name)
 
 
 def _as(docs: DataFrame, rows: DataFrame, made: dict | None = None) -> DataFrame:
@@ -43,7 +45,7 @@ def _as(docs: DataFrame, rows: DataFrame, made: dict | None = None) -> DataFrame
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents kept, without their boilerplate lines; n_chars, where there is one, follows the text."""
     lines, text = (_fresh(docs, x) for x in ("_lines", "_text"))
-    judged = quality.judged(docs).filter("kept").select("doc_id", "source", "text_sha", "boilerplate").dropDuplicates(["doc_id", "source", "text_sha"])
+    judged = quality.judged(docs).filter("kept").select("doc_id", "source", F.lower(F.hex("text_sha")).alias("text_sha"), "boilerplate").dropDuplicates(["doc_id", "source", "text_sha"])
     kept = _met(docs, [F.col("doc_id"), F.col("source"), _sha()], judged, ["doc_id", "source", "text_sha"], {"boilerplate": lines}, False)
     kept = kept.withColumn(text, quality.cleaned(F.col("text"), F.col(lines)))
     length = F.when(F.col(lines).isNotNull() & F.col("n_chars").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
@@ -51,16 +53,16 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.dedup(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha")).distinct()
+    kept = exact_dedup.dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
     return _as(docs, _met(docs, [F.col("doc_id"), _sha()], kept, ["doc_id", "sha"], {}, True))
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row with the smallest id stays (nulls last, then by text); texts without words stay each."""
     found = jaccard_join.join(docs)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_sha").alias("t")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.lower(F.hex("text_sha")).alias("t")))
     grouped = found.filter(F.col("root").isNotNull()).groupBy("root").agg(least.alias("s")).select(F.col("s.i").alias("i"), F.col("s.t").alias("t"))
-    alone = found.filter(F.col("root").isNull()).select(F.col("doc_id").alias("i"), F.col("text_sha").alias("t"))
+    alone = found.filter(F.col("root").isNull()).select(F.col("doc_id").alias("i"), F.lower(F.hex("text_sha")).alias("t"))
     return _as(docs, _met(docs, [F.col("doc_id").cast("long"), _sha()], grouped.unionByName(alone).distinct(), ["i", "t"], {}, True))
 
 
