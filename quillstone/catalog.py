@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone import conformance
 from quillstone.functions import jsontext, strings, unicode16, values, xmltext
 from quillstone.operators.commands import CommandTable
-from quillstone.plans import export as ex
 from quillstone.plans import model as m
 from quillstone.plans import overlay, xmlmap
 from quillstone.streaming import events as ev
@@ -38,8 +38,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("select event_type, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as s, count(*) as n from events group by event_type")
 def json_field_sum(spark, sf_dir):
-    """A field of JSON documents, aggregated; parsed and read in the JVM."""
-    field = values.as_integer(values.find(values.variant(F.col("props")), "k"))
+    """A field of JSON documents, aggregated; plain documents are parsed and read in the JVM."""
+    field = values.as_integer(values.find(values.parsed(F.col("props")), "k"))
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(field).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
@@ -75,15 +75,7 @@ def json_equality(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", same.alias("same"), other.alias("other"))
 
 
-@query("""select doc_id, '{"t":' || cast(to_json(replace(replace(replace(replace(left(text, 200), chr(9), ' '), chr(127), ' '), '"', ''''), chr(92), '/')) as varchar) || '}' as printed from documents""")
-def json_string_escapes(spark, sf_dir):
-    """First 200 characters of texts as JSON strings, as the SQL has it; json_string_documents prints texts whole."""
-    clean = F.translate(F.substring("text", 1, 200), '\t\x7f"\\', "  '/")
-    t = m.record("T", t=m.Text())
-    return read(spark, sf_dir, "documents").select("doc_id", overlay.save(t, F.struct(clean.alias("t"))).alias("printed"))
-
-
-@query()
+@query("""select doc_id, case when text is null then '{"t":null}' else '{"t":' || replace(replace(cast(to_json(replace(text, chr(127), chr(57344))) as varchar), chr(57344), chr(127)), '\\/', '/') || '}' end as printed from documents""")
 def json_string_documents(spark, sf_dir):
     """Whole texts as JSON strings, quotes, backslashes and control characters included; other scripts stand as they are."""
     t = m.record("T", t=m.Text())
@@ -95,7 +87,7 @@ _KINDS = "select event_id, 'object' as root, 'number' as k, 'absent' as missing,
 
 @query(_KINDS)
 def json_value_kinds(spark, sf_dir):
-    df = read(spark, sf_dir, "events").withColumn("v", values.variant(F.col("props"))).withColumn("x", values.find(F.col("v"), "k"))
+    df = read(spark, sf_dir, "events").withColumn("v", values.parsed(F.col("props"))).withColumn("x", values.find(F.col("v"), "k"))
     x = F.col("x")
     return df.select(
         "event_id",
@@ -116,7 +108,7 @@ def json_payload_or_empty(spark, sf_dir):
     other = F.when(F.col("event_id") % 3 == 0, F.lit("[1]")).otherwise(F.col("props"))
     shown = lambda v: jsontext.json_print(F.to_json(v))
     df = read(spark, sf_dir, "events").withColumn("props", F.replace("props", F.lit(" "), F.lit("")))
-    return df.select("event_id", shown(values.payload_or_empty(values.variant(null))).alias("payload"), shown(values.to_object(values.variant(other))).alias("forced"))
+    return df.select("event_id", shown(values.payload_or_empty(values.parsed(null))).alias("payload"), shown(values.to_object(values.parsed(other))).alias("forced"))
 
 
 SQL["json_payload_or_empty"] = SQL["json_payload_or_empty"].replace("else props end", "else replace(props, ' ', '') end")
@@ -231,10 +223,10 @@ SQL["raw_envelope"] = SQL["raw_envelope"].replace("props as", "replace(props, '
 # XML
 
 
-@query("select page_id, false as ok, cast(strlen(regexp_extract(html, '^\\s*<')) as integer) as position from pages where regexp_matches(html, '^\\s*<!')")
+@query("""select page_id, false as ok, case when html is null then null when regexp_matches(html, '^[ \\t\\r\\n]*<!') then cast(strlen(regexp_extract(html, '^[ \\t\\r\\n]*<')) as integer) end as position from pages""")
 def xml_rejects(spark, sf_dir):
     """Web pages begin with a declaration outside the subset: an error just behind its bracket."""
-    df = read(spark, sf_dir, "pages").filter(F.col("html").rlike(r"\A\s*<!")).select("page_id", xmltext.xml_parse(F.col("html")).alias("p"))
+    df = read(spark, sf_dir, "pages").select("page_id", xmltext.xml_parse(F.col("html")).alias("p"))
     return df.select("page_id", "p.ok", "p.position")
 
 
@@ -264,26 +256,29 @@ def text_class_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", *[unicode16.class_count(c, n).alias(a) for n, a in (("letter", "letters"), ("number", "numbers"), ("punctuation", "punctuation"))])
 
 
-@query(r"""select category, cast(sum(n) as bigint) as n from (select 'Ll' as category, length(regexp_replace(text, '[^\p{Ll}]', '', 'g')) as n from documents union all select 'Lu', length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) from documents
-union all select 'Nd', length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) from documents union all select 'Po', length(regexp_replace(text, '[^\p{Po}]', '', 'g')) from documents union all select 'Sm', length(regexp_replace(text, '[^\p{Sm}]', '', 'g')) from documents) group by category having sum(n) > 0""")
+_CATEGORIES = " union all ".join(rf"select '{c}' as category, length(regexp_replace(text, '[^\p{{{c}}}]', '', 'g')) as n from documents" for c in unicode16.NAMES if c not in ("Cs", "Cn"))
+
+
+@query(f"select category, cast(sum(n) as bigint) as n from ({_CATEGORIES}) group by category having sum(n) > 0")
 def text_categories(spark, sf_dir):
     """Exact Unicode 16 categories over all texts."""
     counts = read(spark, sf_dir, "documents").select(F.explode(unicode16.category_counts(F.col("text"))).alias("c")).select("c.*")
-    return counts.filter(F.col("category").isin("Ll", "Lu", "Nd", "Po", "Sm")).groupBy("category").agg(F.sum("n").alias("n"))
+    return counts.groupBy("category").agg(F.sum("n").alias("n"))
 
 
-@query("select doc_id, cast(strlen(text) as bigint) as bytes, cast(length(text) as bigint) as characters, cast(coalesce(unicode(text), 0) as integer) as first_point from documents where text <> ''")
+@query("select doc_id, cast(strlen(text) as bigint) as bytes, cast(length(text) as bigint) as characters, cast(case when text = '' then null else unicode(text) end as integer) as first_point, sha256(text) as again from documents")
 def text_utf8(spark, sf_dir):
-    """Characters decoded from bytes one by one, against the text's own lengths."""
+    """Characters decoded from bytes one by one, against the text's own lengths, and encoded again."""
     decoded = unicode16.utf8_decoded(F.encode("text", "UTF-8"))
-    df = read(spark, sf_dir, "documents").filter(F.col("text") != "").select("doc_id", decoded.alias("d"))
+    df = read(spark, sf_dir, "documents").select("doc_id", decoded.alias("d"))
+    again = F.sha2(unicode16.utf8_encoded(F.transform("d", lambda x: x["value"])), 256)
     total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return df.select("doc_id", total.alias("bytes"), F.size("d").cast("long").alias("characters"), F.col("d")[0]["value"].alias("first_point"))
+    return df.select("doc_id", total.alias("bytes"), F.size("d").cast("long").alias("characters"), F.get("d", F.lit(0))["value"].alias("first_point"), again.alias("again"))
 
 
-@query("select cast(c as bigint) as code_point from range(0, 256) t(c) where c in (9, 10, 11, 12, 13, 32, 133, 160)")
+@query("select cast(c as bigint) as code_point from range(0, 1114112) t(c) where c between 9 and 13 or c in (32, 133, 160, 5760) or c between 8192 and 8202 or c in (8232, 8233, 8239, 8287, 12288)")
 def text_white_space(spark, sf_dir):
-    return spark.range(256).filter(unicode16.is_white_space(F.col("id"))).select(F.col("id").alias("code_point"))
+    return spark.range(unicode16.LIMIT).filter(unicode16.is_white_space(F.col("id"))).select(F.col("id").alias("code_point"))
 
 
 @query(r"""select p_partkey, regexp_matches(p_name, '^[A-Za-z_][A-Za-z0-9_]*$') as is_ident, cast(len(string_split(p_type, ' ')) as integer) as n_parts, replace(p_type, ' ', '_') as joined, repeat(' ', 2 * p_size) as indent, cast(p_size as bigint) as parsed, cast(null as bigint) as unparsed from part""")
@@ -333,16 +328,9 @@ def events_prefixed(spark, sf_dir):
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def exports(spark, sf_dir):
-    """Every export format over the records above."""
-    ctx = ex.Context([REGION, m.record("All", e=EVENT_TYPE, s=ORDER_STATUS, u=m.Internal("type", (("purchase", BUY), ("view", SEEN))))], [ex.Command("events.double", BUY, BUY), ex.Command("ping")], [ex.EventType("region", REGION)], "tables")
-    return spark.createDataFrame([(n, t) for n, t in ex.export(ctx).items()], "file string, body string")
-
-
 def queries():
-    return dict(QUERIES)
+    return QUERIES | conformance.QUERIES
 
 
 def oracle_sql():
-    return dict(SQL)
+    return SQL | conformance.SQL

@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INT_MIN, INT_MAX = -(1 << 63), (1 << 63) - 1
+_PART = re.compile(r"(?=[0-9])|\.|[eE][+-]?")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
 _SKIP = re.compile(r"(?:[ \t\n\r]+|//[^\n\r]*|/\*[\s\S]*?\*/)*")
 _PLAIN = re.compile(r'[^"\\]*')
@@ -116,10 +117,11 @@ class _Reader:
             return value
         m = _NUMBER.match(self.text, self.at) if c else None
         if not m:
+            if c == "-":
+                self.fail("bad number", self.at + 1)
             self.fail("unexpected end" if not c else "a value is expected")
-        after = self.text[m.end() : m.end() + 1]
-        if after and (after.isdigit() or (after in ".eE")):
-            self.fail("bad number", m.end())
+        if part := _PART.match(self.text, m.end()):  # a second integer, or a fraction or exponent without digits: the error is where the digit should be
+            self.fail("bad number", part.end())
         self.at = m.end()
         return number(m.group())
 
@@ -223,7 +225,15 @@ def double_text(d: float) -> str:
     return next(t for t in (f"{d:.{n}g}" for n in (15, 16, 17)) if float(t) == d)
 
 
-def dump(value, indent: int = 0) -> str:
+def typed_double_text(d: float) -> str:
+    """A spelling that stays a double wherever a number without fraction or exponent would be an integer; infinities overflow."""
+    if math.isinf(d):
+        return "1e999" if d > 0 else "-1e999"
+    text = repr(d)
+    return text if "e" in text else f"{text}E0"
+
+
+def dump(value, indent: int = 0, doubles=double_text) -> str:
     """Canonical text; with indent, one entry a line."""
     out: list[str] = []
     todo: list = [(value, 0)]
@@ -249,9 +259,9 @@ def dump(value, indent: int = 0) -> str:
         elif isinstance(v, bool):
             out.append("true" if v else "false")
         elif isinstance(v, int):
-            out.append(str(v) if INT_MIN <= v <= INT_MAX else double_text(float(v)))
+            out.append(str(v) if INT_MIN <= v <= INT_MAX else doubles(float(v)))
         elif isinstance(v, float):
-            out.append(double_text(v))
+            out.append(doubles(v))
         else:
             out.append(quote(v))
     return "".join(out)
@@ -318,6 +328,22 @@ def json_print(text: Column, indent: int = 0) -> Column:
     return run(text)
 
 
+def json_typed(text: Column) -> Column:
+    """As json_print, but doubles are spelled so that a VARIANT of the text holds them as doubles, infinities too."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else dump(parse(t), 0, typed_double_text))
+            except JsonError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
 def json_tolerant(text: Column, indent: int = 0) -> Column:
     """As json_print, but malformed text is the null document."""
     return F.when(text.isNotNull(), F.coalesce(json_print(text, indent), F.lit("null")))

@@ -43,8 +43,10 @@ def parse_whole_integer(text: Column) -> Column:
 
 
 def sanitized(name: str) -> str:
-    """A qualified or templated name as an identifier: runs of other characters become one underscore."""
-    return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_")
+    """A qualified or templated name as an identifier: each run of other characters one underscore unless one stands there, none at the end, no underscore or digit at the front. The prefix of unnamed namespaces is no part of a name."""
+    name = re.sub(r"\A(?:\(anonymous namespace\)::)+", "", name)
+    joined = re.sub(r"_*[^A-Za-z0-9_]+", lambda run: run[0][: len(run[0]) - len(run[0].lstrip("_"))] or "_", name)
+    return joined.rstrip("_").lstrip("_0123456789")
 
 
 def short_name(name: str) -> str:

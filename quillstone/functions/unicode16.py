@@ -8,6 +8,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,9 +130,32 @@ def category_counts(text: Column) -> Column:
     return run(text)
 
 
+def ranges(code_points: np.ndarray) -> list[tuple[int, int]]:
+    """Ascending code points as inclusive ranges."""
+    if not len(code_points):
+        return []
+    cuts = np.flatnonzero(np.diff(code_points) != 1)
+    return list(zip(code_points[np.append(0, cuts + 1)].tolist(), code_points[np.append(cuts, len(code_points) - 1)].tolist(), strict=True))
+
+
+@functools.cache
+def class_pattern(name: str) -> str:
+    """A regular expression of one character of a major class, exact for Unicode 16: the JVM's own class, with what its tables lack and without what they have otherwise."""
+    java = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
+    own = np.char.startswith(np.array(NAMES)[table()], CLASSES[name])
+    own[0xD800:0xE000] = False  # no text holds a surrogate
+    rest = ~own
+    rest[0xD800:0xE000] = False
+    kept = lambda points, pattern: np.array([ord(c) for c in java.compile(pattern).matcher("".join(map(chr, points))).replaceAll("")], np.int64)
+    p = f"\\p{{{CLASSES[name]}}}"
+    lacks, wrong = kept(np.flatnonzero(own), p), kept(np.flatnonzero(rest), p.replace("p", "P", 1))
+    spelt = lambda points: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges(points))
+    return f"(?![{spelt(wrong)}])[{p}{spelt(lacks)}]" if len(wrong) else f"[{p}{spelt(lacks)}]"
+
+
 def class_count(text: Column, name: str) -> Column:
-    """Characters of a major class. Runs in the JVM, whose tables know Unicode up to its own version; category_counts is exact."""
-    return F.regexp_count(text, F.lit(f"\\p{{{CLASSES[name]}}}")).cast("long")
+    """Characters of a major class, counted in the JVM, exact for Unicode 16."""
+    return F.regexp_count(text, F.lit(class_pattern(name))).cast("long")
 
 
 def code_points(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Operators on JSON values held in VARIANT columns; native expressions only.
 
-A VARIANT made by `variant(...)` comes from canonical text, so duplicates, comments and bad surrogates are gone. A fraction is
-stored as DECIMAL there; numeric reads go through DOUBLE. SQL null is "absent", a variant null is "null".
+A VARIANT made by `parsed(...)` comes from a strict parse, so duplicates, comments and bad surrogates are gone, and doubles are doubles
+however they are written. `variant(...)` reads text that is known to be canonical in the JVM; a fraction is stored as DECIMAL there and a
+whole double as an integer. Numeric reads go through DOUBLE. SQL null is "absent", a variant null is "null".
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.jsontext import json_typed
+
 KINDS = ("absent", "null", "bool", "number", "string", "array", "object")
 _LOW, _HIGH = -9223372036854775808.0, 9223372036854775808.0
 
@@ -17,6 +20,26 @@ def variant(canonical: Column) -> Column:
     return F.try_parse_json(canonical)
 
 
+#: Texts that the JVM's parser reads as the strict one does: a scalar, or an object of one member with a scalar, without escapes, fractions or numbers near 64 bits.
+_PLAIN = r'(?:-?(?:0|[1-9][0-9]{0,17})|"[^"\\\x00-\x1f]*"|true|false|null)'
+PLAIN = rf'\A[ \t\r\n]*(?:{_PLAIN}|\{{[ \t\r\n]*"[^"\\\x00-\x1f]*"[ \t\r\n]*:[ \t\r\n]*{_PLAIN}[ \t\r\n]*\}})[ \t\r\n]*\z'
+
+
+def parsed(text: Column) -> Column:
+    """The value of a JSON text, numbers with their kinds; null where it is malformed. Plain documents are parsed in the JVM, only the others go through the strict parser."""
+    plain = text.rlike(PLAIN)
+    return F.when(plain, F.try_parse_json(text)).otherwise(F.try_parse_json(json_typed(F.when(plain, F.lit(None)).otherwise(text))))
+
+
+def of(value: Column, unsigned: bool = False) -> Column:
+    """A value from a column of any Spark type but intervals: structs and maps are objects, null is the null value. unsigned: a decimal of an unsigned 64-bit integer, a double beyond 64 signed bits."""
+    null = F.parse_json(F.lit("null"))
+    if unsigned:
+        return F.coalesce(F.when(value < F.lit(_HIGH), value.try_cast("long").cast("variant")).otherwise(value.cast("double").cast("variant")), null)
+    boxed = F.to_variant_object(F.struct(value.alias("v")))
+    return F.coalesce(F.try_variant_get(boxed, "$.v", "variant"), null)
+
+
 def step(key: str | int) -> str:
     """One step of a path."""
     if isinstance(key, int):
@@ -65,6 +88,18 @@ def as_integer(v: Column) -> Column:
     return F.when(is_integer(v), F.try_variant_get(v, "$", "bigint")).when(whole, d.cast("long"))
 
 
+def to_int(v: Column, bits: int = 32) -> Column:
+    """A number as an integer of so many bits, a double's fraction cut off; null if it is none or out of range. 64 bits are exact, as as_integer."""
+    if bits == 64:
+        return as_integer(v)
+    return F.when(kind(v) == "number", F.try_variant_get(v, "$", "double").try_cast({8: "tinyint", 16: "smallint", 32: "int"}[bits]))
+
+
+def to_float(v: Column) -> Column:
+    """A number in single precision."""
+    return as_number(v).cast("float")
+
+
 def as_string(v: Column) -> Column:
     return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
 

@@ -1,8 +1,8 @@
 """Named commands: request and response documents over registered functions, for one document, for rows, and for whole DataFrames.
 
 A handler takes a request record (or nothing) and returns a response (or nothing). Payloads are JSON texts: null stands for {},
-fields are read by the overlay rules with the request's defaults, responses are written canonically, no response is null. An
-unknown name is an error; in row form errors are a column.
+requests are declared records, or dicts of fields with defaults, and are read by the overlay rules; responses are written canonically, as
+their declared type says if there is one; no response is null. An unknown name is an error; in row form errors are a column.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.jsontext import dump, parse_or_null
+from quillstone.plans import export, records
+from quillstone.plans import model as m
 
 
 class UnknownCommand(KeyError):
@@ -57,13 +59,20 @@ class Handler:
     takes: bool
     answers: bool
     is_async: bool = False
-    #: Request fields with defaults; other keys are left out. None: the payload as it is.
-    request: tuple[tuple[str, Any], ...] | None = None
+    #: A record type, or request fields with defaults; other keys are left out. None: the payload as it is.
+    request: m.Record | tuple[tuple[str, Any], ...] | None = None
+    response: m.Type | None = None
+
+    def read(self, payload: Any) -> Any:
+        if isinstance(self.request, m.Record):
+            return records.load(self.request, {} if payload is None else payload, self.request.fresh())
+        return _laid_over(self.request, payload)
 
     def run(self, payload: Any) -> Any:
-        args = [_laid_over(self.request, payload)] if self.takes else []
-        out = self.call(*args)
-        return out if self.answers else None
+        out = self.call(*([self.read(payload)] if self.takes else []))
+        if not self.answers:
+            return None
+        return out if self.response is None else records.save(self.response, out)
 
 
 def _laid_over(fields: tuple[tuple[str, Any], ...] | None, payload: Any) -> Any:
@@ -88,25 +97,33 @@ def _laid_over(fields: tuple[tuple[str, Any], ...] | None, payload: Any) -> Any:
     return {k: read(d, given[k]) if k in given else ([] if isinstance(d, list) else {} if isinstance(d, dict) else d) for k, d in fields}
 
 
-def describe(call: Callable) -> tuple[bool, bool]:
-    """Whether a function takes a request and gives a response, from its signature."""
+class Shape(typing.NamedTuple):
+    """What a function's signature tells of a handler."""
+
+    takes: bool
+    answers: bool
+    is_async: bool
+
+
+def describe(call: Callable) -> Shape:
     s = inspect.signature(call)
     hints = typing.get_type_hints(call)
-    return bool(s.parameters), hints.get("return", Any) is not type(None)
+    later = any(hints.get(name) is Completer for name in s.parameters)
+    return Shape(bool(s.parameters), later or hints.get("return", Any) is not type(None), later)
 
 
 @dataclass
 class CommandTable:
     handlers: dict[str, Handler] = field(default_factory=dict)
 
-    def on(self, name: str, call: Callable, request: dict[str, Any] | None = None) -> None:
-        """Registers, or replaces, a function; its signature tells which of the four shapes it has."""
-        takes, answers = describe(call)
-        self.handlers[name] = Handler(call, takes, answers, False, tuple(request.items()) if request is not None else None)
+    def on(self, name: str, call: Callable, request: m.Record | dict[str, Any] | None = None, response: m.Type | None = None) -> None:
+        """Registers, or replaces, a function; its signature tells which of the four shapes it has, and whether it answers later (a second parameter, or a coroutine's)."""
+        shape = describe(call)
+        self.handlers[name] = Handler(call, shape.takes, shape.answers, shape.is_async, tuple(request.items()) if isinstance(request, dict) else request, response)
 
-    def on_async(self, name: str, call: Callable[[Any, Completer], None], request: dict[str, Any] | None = None) -> None:
+    def on_async(self, name: str, call: Callable[[Any, Completer], None], request: m.Record | dict[str, Any] | None = None) -> None:
         """A function of (request, completer) that may answer later, from any thread."""
-        self.handlers[name] = Handler(call, True, True, True, tuple(request.items()) if request is not None else None)
+        self.handlers[name] = Handler(call, True, True, True, tuple(request.items()) if isinstance(request, dict) else request)
 
     def has(self, name: str) -> bool:
         return name in self.handlers
@@ -127,7 +144,7 @@ class CommandTable:
             if h is None:
                 raise UnknownCommand(name)
             if h.is_async:
-                h.call(_laid_over(h.request, payload), completer)
+                h.call(h.read(payload), completer)
             else:
                 completer.resolve(h.run(payload))
         except Exception as e:  # handlers are foreign code
@@ -182,17 +199,42 @@ class Api:
     def __init__(self):
         self.members: list[tuple[str, str, Any]] = []
 
-    def command(self, name: str | None = None, request: dict[str, Any] | None = None):
+    @classmethod
+    def of(cls, *apis: Api, **members: Any) -> Api:
+        """A declaration in one line: functions are commands, APIs are nested, whatever else listens is an event; unnamed APIs' members are taken over."""
+        out = cls()
+        for api in apis:
+            out.members += api.members
+        for name, member in members.items():
+            if isinstance(member, Api):
+                out.use(name, member)
+            elif hasattr(member, "listen"):
+                out.event(name, member)
+            else:
+                out.command(name)(member)
+        return out
+
+    def command(self, name: str | None = None, request: m.Record | dict[str, Any] | None = None, response: m.Type | None = None):
         def add(call: Callable) -> Callable:
-            self.members.append(("command", name or call.__name__, (call, request)))
+            self.members.append(("command", name or call.__name__, (call, request, response)))
             return call
 
         return add
 
-    def event(self, name: str, event: Any) -> Any:
-        self.members.append(("event", name, event))
+    def event(self, name: str, event: Any, payload: m.Type | None = None, collection: str = "", key: str = "") -> Any:
+        self.members.append(("event", name, (event, payload, collection, key)))
         return event
 
+    def described(self, base: str = "schema") -> export.Context:
+        """The commands and events with their declared types, as exports take them."""
+        ctx = export.Context(base=base)
+        for kind, name, member in self.walk():
+            if kind == "command":
+                ctx.commands.append(export.Command(name, member[1] if isinstance(member[1], m.Record) else None, member[2]))
+            else:
+                ctx.events.append(export.EventType(name, member[1] or m.Raw(), *member[2:]))
+        return ctx
+
     def use(self, name: str, api: Api) -> None:
         self.members.append(("api", name, api))
 
@@ -210,4 +252,4 @@ class Api:
             if kind == "command":
                 table.on(name, *member)
             elif bridge is not None:
-                bridge.attach(name, member)
+                bridge.attach(name, member[0])

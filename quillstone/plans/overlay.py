@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.jsontext import dump, json_print
-from quillstone.functions.values import as_array, as_bool, as_number, as_object, as_string, find, is_integer, kind, variant
+from quillstone.functions.values import as_array, as_bool, as_number, as_object, as_string, find, is_integer, kind, parsed
 from quillstone.plans import model as m
 
 
@@ -145,8 +145,8 @@ def loaded(df: DataFrame, t: m.Type, text: str, out: str = "record", prior: Colu
     while slot in names:
         slot += "_"
     null = F.parse_json(F.lit("null"))
-    parsed = df.withColumn(slot, json_print(F.col(text))).withColumn(slot, F.coalesce(variant(F.col(slot)), null))
-    return parsed.withColumn(out, load(t, F.col(slot), prior)).drop(slot)
+    read = df.withColumn(slot, F.coalesce(parsed(F.col(text)), null))
+    return read.withColumn(out, load(t, F.col(slot), prior)).drop(slot)
 
 
 #: Control characters whose escapes hold a letter.
@@ -207,7 +207,8 @@ def _text(t: m.Type, value: Column) -> Column:
             out = F.when(value == n, F.lit(dump(name))).otherwise(out)
         return F.coalesce(out, null)
     if isinstance(t, m.Raw):
-        return F.coalesce(F.to_json(value), null)
+        endless = (kind(value) == "number") & (F.abs(F.try_variant_get(value, "$", "double")) == float("inf"))
+        return F.when(endless, null).otherwise(F.coalesce(F.to_json(value), null))
     if isinstance(t, m.Vector | m.Fixed):
         return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _text(t.inner, x)), ","), F.lit("]")), F.lit("[]"))
     if isinstance(t, m.Map):
@@ -239,6 +240,36 @@ def save(t: m.Type, value: Column, indent: int = 0) -> Column:
     return text if _exact(t) and not indent else json_print(text, indent)
 
 
+def value_of(t: m.Type, value: Column) -> Column:
+    """A column of the type as a JSON value."""
+    return F.parse_json(save(t, value))
+
+
+# Omittables: struct(present, value)
+
+
+def has(omittable: Column) -> Column:
+    return F.coalesce(omittable["present"], F.lit(False))
+
+
+def value_or(omittable: Column, other: Column) -> Column:
+    return F.when(has(omittable), omittable["value"]).otherwise(other)
+
+
+def emplaced(value: Column) -> Column:
+    return F.struct(F.lit(True).alias("present"), value.alias("value"))
+
+
+def reset(omittable: Column) -> Column:
+    """The omittable without its value, of the same type."""
+    return omittable.withField("present", F.lit(False)).withField("value", F.nullif(omittable["value"], omittable["value"]))
+
+
+def same(a: Column, b: Column) -> Column:
+    """Both absent, or both present with equal values (nulls are equal)."""
+    return (~has(a) & ~has(b)) | (has(a) & has(b) & a["value"].eqNullSafe(b["value"]))
+
+
 def patched(t: m.Record, base: Column, patch: Column) -> Column:
     """A record with the present members of a patch (a record of the same field names, Omittable each) laid over it."""
     return F.struct(*[F.when(patch.getField(f.name)["present"], patch.getField(f.name)["value"]).otherwise(base.getField(f.name)).alias(f.name) for f in t.fields])

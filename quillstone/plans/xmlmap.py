@@ -28,6 +28,12 @@ def is_scalar(t: m.Type) -> bool:
     return isinstance(_bare(t), m.Bool | m.Int | m.Double | m.Text | m.Enum)
 
 
+def _told(t: m.Type, value) -> str:
+    """A double's text, though its document may spell it as an integer."""
+    real = isinstance(_bare(t), m.Double) and isinstance(value, int) and not isinstance(value, bool)
+    return scalar_text(float(value) if real else value)
+
+
 def put(t: m.Type, parent: Node, name: str, value) -> None:
     """Writes a member into an element."""
     t = _bare(t)
@@ -37,14 +43,14 @@ def put(t: m.Type, parent: Node, name: str, value) -> None:
             child = Node(name)
             parent.children.append(child)
             if is_scalar(inner) or not isinstance(x, dict | list):
-                child.text = "" if x is None else scalar_text(x)
+                child.text = "" if x is None else _told(inner, x)
             elif isinstance(_bare(inner), m.Vector | m.Fixed) or isinstance(x, list):
                 put(inner, child, ITEM, x)
             else:
                 fill(inner, child, x)
     elif is_scalar(t) or not isinstance(value, dict):
         if value is not None:
-            parent.attributes[name] = scalar_text(value)
+            parent.attributes[name] = _told(t, value)
         elif isinstance(t, m.Record):
             parent.children.append(Node(name))
     else:

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import values
 from quillstone.functions.jsontext import dump
 
 
@@ -95,10 +96,9 @@ def with_defaults(snapshots: DataFrame, defaults: dict[str, str], by: str = "nam
 
 def exploded(events: DataFrame, collection: str, key: str, payload: str = "payload") -> DataFrame:
     """Keyed events: one row for each item of the payload's collection, with its key as text."""
-    doc = F.try_parse_json(payload)
-    items = F.try_variant_get(doc, f"$['{collection}']", "array<variant>")
+    items = values.as_array(values.find(values.parsed(F.col(payload)), collection))
     rows = events.withColumn("_item", F.explode(items))
-    return rows.withColumn("item_key", F.try_variant_get("_item", f"$['{key}']", "string")).withColumn("item", F.to_json("_item")).drop("_item")
+    return rows.withColumn("item_key", F.try_variant_get(values.find(F.col("_item"), key), "$", "string")).withColumn("item", F.to_json("_item")).drop("_item")
 
 
 def prefixed(events: DataFrame, prefix: str, name: str = "name") -> DataFrame:

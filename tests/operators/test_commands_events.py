@@ -4,7 +4,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators.commands import Api, CommandTable, FrameCommands, UnknownCommand
+from quillstone.operators.commands import Api, CommandTable, Completer, FrameCommands, UnknownCommand, describe
+from quillstone.functions.jsontext import dump, parse
+from quillstone.plans import export
 from quillstone.plans import model as m
 from quillstone.plans.overlay import loaded, save
 from quillstone.plans.xmlmap import from_xml, to_xml, xml_document, xml_saved
@@ -44,6 +46,40 @@ def test_dispatch():
         t.dispatch("x")
 
 
+def test_declared_requests(spark):
+    """Requests of declared types, nested ones and unions too, are read as columns are."""
+    from quillstone import conformance as c
+
+    every = m.record("Every", **{k: (t, start) if start is not None else t for k, (t, start, _) in c.FIELDS.items()})
+    t = CommandTable()
+    t.on("echo", lambda request: request, every, every)
+    df = c.QUERIES["record_raw_and_unions"](spark, "/root/testdata/sf0.001")
+    assert df.count() and t.dispatch("echo", None) == json.loads(dump(t.dispatch("echo", {})))
+    for name in ("record_scalars", "record_enums_and_absence", "record_containers", "record_raw_and_unions"):
+        sent = {k: w for k, w in c.CASES[name]}
+        for text, want in sent.items():
+            assert dump(t.dispatch("echo", parse(text.replace("@n", "3").replace("@s", "N")))) == want.replace("@n", "3").replace("@s", "N"), text
+
+
+def later(request, completer: Completer) -> None:
+    completer.resolve(request)
+
+
+def test_shapes_and_one_line_declarations():
+    inner, event = Api.of(ping=ping), Event({"v": 0})
+    api = Api.of(Api.of(note=note), add=add, later=later, changed=event, files=inner)
+    assert [(k, n) for k, n, _ in api.walk()] == [("command", "note"), ("command", "add"), ("command", "later"), ("event", "changed"), ("command", "files.ping")]
+    assert describe(ping) == (False, True, False) and describe(note) == (True, False, False) and describe(later) == (True, True, True)
+    t = CommandTable()
+    api.bind(t, Bridge())
+    assert t.dispatch("files.ping") == "pong" and t.dispatch_async("later", 4).result(1) == 4
+    leaf = m.record("Leaf", x=m.Int())
+    api.command("typed", leaf, leaf)(add)
+    ctx = api.described("made")
+    assert [c.name for c in ctx.commands] == ["note", "add", "later", "files.ping", "typed"] and ctx.commands[-1].request == leaf and ctx.events[0].name == "changed"
+    assert "typed" in export.export(ctx)["made.backend.ts"]
+
+
 def test_async():
     t = table()
     t.on_async("later", lambda r, c: threading.Timer(0.05, lambda: (c.resolve(r["n"]), c.resolve("again"))).start(), {"n": 4})
