@@ -4,16 +4,19 @@ P(word | history) = P(class | history) * P(word | class). The class factor is a
 weights of hashed history features, which are the word before, the two words before (n-grams), and the second and third word before
 alone (skip features). The word factor within a class has one feature, the word itself, whose maximum-entropy solution is its
 share of the class, smoothed by `ALPHA` as the base model is. Frequent words, those with at least 1/`HEAVY` of all tokens (so at most
-`HEAVY` words), form classes of about equal mass; all others, unseen ones too, are spread over classes by hash. The end has its own.
+`HEAVY` words), are units of their own; all others, unseen ones too, go by form, one of `FORMS` buckets of a word's first bytes. Classes
+are clusters of units that stand between alike words, found from counts over all training tokens. The end has its own.
 
-1. Counts. Word hashes with counts go to owners by hash range, merged in each batch first; owners keep the whole vocabulary's counts.
-2. Training. In each of `ROUNDS` rounds every partition runs gradient steps (Adagrad, minibatches) over its share of that round's
+1. Counts. Word hashes with forms and counts go to owners by hash range, merged in each batch first; owners keep the whole vocabulary's counts.
+2. Classes. Every partition counts, for each unit, hashed buckets of the words before and after it; the sums over all partitions, a table
+   of fixed size, are clustered on the driver (weighted k-means over square roots of shares, `CLASSES` - 1 clusters).
+3. Training. In each of `ROUNDS` rounds every partition runs gradient steps (Adagrad, minibatches) over its share of that round's
    training documents from common weights, and the weights come back as token-weighted means, block by block, in two levels. The
    rounds' documents are disjoint and together all training documents.
-3. Scoring. Whole texts are scored in numpy batches. Counts of frequent words are at hand; those of all others are asked of their
+4. Scoring. Whole texts are scored in numpy batches. Counts of frequent words are at hand; those of all others are asked of their
    owners, who answer each piece of texts with sums per text.
 
-Sent to every task: the frequent words and the weights, both of fixed size. Edge cases: null and empty texts are one end token; texts are
+Sent to every task: the frequent words with their classes and the weights, both of fixed size. Edge cases: null and empty texts are one end token; texts are
 read whole; equal texts have equal scores and are asked for once per batch; repeated rows come back each; a null doc_id is held
 out or not by crc32 of nothing (it trains); without training tokens every score is 0; an empty table gives no rows; other columns
 are ignored, whatever their names. Words are told apart by 64-bit hashes.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,11 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import finish, hash_texts, n_parts, written
+from quillstone.llm.common import finish, hash_bytes, n_parts, written
 
 ALPHA = 0.1
-HEAVY, HEAVY_CLASSES, RARE_CLASSES = 65_536, 11, 4
-CLASSES = 1 + HEAVY_CLASSES + RARE_CLASSES
+HEAVY, FORMS, CLASSES = 65_536, 256, 32
+#: Buckets of neighbours on each side, and rounds of clustering.
+SIDE, TURNS = 32, 12
 BUCKETS_LOG2, ROUNDS = 15, 2
 MINIBATCH, RATE, CALM = 200_000, 0.25, 12.0
 OWNER_TOKENS, LEVEL = 3_000_000, 256
@@ -44,10 +49,15 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MASK = np.uint64((1 << BUCKETS_LOG2) - 1)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of the texts, each closed by an end, and where each begins."""
-    h, bounds = hash_texts(texts, lower=True)
-    return np.insert(h, bounds[1:], END), bounds + np.arange(len(bounds))
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of the texts, each closed by an end, their forms, and where each text begins."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n".join(raw).lower() + b"\n\n\n"
+    h, begins = hash_bytes(data)
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    form = finish(b[begins] << np.uint64(16) | b[begins + 1] << np.uint64(8) | (b[begins + 2] if len(begins) else begins.astype(np.uint64))) % np.uint64(FORMS)
+    bounds = np.searchsorted(begins, np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))))
+    return np.insert(h, bounds[1:], END), np.insert(form.astype(np.int16), bounds[1:], 0), bounds + np.arange(len(bounds))
 
 
 def features(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -66,26 +76,47 @@ def features(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Frequent words with their counts and classes; other words' classes by hash."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        mass = np.cumsum(counts[order]) / max(1, counts.sum())
-        classes = 1 + np.minimum((mass * HEAVY_CLASSES).astype(np.int64), HEAVY_CLASSES - 1)[rank]
-        classes[hashes == END] = 0
+    """Frequent words with their forms and counts; unit i is frequent word i, or form i less the number of words. classes: of every unit."""
+
+    def __init__(self, hashes: np.ndarray, forms: np.ndarray, counts: np.ndarray):
         by = np.argsort(hashes)
-        self.hashes, self.counts, self.classes = hashes[by], counts[by], classes[by].astype(np.int8)
+        self.hashes, self.forms, self.counts = hashes[by], forms[by], counts[by]
+        self.classes = np.zeros(len(by) + FORMS, np.int8)
+
+    def units(self, tok: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units, and counts, 0 for words that are not frequent."""
+        n = len(self.hashes)
+        if not n:
+            return form.astype(np.int64), np.zeros(len(tok), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, tok), n - 1)
+        hit = self.hashes[at] == tok
+        return np.where(hit, at, n + form), np.where(hit, self.counts[at], 0)
 
-    def look(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, tok: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes, and counts, 0 for words that are not frequent."""
-        rare = (1 + HEAVY_CLASSES + (tok >> np.uint64(40)) % np.uint64(RARE_CLASSES)).astype(np.int8)
-        if not len(self.hashes):
-            return rare, np.zeros(len(tok), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, tok), len(self.hashes) - 1)
-        hit = self.hashes[at] == tok
-        return np.where(hit, self.classes[at], rare), np.where(hit, self.counts[at], 0)
+        units, counts = self.units(tok, form)
+        return self.classes[units], counts
+
+
+def clustered(table: np.ndarray, weight: np.ndarray, k: int, turns: int = TURNS) -> np.ndarray:
+    """Cluster of each row by weighted k-means over square roots of shares on either side; rows without counts are cluster 0. Deterministic."""
+    n = len(table)
+    x = np.concatenate([np.sqrt(t / np.maximum(t.sum(1, keepdims=True), 1)) for t in (table[:, :SIDE].astype(float), table[:, SIDE:].astype(float))], axis=1).astype(np.float32)
+    w = weight.astype(float) * (table.sum(1) > 0)
+    if n == 0 or not w.any():
+        return np.zeros(n, np.int64)
+    centres = [x[np.argmax(w)]]
+    far = ((x - centres[0]) ** 2).sum(1)
+    while len(centres) < k and (far * w).max() > 1e-9:  # the heaviest of what is far from all centres
+        centres.append(x[np.argmax(far * np.sqrt(w))])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+    c = np.stack(centres)
+    for _ in range(turns):
+        of = np.argmin((c**2).sum(1) - 2 * (x @ c.T), axis=1)
+        mass = np.bincount(of, w, len(c))
+        sums = np.stack([np.bincount(of, w * col, len(c)) for col in x.T], axis=1)
+        c = np.where(mass[:, None] > 0, sums / np.maximum(mass[:, None], 1e-9), c).astype(np.float32)
+    return np.argmin((c**2).sum(1) - 2 * (x @ c.T), axis=1)
 
 
 def log_classes(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -117,31 +148,34 @@ class Learner:
             self.n += len(c)
 
 
-def _slices(texts: list[str | None], chars: int = 6_000_000):
+def _slices(column: pa.Array | list[str | None], chars: int = 2_500_000):
     out, total = [], 0
-    for t in texts:
-        out.append(t)
-        total += len(t or "")
-        if total >= chars:
-            yield out
-            out, total = [], 0
+    for at in range(0, len(column), 256):
+        for t in column[at : at + 256] if isinstance(column, list) else column.slice(at, 256).to_pylist():
+            out.append(t)
+            total += len(t or "")
+            if total >= chars:
+                yield out
+                out, total = [], 0
     if out:
         yield out
 
 
 def _owner(h: np.ndarray, owners: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(owners) >> np.uint64(16)).astype(np.int32)
+    return ((h >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
 
 
 def _count(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in _slices(batch.column(0).to_pylist()):
-                h, c = np.unique(tokens(texts)[0], return_counts=True)
+            for texts in _slices(batch.column(0)):
+                tok, form, _ = tokens(texts)
+                h, first, c = np.unique(tok, return_index=True, return_counts=True)
+                form = form[first]
                 cuts = np.searchsorted(_owner(h, owners), np.arange(owners + 1))
                 at = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), pa.array([h[cuts[o] : cuts[o + 1]].tobytes() for o in at], pa.binary()), pa.array([c[cuts[o] : cuts[o + 1]].astype(np.int64).tobytes() for o in at], pa.binary())], ["owner", "hashes", "counts"]
+                    [pa.array(at, pa.int32()), pa.array([h[cuts[o] : cuts[o + 1]].tobytes() for o in at], pa.binary()), pa.array([c[cuts[o] : cuts[o + 1]].astype(np.int64).tobytes() for o in at], pa.binary()), pa.array([form[cuts[o] : cuts[o + 1]].astype("u1").tobytes() for o in at], pa.binary())], ["owner", "hashes", "counts", "forms"]
                 )
 
     return run
@@ -150,31 +184,60 @@ def _count(owners: int):
 def _merge(table: pa.Table) -> pa.Table:
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
     c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-    u, back = np.unique(h, return_inverse=True)
-    total = np.bincount(back, c, len(u)).astype(np.int64)
-    rare = ((u >> np.uint64(40)) % np.uint64(RARE_CLASSES)).astype(np.int64)
-    of_class = [np.bincount(rare, w, RARE_CLASSES).astype(np.int64).tolist() for w in (total, None)]
-    return pa.table([pa.array([table.column("owner")[0].as_py()], pa.int32()), pa.array([u.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.array([int(total.sum())]), pa.array([len(u)]), *(pa.array([x], pa.list_(pa.int64())) for x in of_class)], names=["owner", "hashes", "counts", "n", "v", "rare_n", "rare_v"])
+    f = np.concatenate([np.frombuffer(x, "u1") for x in table.column("forms").to_pylist()])
+    u, first, back = np.unique(h, return_index=True, return_inverse=True)
+    total, f = np.bincount(back, c, len(u)).astype(np.int64), f[first]
+    of_form = [np.bincount(f, w, FORMS).astype(np.int64) for w in (total, None)]
+    columns = [pa.array([table.column("owner")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (u, total, f)), pa.array([int(total.sum())]), pa.array([len(u)]), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in of_form)]
+    return pa.table(columns, names=["owner", "hashes", "counts", "forms", "n", "v", "form_n", "form_v"])
 
 
 def _frequent(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, c = np.frombuffer(h, np.int64), np.frombuffer(c, np.int64)
+            for h, c, f in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                h, c, f = np.frombuffer(h, np.int64), np.frombuffer(c, np.int64), np.frombuffer(f, "u1")
                 stay = (c >= least) | (h == END.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h[stay]), pa.array(c[stay])], ["hash", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[stay]), pa.array(c[stay]), pa.array(f[stay].astype(np.int32))], ["hash", "count", "form"])
 
     return run
 
 
+def _neighbours(lexicon: Lexicon):
+    """For each unit, how often words of each bucket stand before and behind it; one row a block of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(lexicon.hashes) + FORMS
+        table = np.zeros((n, 2 * SIDE), np.int64)
+        for batch in batches:
+            for texts in _slices(batch.column(0)):
+                tok, form, bounds = tokens(texts)
+                unit = lexicon.units(tok, form)[0]
+                near = (finish(tok) % np.uint64(SIDE)).astype(np.int64)
+                inner = np.ones(len(tok), bool)
+                inner[bounds[:-1]] = False  # the first of a text has none before it
+                before = np.flatnonzero(inner)
+                table += np.bincount(unit[before] * 2 * SIDE + near[before - 1], minlength=table.size).reshape(table.shape)
+                table += np.bincount(unit[before - 1] * 2 * SIDE + SIDE + near[before], minlength=table.size).reshape(table.shape)
+        if table.any():
+            level, parts = TaskContext.get().partitionId() % LEVEL, np.array_split(table, BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([level] * BLOCKS, pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["block", "level", "sums"])
+
+    return run
+
+
+def _sum(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<i8") for x in group["sums"])
+    return pd.DataFrame({"block": group["block"].iloc[:1], "level": group["level"].iloc[:1] * 0, "sums": [total.tobytes()]})
+
+
 def _train(lexicon: Lexicon, weights: np.ndarray, bias: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(weights, bias)
         for batch in batches:
-            for texts in _slices(batch.column(0).to_pylist()):
-                tok, bounds = tokens(texts)
-                learner.learn(features(tok, bounds), lexicon.look(tok)[0])
+            for texts in _slices(batch.column(0)):
+                tok, form, bounds = tokens(texts)
+                learner.learn(features(tok, bounds), lexicon.look(tok, form)[0])
         if learner.n:
             level = TaskContext.get().partitionId() % LEVEL
             parts = np.split(learner.w - weights, BLOCKS)
@@ -197,9 +260,9 @@ def _score(lexicon: Lexicon, weights: np.ndarray, bias: np.ndarray, scale: np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in _slices(batch.column(3).to_pylist()):
-                tok, bounds = tokens(texts)
-                classes, counts = lexicon.look(tok)
+            for texts in _slices(batch.column(3)):
+                tok, form, bounds = tokens(texts)
+                classes, counts = lexicon.look(tok, form)
                 f = features(tok, bounds)
                 part = np.empty(len(tok))
                 for i in range(0, len(tok), MINIBATCH):
@@ -226,9 +289,9 @@ def _ask(lexicon: Lexicon, owners: int):
                 own_keys = keys[at : at + len(texts)]
                 piece = int.from_bytes(hashlib.blake2b(own_keys.tobytes(), digest_size=8).digest(), "little", signed=True)
                 at += len(texts)
-                tok, bounds = tokens(texts)
+                tok, form, bounds = tokens(texts)
                 who = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))
-                rare = lexicon.look(tok)[1] == 0
+                rare = lexicon.look(tok, form)[1] == 0
                 tok, who = tok[rare], who[rare]
                 order = np.lexsort((who, tok))
                 tok, who = tok[order], who[order]
@@ -278,30 +341,47 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def scored(docs: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64(text).alias("th"), text.alias("text"))
+class Model(NamedTuple):
+    lexicon: Lexicon
+    weights: np.ndarray
+    bias: np.ndarray
+    #: log10 of each class's denominator.
+    scale: np.ndarray
+    #: Tokens and distinct tokens of the training documents.
+    n: int
+    v: int
+    vocab: DataFrame
+    owners: int
+
+
+def fitted(named: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None) -> Model:
+    """named: doc_id, held_out, text without nulls."""
+    spark = named.sparkSession
     training = named.filter(~F.col("held_out"))
     if owners is None:
         size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        owners = min(60_000, max(n_parts(spark), size // 6 // OWNER_TOKENS))
-    sent = training.select("text").mapInArrow(_count(owners), "owner int, hashes binary, counts binary")
-    vocab = written(sent.groupBy("owner").applyInArrow(_merge, "owner int, hashes binary, counts binary, n long, v long, rare_n array<long>, rare_v array<long>"), "vocabulary")
-    rare = [F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c in ("rare_n", "rare_v") for i in range(RARE_CLASSES)]
-    total = vocab.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *rare).first()
+        owners = max(n_parts(spark), size // 6 // OWNER_TOKENS)
+    sent = training.select("text").mapInArrow(_count(owners), "owner int, hashes binary, counts binary, forms binary")
+    vocab = written(sent.groupBy("owner").applyInArrow(_merge, "owner int, hashes binary, counts binary, forms binary, n long, v long, form_n array<long>, form_v array<long>"), "vocabulary")
+    total = vocab.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
-    often = vocab.select("hashes", "counts").mapInArrow(_frequent(n / HEAVY), "hash long, count long").collect()  # at most HEAVY words and the end
-    lexicon = Lexicon(np.array([r["hash"] for r in often], np.int64).view(np.uint64), np.array([r["count"] for r in often], np.int64))
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(class_n, lexicon.classes, lexicon.counts)
-    np.add.at(class_v, lexicon.classes, 1)
-    of = ((lexicon.hashes >> np.uint64(40)) % np.uint64(RARE_CLASSES)).astype(np.int64)
-    for i in range(RARE_CLASSES):
-        class_n[1 + HEAVY_CLASSES + i] = (total[f"rare_n_{i}"] or 0) - lexicon.counts[of == i].sum()
-        class_v[1 + HEAVY_CLASSES + i] = (total[f"rare_v_{i}"] or 0) - (of == i).sum()
+    often = vocab.select("hashes", "counts", "forms").mapInArrow(_frequent(n / HEAVY), "hash long, count long, form int").collect()  # at most HEAVY words and the end
+    lexicon = Lexicon(np.array([r["hash"] for r in often], np.int64).view(np.uint64), np.array([r["form"] for r in often], np.int64), np.array([r["count"] for r in often], np.int64))
+    units = len(lexicon.hashes) + FORMS
+    unit_n, unit_v = np.zeros(units, np.int64), np.ones(units, np.int64)
+    unit_n[: units - FORMS], unit_v[units - FORMS :] = lexicon.counts, 0
+    each = vocab.select(F.posexplode(F.arrays_zip("form_n", "form_v")).alias("form", "z")).groupBy("form").agg(F.sum("z.form_n").alias("n"), F.sum("z.form_v").alias("v"))
+    for r in each.collect():  # FORMS rows
+        own = lexicon.forms == r["form"]
+        unit_n[units - FORMS + r["form"]], unit_v[units - FORMS + r["form"]] = r["n"] - lexicon.counts[own].sum(), r["v"] - own.sum()
+    near = training.select("text").mapInArrow(_neighbours(lexicon), "block int, level int, sums binary")
+    for keys in (("block", "level"), ("block",)):
+        near = near.groupBy(*keys).applyInPandas(_sum, "block int, level int, sums binary")
+    blocks = {r["block"]: np.frombuffer(r["sums"], "<i8") for r in near.select("block", "sums").collect()}  # the table, of fixed size
+    if blocks:
+        lexicon.classes[:] = 1 + clustered(np.concatenate([blocks[i] for i in range(BLOCKS)]).reshape(units, 2 * SIDE), unit_n, CLASSES - 1)
+    lexicon.classes[: units - FORMS][lexicon.hashes == END] = 0
+    class_n, class_v = np.bincount(lexicon.classes, unit_n, CLASSES), np.bincount(lexicon.classes, unit_v, CLASSES)
     scale = np.log10(class_n + ALPHA * (class_v + 1))
     bias = np.log((class_n + 1) / (class_n.sum() + CLASSES)).astype(np.float32)
     weights = np.zeros((1 << BUCKETS_LOG2, CLASSES), np.float32)
@@ -313,11 +393,20 @@ def scored(docs: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None)
         for row in moves.select("block", "move").collect():  # the weights, of fixed size
             at = row["block"] * len(weights) // BLOCKS
             weights[at : at + len(weights) // BLOCKS] += np.frombuffer(row["move"], np.float32).reshape(-1, CLASSES)
+    return Model(lexicon, weights, bias, scale, n, v, vocab, owners)
+
+
+def scored(docs: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64(text).alias("th"), text.alias("text"))
+    lexicon, weights, bias, scale, n, v, vocab, owners = fitted(named, rounds=rounds, owners=owners)
     rows = named.mapInArrow(_score(lexicon, weights, bias, scale), f"doc_id {kind}, held_out boolean, th long, n_tokens long, class_part double, own_part double, own_known long")
     asked = named.select("th", "text").mapInArrow(_ask(lexicon, owners), "owner int, piece long, ths binary, asked binary, who binary, times binary")
     told = asked.groupBy("owner").cogroup(vocab.select("owner", "hashes", "counts").groupBy("owner")).applyInArrow(_tell, "piece long, owner int, ths binary, part binary, known binary")
     told = told.groupBy("piece").applyInArrow(_gather, "th long, part double, known long")
-    told = told.groupBy("th").agg(F.max("part").alias("part"), F.max("known").alias("known"))  # a text in several pieces has the same sums in each
+    told = written(told.groupBy("th").agg(F.max("part").alias("part"), F.max("known").alias("known")), "told")  # a text in several pieces has the same sums in each
     counts = F.col("own_part") + F.coalesce("part", F.lit(0.0))
     base = float(np.log10(n + ALPHA * (v + 1)))
     none = F.lit(n == 0)

@@ -111,10 +111,11 @@ def test_maxent(spark):
 
 def test_maxent_learns():
     text = " ".join(["alpha beta gamma delta"] * 3000)
-    tok, at = maxent_lm.tokens([text])
-    h, n = np.unique(tok, return_counts=True)
-    lexicon = maxent_lm.Lexicon(h, n)
-    classes, f = lexicon.look(tok)[0], maxent_lm.features(tok, at)
+    tok, form, at = maxent_lm.tokens([text])
+    h, first, n = np.unique(tok, return_index=True, return_counts=True)
+    lexicon = maxent_lm.Lexicon(h, form[first], n)
+    lexicon.classes[: len(h)] = np.arange(len(h))
+    classes, f = lexicon.look(tok, form)[0], maxent_lm.features(tok, at)
     w, b = np.zeros((1 << maxent_lm.BUCKETS_LOG2, maxent_lm.CLASSES), np.float32), np.zeros(maxent_lm.CLASSES, np.float32)
     before = maxent_lm.log_classes(w, b, f)[np.arange(len(tok)), classes].sum()
     learner = maxent_lm.Learner(w, b)
@@ -123,6 +124,35 @@ def test_maxent_learns():
     assert logs[np.arange(len(tok)), classes].sum() > before and np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
 
 
+def test_maxent_score_is_the_models(spark):
+    """Scores against a plain sum over tokens; the words of a class and an unseen one sum to one, and so do the classes."""
+    docs = documents(spark)
+    named = docs.select("doc_id", maxent_lm.held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    model = maxent_lm.fitted(named, owners=3)
+    counts, forms = Counter(), {}
+    for r in named.filter("not held_out").collect():
+        tok, form, _ = maxent_lm.tokens([r["text"]])
+        counts.update(tok.tolist())
+        forms.update(zip(tok.tolist(), form.tolist(), strict=True))
+    of = {w: int(model.lexicon.look(np.array([w], np.uint64), np.array([forms[w]], np.int16))[0][0]) for w in counts}
+    for c in set(of.values()):
+        own = [counts[w] for w in of if of[w] == c]
+        assert 10 ** model.scale[c] == pytest.approx(sum(own) + 0.1 * (len(own) + 1))
+    got = Counter((r["doc_id"], round(r["score"], 3)) for r in maxent_lm.scored(docs, owners=3).collect())
+    for i, t, _ in plain(docs):
+        tok, form, at = maxent_lm.tokens([t])
+        logs = maxent_lm.log_classes(model.weights, model.bias, maxent_lm.features(tok, at)) / math.log(10)
+        classes = model.lexicon.look(tok, form)[0]
+        want = sum(float(logs[k, c]) + math.log10(counts[int(w)] + 0.1) - model.scale[c] for k, (w, c) in enumerate(zip(tok, classes, strict=True)))
+        assert any(abs(s - want) < 1e-3 * max(1, abs(want)) for d, s in got if d == i), (i, want)
+
+
+def test_maxent_beats_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = maxent_lm.scored(docs).filter("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert 10 ** ((r["b"] - r["s"]) / r["n"]) < 0.75  # perplexity against the base's
+
+
 def test_toxicity(spark):
     docs = spark.createDataFrame([(i, f"plain words number {i % 7} " + ("you utter zorbling fool" if i % 5 == 0 else "and more of them"), "en", "s") for i in range(600)] + [(9000, None, None, None), (9001, "", None, None), (None, "zorbling", None, None)], "doc_id long, text string, lang string, score string")
     labels = spark.createDataFrame([(i, None if i % 97 == 3 else int(i % 5 == 0)) for i in range(600)] + [(0, 0), (None, 1), (5, 1)], "doc_id long, toxic int")
