@@ -44,7 +44,7 @@ SIDE, TURNS = 32, 12
 BUCKETS_LOG2, ROUNDS = 15, 2
 MINIBATCH, RATE, CALM = 200_000, 0.25, 12.0
 OWNER_TOKENS, LEVEL = 3_000_000, 256
-BLOCKS = 32
+BLOCKS, BLOCK_TOKENS = 32, 20_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MASK = np.uint64((1 << BUCKETS_LOG2) - 1)
 
@@ -119,13 +119,34 @@ def clustered(table: np.ndarray, weight: np.ndarray, k: int, turns: int = TURNS)
     return np.argmin((c**2).sum(1) - 2 * (x @ c.T), axis=1)
 
 
-def log_classes(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | history), tokens by classes."""
-    z = weights[f[0]] + bias
-    for row in f[1:]:
-        z += weights[row]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray):
+    """Blocks of tokens that fit a processor's cache: their range, and the classes' logits less the largest."""
+    for i in range(0, f.shape[1], BLOCK_TOKENS):
+        part = f[:, i : i + BLOCK_TOKENS]
+        z = weights.take(part[0], axis=0)
+        for row in part[1:]:
+            z += weights.take(row, axis=0)
+        z += bias
+        z -= z.max(axis=1)[:, None]
+        yield slice(i, i + len(z)), z
+
+
+def class_shares(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """P(class | history), tokens by classes."""
+    out = np.empty((f.shape[1], len(bias)), np.float32)
+    for at, z in _logits(weights, bias, f):
+        np.exp(z, out=z)
+        out[at] = z / z.sum(axis=1)[:, None]
+    return out
+
+
+def log_class(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | history) of each token's own class."""
+    out = np.empty(f.shape[1])
+    for at, z in _logits(weights, bias, f):
+        own = z[np.arange(len(z)), classes[at]]
+        out[at] = own - np.log(np.exp(z, out=z).sum(axis=1))
+    return out
 
 
 class Learner:
@@ -139,7 +160,7 @@ class Learner:
     def learn(self, f: np.ndarray, classes: np.ndarray) -> None:
         for at in range(0, len(classes), MINIBATCH):
             part, c = f[:, at : at + MINIBATCH], classes[at : at + MINIBATCH]
-            g = np.exp(log_classes(self.w, self.b, part))
+            g = class_shares(self.w, self.b, part)
             g[np.arange(len(c)), c] -= 1
             g = np.ascontiguousarray(g.T)
             total = np.stack([sum(np.bincount(row, col, len(self.w)) for row in part) for col in g], axis=1).astype(np.float32)
@@ -264,11 +285,7 @@ def _score(lexicon: Lexicon, weights: np.ndarray, bias: np.ndarray, scale: np.nd
                 tok, form, bounds = tokens(texts)
                 classes, counts = lexicon.look(tok, form)
                 f = features(tok, bounds)
-                part = np.empty(len(tok))
-                for i in range(0, len(tok), MINIBATCH):
-                    c = classes[i : i + MINIBATCH]
-                    logs = log_classes(weights, bias, f[:, i : i + MINIBATCH])
-                    part[i : i + MINIBATCH] = logs[np.arange(len(c)), c] / np.log(10) - scale[c]
+                part = log_class(weights, bias, f, classes) / np.log(10) - scale[classes]
                 own = np.where(counts > 0, np.log10(counts + ALPHA), 0.0)
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in (part, own, (counts > 0).astype(np.int64))]
                 own_rows = batch.slice(at, len(texts))
