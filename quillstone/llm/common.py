@@ -44,11 +44,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back. release() deletes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillstone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append(path)
+    df.write.parquet(registered(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def registered(path: str) -> str:
+    """A path that release() deletes too."""
+    _TABLES.append(path)
+    return path
+
+
 def tables() -> int:
     """How many tables written() has made and release() has not deleted: a mark for release()."""
     return len(_TABLES)

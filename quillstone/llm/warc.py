@@ -1,7 +1,7 @@
 """A content-addressed WARC archive.
 
 write_archive() keeps two tables: `payloads`, each distinct payload's bytes once under their SHA-256, and `records`, the
-exact header block of each record. A payload is verified on the way in, by grouping on digest and bytes together (two
+exact header block of each record. A payload is verified on the way in, by comparing the bytes under a digest (two
 payloads under one digest stop the write), and on the way out, by digesting the stored bytes again. read_archive() parses
 the header blocks and joins them with the payloads; its `record` column is the record as it stands in a WARC file, and
 warc_records() parses such bytes.
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import shared_dir, written
+from quillstone.llm.common import registered, shared_dir, written
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -34,15 +34,18 @@ def _line(name: str, value) -> object:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
 
 
-def _id(column) -> object:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("")), F.lit(">"))
+def _id(column, row) -> object:
+    """A record's id: the page's, and the row's number, which tells rows that repeat a page_id apart."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, path: str, *, least: int = LEAST, date: str = "2000-01-01T00:00:00Z") -> None:
     """pages: page_id, url, html. Writes the two tables under path."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     whole = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    whole.groupBy("digest", "payload").agg(F.count(F.lit(1)).alias("uses")).write.parquet(f"{path}/payloads")
+    stored = whole.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("other"), F.count(F.lit(1)).alias("uses"))
+    clash = F.raise_error(F.lit("two payloads have one SHA-256")).cast("binary")
+    stored.select("digest", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(clash).alias("payload"), "uses").write.parquet(f"{path}/payloads")
     rows = written(whole.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes")), "records")
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("id"), F.col("row").alias("row"))
     firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -55,12 +58,12 @@ def write_archive(pages: DataFrame, path: str, *, least: int = LEAST, date: str
     header = F.concat(
         F.lit(f"{VERSION}\r\n"),
         _line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", _id(F.col("page_id"))),
+        _line("WARC-Record-ID", _id(F.col("page_id"), F.col("row"))),
         _line("WARC-Target-URI", url),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("digest")))),
         _line("WARC-Profile", F.when(again, F.lit(PROFILE))),
-        _line("WARC-Refers-To", F.when(again, _id(F.col("first_id")))),
+        _line("WARC-Refers-To", F.when(again, _id(F.col("first_id"), F.col("first_row")))),
         _line("Content-Type", F.lit("text/html;charset=utf-8")),
         _line("Content-Length", F.when(again, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit("\r\n"),
@@ -83,7 +86,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         (F.sha2("payload", 256) == F.lower(F.hex("digest"))).alias("verified"),
     )
-    number = lambda name: F.nullif(F.regexp_extract(_field(name), "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
+    number = lambda name: F.nullif(F.regexp_extract(_field(name), "<urn:page:(-?[0-9]*):[0-9]+>", 1), F.lit("")).cast("long")
     records = spark.read.schema("header binary").parquet(f"{path}/records").select(
         number("WARC-Record-ID").alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
@@ -131,7 +134,7 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/quillstone/archive-{uuid.uuid4().hex}"
+    path = registered(f"{shared_dir(spark).rstrip('/')}/quillstone/archive-{uuid.uuid4().hex}")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     back = read_archive(spark, path)
     digest = F.when(F.col("verified"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest")).cast("string"))

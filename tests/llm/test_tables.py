@@ -94,6 +94,11 @@ def test_warc(spark, tmp_path):
     files.mkdir()
     (files / "a.warc").write_bytes(b"".join(bytes(r["record"]) for r in got))
     assert warc.read_warc_files(spark, f"file://{files}").count() == len(got)
+    ids = [f["warc-record-id"] for r in got for f, _, _ in warc.warc_records(bytes(r["record"]))]
+    assert len(set(ids)) == len(ids) and {f["warc-refers-to"] for r in got for f, _, _ in warc.warc_records(bytes(r["record"])) if "warc-refers-to" in f} <= set(ids)
+    long = spark.createDataFrame([(i, "u", "é" * 4_000_000) for i in (2, 1, 3)], "page_id long, url string, html string")
+    warc.write_archive(long, f"{p}-long")
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.read_archive(spark, f"{p}-long").drop("payload", "record").collect()) == [(1, "response", 8_000_000), (2, "revisit", 8_000_000), (3, "revisit", 8_000_000)]
     warc.write_archive(pages(spark).limit(0), f"{p}-empty")
     assert warc.read_archive(spark, f"{p}-empty").count() == 0
 
