@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments a worker remembers.
-MEMO = 600_000
+#: Fragments a worker remembers, and the characters of the longest.
+MEMO, MEMO_CHARS = 600_000, 64
 LATIN = [chr(c) for c in range(0xC0, 0x250)]
 
 
@@ -80,6 +80,7 @@ class Codec(dict):
         self.fragments = re.compile(rf"[\s\S][^ \n]*(?:(?<![{firm}])[ \n][^ \n]*)*").findall if before else lambda text: [text]
         letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
         self.letter_cuts = {a + b for a in letters for b in letters if self.forced[ord(a), ord(b)]}
+        self.openers = {x[0] for x in self.special}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
 
     def __missing__(self, fragment: str) -> bytes:
@@ -90,11 +91,12 @@ class Codec(dict):
             ids = b"".join([self[fragment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(fragment)], strict=True)])
         else:
             ids = np.array(self.library.encode(fragment, add_special_tokens=False).ids, "<u4").tobytes()
-        self[fragment] = ids
+        if len(fragment) <= MEMO_CHARS:
+            self[fragment] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.special or "<" not in text or len(parts := self.specials(text)) == 1:
+        if not any(c in text for c in self.openers) or len(parts := self.specials(text)) == 1:
             return b"".join(map(self.__getitem__, self.fragments(text)))
         out = []
         for k, part in enumerate(parts):
