@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import finish, hash_bytes, n_parts, written
 
 ALPHA = 0.1
-HEAVY, FORMS, CLASSES = 65_536, 256, 32
+HEAVY, FORMS, CLASSES = 65_536, 256, 24
 #: Buckets of neighbours on each side, and rounds of clustering.
 SIDE, TURNS = 32, 12
 BUCKETS_LOG2, ROUNDS = 15, 2
