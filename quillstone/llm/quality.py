@@ -10,7 +10,7 @@ less than `least_share` of its words. Base rules (too few words, too much repeti
 One pass over the texts makes the base measures and the lines' hashes, in numpy over slices of texts, which are written once;
 counting and joining then move only hashes. Counts combine on the map side; the join of lines with boilerplate lines leaves hot
 lines to adaptive skew handling, or is broadcast where Spark finds the boilerplate small. Only texts that lose lines are read again
-in Python; they are found by host and SHA-256, sent to every task if their counted number is at most `broadcast_rows`, else by a shuffle.
+in Python; they are found by host and SHA-256, sent to every task if they hold at most `broadcast_hashes` hashes, as counted, else by a shuffle.
 
 Edge cases: null and blank texts have no words, fail the base rule, and are not kept; lines without words are never boilerplate; a
 null source is a host of its own; an empty table gives no rows; repeated rows are judged alike and each returned; a text of any
@@ -34,7 +34,8 @@ from quillstone.llm.common import finish, hash_bytes, slices, unrolled, window_h
 LINE_SHARE, LINE_LEAST = 0.02, 6
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
 REPEAT = 5
-BROADCAST_ROWS = 100_000
+#: Line hashes, with eight a text besides, that are sent to every task at most: 8 MB.
+BROADCAST_HASHES = 1_000_000
 SYMBOLS = "#*$%&|<>"
 SLICE_CHARS = 2_000_000
 _DIGITS = re.compile(rb"[0-9]+")
@@ -138,10 +139,10 @@ def cleaned(text, hashes):
     return F.when(some, F.pandas_udf(_without_lines, "string")(F.when(some, text), hashes)).otherwise(text)
 
 
-def changed_texts(docs: DataFrame, found: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def changed_texts(docs: DataFrame, found: DataFrame, *, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """Each distinct text of a host that loses lines: source, text_sha, kept_text. found: what judged() returns."""
     wanted = written(found.filter("boilerplate is not null").select(F.col("source").alias("_s"), F.col("text_sha").alias("_sha"), "boilerplate").dropDuplicates(["_s", "_sha"]), "changed")
-    small = wanted.count() <= broadcast_rows
+    small = (wanted.agg(F.sum(F.size("boilerplate") + 8)).first()[0] or 0) <= broadcast_hashes
     texts = docs.select("source", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_sha"))
     met = texts.join(F.broadcast(wanted) if small else wanted, F.col("source").eqNullSafe(F.col("_s")) & (F.col("text_sha") == F.col("_sha"))).select("source", "text_sha", "text", "boilerplate")
     return met.dropDuplicates(["source", "text_sha"]).select("source", "text_sha", cleaned(F.col("text"), F.col("boilerplate")).alias("kept_text"))
