@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +131,24 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return done[:n]
 
 
+def trimmed(batches):
+    """Passes batches on and gives memory that a worker has freed back to the system after each: workers outlive their tasks and stand beside an executor's heap."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+#: The C library's call, where it has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(lengths: np.ndarray, budget: int) -> list[tuple[int, int]]:
     """Cuts a batch into consecutive parts of about budget units, each of a row at least."""
     out, begin, total = [], 0, 0

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import hash_texts, n_parts, window_hashes, written
+from quillstone.llm.common import hash_texts, n_parts, trim, trimmed, window_hashes, written
 from quillstone.llm.components import components
 
 SIZE, PERCENT = 5, 75
@@ -89,7 +89,7 @@ def _sizes(size: int):
     """Set ids and sizes; the first row of each slice carries the shingles that two or more of its classes hold, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             at = 0
             for texts in _parts(batch.column(1)):
                 sets = shingle_sets(texts, size)
@@ -143,7 +143,7 @@ class Shingles:
 
     @classmethod
     def read(cls, ids: list, ns: list, counts: list, keys: list, lengths: list) -> Shingles:
-        small = lambda parts, kind: np.concatenate([np.frombuffer(x, kind if 8 * len(x) < 4 * len(i) else "<u4") for x, i in zip(parts, ids, strict=True)]).astype(np.int64)
+        small = lambda parts, kind: np.concatenate([np.frombuffer(x, kind if 8 * len(x) < 4 * len(i) else "<u4") for x, i in zip(parts, ids, strict=True)]).astype(np.int32)
         times = small(counts, "u1")
         packed = b"".join(keys)
         wide = len(packed) == 8 * int(times.sum())  # 8 bytes from an owner on, 6 before
@@ -179,7 +179,7 @@ def _send(size: int, regions: int, heavy: np.ndarray):
     """Sender: for each region the low 48 bits of hashes, class by class. Heavy shingles are left to _send_heavy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for texts in _parts(batch.column(0)):
                 classes = {set_id(s): s for s in shingle_sets(texts, size) if len(s)}
                 if not classes:
@@ -203,7 +203,7 @@ def _send_heavy(size: int, fan: tuple[int, int], heavy: np.ndarray):
     """Sender of heavy shingles: straight to the holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for texts in _parts(batch.column(0)):
                 classes = {}
                 for s in shingle_sets(texts, size):
@@ -265,6 +265,7 @@ def _own(fan: tuple[int, int]):
         del s, order
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))
         keys, cids, ns = keys[new], cids[new], ns[new]
+        trim()
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         length = np.diff(np.append(heads, len(keys)))
         length = np.repeat(length, length)
@@ -283,6 +284,8 @@ def _hold(percent: int):
         s = Shingles.read(*(table.column(c).to_pylist() for c in Shingles.NAMES[1:]))
         order = np.lexsort((s.keys, s.lengths, s.cids))
         keys, cids, ns = s.keys[order], s.cids[order], s.ns[order].astype(np.int64)
+        del s, order
+        trim()
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])))  # heavy shingles of a class come from each sender that has it
         keys, cids, ns = keys[new], cids[new], ns[new]
         begin = np.flatnonzero(np.concatenate(([True], cids[1:] != cids[:-1])))
@@ -396,7 +399,7 @@ def _search(percent: int):
         def table(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             out = []
             for t, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if t != task:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import finish, hash_bytes, n_parts, written
+from quillstone.llm.common import finish, hash_bytes, n_parts, trimmed, written
 
 ALPHA = 0.1
 HEAVY, FORMS, CLASSES = 65_536, 256, 24
@@ -188,7 +188,7 @@ def _owner(h: np.ndarray, owners: int) -> np.ndarray:
 
 def _count(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for texts in _slices(batch.column(0)):
                 tok, form, _ = tokens(texts)
                 h, first, c = np.unique(tok, return_index=True, return_counts=True)
@@ -230,7 +230,7 @@ def _neighbours(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(lexicon.hashes) + FORMS
         table = np.zeros((n, 2 * SIDE), np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for texts in _slices(batch.column(0)):
                 tok, form, bounds = tokens(texts)
                 unit = lexicon.units(tok, form)[0]
@@ -255,7 +255,7 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
 def _train(lexicon: Lexicon, weights: np.ndarray, bias: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(weights, bias)
-        for batch in batches:
+        for batch in trimmed(batches):
             for texts in _slices(batch.column(0)):
                 tok, form, bounds = tokens(texts)
                 learner.learn(features(tok, bounds), lexicon.look(tok, form)[0])
@@ -279,7 +279,7 @@ def _score(lexicon: Lexicon, weights: np.ndarray, bias: np.ndarray, scale: np.nd
     """scale: log10 of each class's denominator."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             at = 0
             for texts in _slices(batch.column(3)):
                 tok, form, bounds = tokens(texts)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import finish, hash_bytes, slices, unrolled, window_hashes, written
+from quillstone.llm.common import finish, hash_bytes, slices, trimmed, unrolled, window_hashes, written
 
 LINE_SHARE, LINE_LEAST = 0.02, 6
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
@@ -83,7 +83,7 @@ def duplicate_lines(text: str) -> int:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
+    for whole in trimmed(batches):
         cuts = slices(whole.column(5).to_pylist(), SLICE_CHARS)
         for a, b in cuts:
             batch = whole.slice(a, b - a)
