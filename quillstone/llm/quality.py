@@ -34,7 +34,7 @@ from quillstone.llm.common import finish, hash_bytes, slices, trimmed, unrolled,
 LINE_SHARE, LINE_LEAST = 0.02, 6
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
 REPEAT = 5
-#: Line hashes, with eight a text besides, that are sent to every task at most: 8 MB.
+#: Line hashes, with eight a text besides, that are sent to every task at most.
 BROADCAST_HASHES = 1_000_000
 SYMBOLS = "#*$%&|<>"
 SLICE_CHARS = 2_000_000
