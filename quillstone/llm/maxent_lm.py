@@ -16,16 +16,20 @@ are clusters of units that stand between alike words, found from counts over all
 4. Scoring. Whole texts are scored in numpy batches. Counts of frequent words are at hand; those of all others are asked of their
    owners, who answer each piece of texts with sums per text.
 
+Beyond `FAN` owners counts, requests and answers run over two levels: regions of owners first, whose messages are put together, about
+`REGION_WORDS` words at a time, and dealt on, so a message holds hundreds of words at every size.
+
 Sent to every task: the frequent words with their classes and the weights, both of fixed size. Edge cases: null and empty texts are one end token; texts are
 read whole; equal texts have equal scores and are asked for once per batch; repeated rows come back each; a null doc_id is held
 out or not by crc32 of nothing (it trains); without training tokens every score is 0; an empty table gives no rows; other columns
-are ignored, whatever their names. Words are told apart by 64-bit hashes.
+are ignored, whatever their names. Words are told apart by 64-bit hashes, texts by half of their SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import finish, hash_bytes, n_parts, trimmed, written
+from quillstone.llm.jaccard_join import FAN, fans
 
 ALPHA = 0.1
 HEAVY, FORMS, CLASSES = 65_536, 256, 24
@@ -45,6 +50,10 @@ BUCKETS_LOG2, ROUNDS = 15, 2
 MINIBATCH, RATE, CALM = 200_000, 0.25, 12.0
 OWNER_TOKENS, LEVEL = 3_000_000, 256
 BLOCKS, BLOCK_TOKENS = 32, 20_000
+#: Words put together before a region's messages are dealt on, and tasks that do so for a region.
+REGION_WORDS, REGION_TASKS = 2_000_000, 16
+#: A text's key, half of its SHA-256.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MASK = np.uint64((1 << BUCKETS_LOG2) - 1)
 
@@ -186,33 +195,80 @@ def _owner(h: np.ndarray, owners: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
 
 
-def _count(owners: int):
+def _runs(dest: np.ndarray) -> list[tuple[int, slice]]:
+    """The runs of an ascending array."""
+    edges = np.concatenate(([0], np.flatnonzero(dest[1:] != dest[:-1]) + 1, [len(dest)])) if len(dest) else np.zeros(1, np.int64)
+    return [(int(dest[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+COUNTS = "owner int, hashes binary, counts binary, forms binary"
+
+
+def _counts_to(dest: np.ndarray, h: np.ndarray, c: np.ndarray, form: np.ndarray) -> pa.RecordBatch:
+    """A message of ascending word hashes to each destination."""
+    runs = _runs(dest)
+    columns = [[x[s].tobytes() for _, s in runs] for x in (h, c.astype(np.int64), form.astype("u1"))]
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in runs], pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["owner", "hashes", "counts", "forms"])
+
+
+def _count(owners: int, per: int):
+    """Counts go to regions of `per` owners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for texts in _slices(batch.column(0)):
                 tok, form, _ = tokens(texts)
                 h, first, c = np.unique(tok, return_index=True, return_counts=True)
-                form = form[first]
-                cuts = np.searchsorted(_owner(h, owners), np.arange(owners + 1))
-                at = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), pa.array([h[cuts[o] : cuts[o + 1]].tobytes() for o in at], pa.binary()), pa.array([c[cuts[o] : cuts[o + 1]].astype(np.int64).tobytes() for o in at], pa.binary()), pa.array([form[cuts[o] : cuts[o + 1]].astype("u1").tobytes() for o in at], pa.binary())], ["owner", "hashes", "counts", "forms"]
-                )
+                yield _counts_to(_owner(h, owners) // per, h, c, form[first])
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-    c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-    f = np.concatenate([np.frombuffer(x, "u1") for x in table.column("forms").to_pylist()])
+def _summed(hashes: list[bytes], counts: list[bytes], forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, c, f = (np.frombuffer(b"".join(x), t) for x, t in ((hashes, np.uint64), (counts, np.int64), (forms, "u1")))
     u, first, back = np.unique(h, return_index=True, return_inverse=True)
-    total, f = np.bincount(back, c, len(u)).astype(np.int64), f[first]
+    return u, np.bincount(back, c, len(u)).astype(np.int64), f[first]
+
+
+def _bundles(rows: Iterator[tuple], words: int, most: int) -> Iterator[list[tuple]]:
+    """Consecutive messages with about `most` words together; words: which column holds their hashes."""
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += len(r[words]) // 8
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in trimmed(batches):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _deal_counts(owners: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _bundles(_rows(batches), 1, most):
+            h, c, f = _summed(*list(zip(*held, strict=True))[1:])
+            yield _counts_to(_owner(h, owners), h, c, f)
+
+    return run
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    u, total, f = _summed(*(table.column(x).to_pylist() for x in ("hashes", "counts", "forms")))
     of_form = [np.bincount(f, w, FORMS).astype(np.int64) for w in (total, None)]
     columns = [pa.array([table.column("owner")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (u, total, f)), pa.array([int(total.sum())]), pa.array([len(u)]), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in of_form)]
     return pa.table(columns, names=["owner", "hashes", "counts", "forms", "n", "v", "form_n", "form_v"])
 
 
+def _at_regions(sent: DataFrame, key: str) -> DataFrame:
+    """Messages of a region together, in an order that a task run again sees again."""
+    return sent.repartition("owner", F.pmod(F.xxhash64(key), F.lit(REGION_TASKS))).sortWithinPartitions("owner", key)
+
+
 def _frequent(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,16 +351,42 @@ def _score(lexicon: Lexicon, weights: np.ndarray, bias: np.ndarray, scale: np.nd
     return run
 
 
-def _ask(lexicon: Lexicon, owners: int):
-    """Requests for words that are not frequent: for each owner the texts' keys, and word hashes with text and multiplicity."""
+ASKED = "owner int, piece long, ths binary, asked binary, who binary, times binary"
+TOLD = "piece long, owner int, ths binary, part binary, known binary"
+
+
+def _asked_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["owner", "piece", "ths", "asked", "who", "times"])
+
+
+def _told_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["piece", "owner", "ths", "part", "known"])
+
+
+def _named(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _requests(piece: int, dest: np.ndarray, tok: np.ndarray, who: np.ndarray, times: np.ndarray, keys: np.ndarray) -> list[tuple]:
+    """For each destination (ascending): the keys of its texts, and word hashes with text and multiplicity."""
+    rows = []
+    for d, s in _runs(dest):
+        local, back = np.unique(who[s], return_inverse=True)
+        rows.append((d, piece, keys[local].tobytes(), tok[s].tobytes(), back.astype("<u4").tobytes(), times[s].astype("<u4").tobytes()))
+    return rows
+
+
+def _ask(lexicon: Lexicon, owners: int, per: int):
+    """Requests to regions of `per` owners for words that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            keys, at = np.array(list(first), np.int64), 0
+            keys, at = np.frombuffer(b"".join(first), KEY), 0
             for texts in _slices(list(first.values())):
                 own_keys = keys[at : at + len(texts)]
-                piece = int.from_bytes(hashlib.blake2b(own_keys.tobytes(), digest_size=8).digest(), "little", signed=True)
                 at += len(texts)
                 tok, form, bounds = tokens(texts)
                 who = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))
@@ -314,15 +396,29 @@ def _ask(lexicon: Lexicon, owners: int):
                 tok, who = tok[order], who[order]
                 new = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (who[1:] != who[:-1])))) if len(tok) else np.zeros(0, np.int64)
                 times = np.diff(np.append(new, len(tok)))
-                tok, who = tok[new], who[new]
-                cuts = np.searchsorted(_owner(tok, owners), np.arange(owners + 1))
-                rows = []
-                for o in np.flatnonzero(np.diff(cuts)):
-                    s = slice(cuts[o], cuts[o + 1])
-                    local, back = np.unique(who[s], return_inverse=True)
-                    rows.append((int(o), piece, own_keys[local].tobytes(), tok[s].tobytes(), back.astype("<u4").tobytes(), times[s].astype("<u4").tobytes()))
+                rows = _requests(_named(own_keys.tobytes()), _owner(tok[new], owners) // per, tok[new], who[new], times, own_keys)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["owner", "piece", "ths", "asked", "who", "times"])
+                    yield _asked_batch(rows)
+
+    return run
+
+
+def _deal(owners: int, per: int, most: int):
+    """Puts a region's requests together and deals them on to its owners. A text goes by its number in the bundle; a row without words names them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, of_region in groupby(_rows(batches), lambda r: r[0]):
+            for held in _bundles(of_region, 3, most):
+                _, pieces, ths, *words = zip(*held, strict=True)
+                texts = [len(x) // KEY.itemsize for x in ths]
+                tok, who, times = (np.frombuffer(b"".join(x), t) for x, t in zip(words, (np.uint64, "<u4", "<u4"), strict=True))
+                who = who + np.repeat(np.cumsum([0, *texts[:-1]]), [len(x) // 8 for x in words[0]])
+                order = np.lexsort((who, tok))
+                tok, who, times = tok[order], who[order], times[order]
+                head = np.array([len(held), region, *(x for pair in zip(pieces, texts, strict=True) for x in pair)], "<i8").tobytes()
+                bundle = _named(head, *ths)
+                rows = _requests(bundle, _owner(tok, owners), tok, who, times, np.arange(sum(texts), dtype="<u4"))
+                yield _asked_batch([*rows, (region * per + bundle % per, bundle, head + b"".join(ths), b"", b"", b"")])
 
     return run
 
@@ -338,20 +434,40 @@ def _tell(asked: pa.Table, vocab: pa.Table) -> pa.Table:
         if len(h):
             at = np.minimum(np.searchsorted(h, words), len(h) - 1)
             counts = np.where(h[at] == words, c[at], 0)
-        n = len(keys) // 8
-        part = np.bincount(who, times * np.log10(counts + ALPHA), n)
-        known = np.bincount(who, times * (counts > 0), n).astype(np.int64)
+        part = np.bincount(who, times * np.log10(counts + ALPHA))  # every text of a request is asked for
+        known = np.bincount(who, times * (counts > 0)).astype(np.int64)
         rows.append((piece, owner, keys, part.tobytes(), known.tobytes()))
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["piece", "owner", "ths", "part", "known"])
+    return _told_table(rows)
+
+
+def _each(answers: pa.Table) -> dict[int, tuple[bytes, bytes, bytes]]:
+    """Answers by who gave them, in order; what is asked twice is answered alike."""
+    rows = zip(*(answers.column(c).to_pylist() for c in ("owner", "ths", "part", "known")), strict=True)
+    return dict(sorted((o, x) for o, *x in rows if x[1]))
+
+
+def _regions_answers(answers: pa.Table) -> pa.Table:
+    """Sums the owners' answers to a bundle: the region's answer to each of its requests."""
+    head = next(k for k, p in zip(answers.column("ths").to_pylist(), answers.column("part").to_pylist(), strict=True) if not p)
+    n, region = np.frombuffer(head, "<i8", 2)
+    of = np.frombuffer(head, "<i8", 2 * n, 16).reshape(-1, 2)
+    cuts, keys = np.concatenate(([0], np.cumsum(of[:, 1]))), np.frombuffer(head, KEY, offset=16 + 16 * n)
+    part, known = np.zeros(cuts[-1]), np.zeros(cuts[-1], np.int64)
+    for texts, p, k in _each(answers).values():
+        at = np.frombuffer(texts, "<u4")
+        part[at] += np.frombuffer(p)
+        known[at] += np.frombuffer(k, np.int64)
+    return _told_table([(int(piece), int(region), *(x[a:b].tobytes() for x in (keys, part, known))) for piece, a, b in zip(of[:, 0], cuts, cuts[1:])])
 
 
 def _gather(answers: pa.Table) -> pa.Table:
-    """Sums the owners' answers to one piece of texts, which is asked once of each owner however often it occurs."""
-    each = {o: x for o, *x in zip(*(answers.column(c).to_pylist() for c in ("owner", "ths", "part", "known")), strict=True)}
-    ths, part, known = (np.concatenate([np.frombuffer(each[o][i], t) for o in sorted(each)]) for i, t in enumerate((np.int64, np.float64, np.int64)))
-    u, back = np.unique(ths, return_inverse=True)
-    return pa.table([pa.array(u), pa.array(np.bincount(back, part, len(u))), pa.array(np.bincount(back, known, len(u)).astype(np.int64))], names=["th", "part", "known"])
+    """Sums the answers to one piece of texts, which is asked once of each region however often it occurs."""
+    keys, part, known = (np.concatenate([np.frombuffer(x, t) for x in xs]) for xs, t in zip(zip(*_each(answers).values(), strict=True), (KEY, np.float64, np.int64), strict=True))
+    order = np.lexsort((keys["b"], keys["a"]))
+    keys, part, known = keys[order], part[order], known[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    of = np.cumsum(new) - 1
+    return pa.table([pa.array([k.tobytes() for k in keys[new]], pa.binary()), pa.array(np.bincount(of, part)), pa.array(np.bincount(of, known).astype(np.int64))], names=["th", "part", "known"])
 
 
 def held_out(doc_id) -> object:
@@ -368,18 +484,22 @@ class Model(NamedTuple):
     n: int
     v: int
     vocab: DataFrame
-    owners: int
+    #: Regions, and owners in each.
+    fan: tuple[int, int]
 
 
-def fitted(named: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None) -> Model:
+def fitted(named: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None, fan: int = FAN, region_words: int = REGION_WORDS) -> Model:
     """named: doc_id, held_out, text without nulls."""
     spark = named.sparkSession
     training = named.filter(~F.col("held_out"))
     if owners is None:
         size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         owners = max(n_parts(spark), size // 6 // OWNER_TOKENS)
-    sent = training.select("text").mapInArrow(_count(owners), "owner int, hashes binary, counts binary, forms binary")
-    vocab = written(sent.groupBy("owner").applyInArrow(_merge, "owner int, hashes binary, counts binary, forms binary, n long, v long, form_n array<long>, form_v array<long>"), "vocabulary")
+    regions, per = fans(owners, fan)
+    sent = training.select("text").mapInArrow(_count(regions * per, per), COUNTS)
+    if per > 1:
+        sent = _at_regions(sent, "hashes").mapInArrow(_deal_counts(regions * per, region_words), COUNTS)
+    vocab = written(sent.groupBy("owner").applyInArrow(_merge, f"{COUNTS}, n long, v long, form_n array<long>, form_v array<long>"), "vocabulary")
     total = vocab.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
     often = vocab.select("hashes", "counts", "forms").mapInArrow(_frequent(n / HEAVY), "hash long, count long, form int").collect()  # at most HEAVY words and the end
@@ -410,19 +530,23 @@ def fitted(named: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None)
         for row in moves.select("block", "move").collect():  # the weights, of fixed size
             at = row["block"] * len(weights) // BLOCKS
             weights[at : at + len(weights) // BLOCKS] += np.frombuffer(row["move"], np.float32).reshape(-1, CLASSES)
-    return Model(lexicon, weights, bias, scale, n, v, vocab, owners)
+    return Model(lexicon, weights, bias, scale, n, v, vocab, (regions, per))
 
 
-def scored(docs: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, *, rounds: int = ROUNDS, owners: int | None = None, fan: int = FAN, region_words: int = REGION_WORDS) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64(text).alias("th"), text.alias("text"))
-    lexicon, weights, bias, scale, n, v, vocab, owners = fitted(named, rounds=rounds, owners=owners)
-    rows = named.mapInArrow(_score(lexicon, weights, bias, scale), f"doc_id {kind}, held_out boolean, th long, n_tokens long, class_part double, own_part double, own_known long")
-    asked = named.select("th", "text").mapInArrow(_ask(lexicon, owners), "owner int, piece long, ths binary, asked binary, who binary, times binary")
-    told = asked.groupBy("owner").cogroup(vocab.select("owner", "hashes", "counts").groupBy("owner")).applyInArrow(_tell, "piece long, owner int, ths binary, part binary, known binary")
-    told = told.groupBy("piece").applyInArrow(_gather, "th long, part double, known long")
+    named = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.substring(F.unhex(F.sha2(text, 256)), 1, KEY.itemsize).alias("th"), text.alias("text"))
+    lexicon, weights, bias, scale, n, v, vocab, (regions, per) = fitted(named, rounds=rounds, owners=owners, fan=fan, region_words=region_words)
+    rows = named.mapInArrow(_score(lexicon, weights, bias, scale), f"doc_id {kind}, held_out boolean, th binary, n_tokens long, class_part double, own_part double, own_known long")
+    asked = named.select("th", "text").mapInArrow(_ask(lexicon, regions * per, per), ASKED)
+    if per > 1:
+        asked = _at_regions(asked, "piece").mapInArrow(_deal(regions * per, per, region_words), ASKED)
+    told = asked.groupBy("owner").cogroup(vocab.select("owner", "hashes", "counts").groupBy("owner")).applyInArrow(_tell, TOLD)
+    if per > 1:
+        told = told.groupBy("piece").applyInArrow(_regions_answers, TOLD)
+    told = told.groupBy("piece").applyInArrow(_gather, "th binary, part double, known long")
     told = written(told.groupBy("th").agg(F.max("part").alias("part"), F.max("known").alias("known")), "told")  # a text in several pieces has the same sums in each
     counts = F.col("own_part") + F.coalesce("part", F.lit(0.0))
     base = float(np.log10(n + ALPHA * (v + 1)))

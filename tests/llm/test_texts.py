@@ -107,6 +107,8 @@ def test_maxent(spark):
     assert counted((r[0], r[1], r[2], r[3], r[4], round(r[5], 5)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     assert maxent_lm.scored(empty(spark)).count() == 0
+    dealt = maxent_lm.scored(docs, owners=7, fan=2, region_words=40).collect()  # over two levels, many bundles a region
+    assert counted((*r[:5], round(r[5], 5), round(r[6], 3)) for r in dealt) == counted((*r[:5], round(r[5], 5), round(r[6], 3)) for r in got)
 
 
 def test_maxent_learns():
