@@ -6,6 +6,7 @@ row. The SQL equivalents hold what must come of the cases as the rules have it,
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from quillstone.functions import jsontext, strings, unicode16, values, xmltext
 from quillstone.operators.commands import Api, CommandTable, Completer
 from quillstone.plans import export as ex
 from quillstone.plans import model as m
-from quillstone.plans import overlay, xmlmap
+from quillstone.plans import overlay, records, xmlmap
+from quillstone.plans.visitor import Values, visit
 from quillstone.streaming import events as ev
 
 QUERIES: dict = {}
@@ -574,6 +576,64 @@ def events_upserted(spark, sf_dir):
     return ev.upsert(once, rows).select("item_key", "seq", "item")
 
 
+@query("""select n_nationkey as k, 'load' as seen, '{"items":[{"tag":"save","x":' || n_nationkey || '},{"tag":"save","x":0}],"one":{"tag":"save","x":' || n_regionkey || '}}' as saved, '{"tag":"","x":' || n_regionkey || '}' as bare from nation""")
+def record_options(spark, sf_dir):
+    """Options of a load and of a save reach every nested slot that holds one, whatever the document says there; without options it has its default."""
+    inner = m.record("Inner", x=m.Int(), seen=(m.Handed(m.Text(), "tag"), None, "tag"))
+    outer = m.record("Outer", one=inner, items=m.Vector(inner))
+    text = F.format_string('{"one":{"x":%d,"tag":"theirs"},"items":[{"x":%d,"tag":1},{}]}', "n_regionkey", "n_nationkey")
+    df = overlay.loaded(spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("t", text), outer, "t", options={"tag": "load", "other": 1})
+    return df.select(F.col("n_nationkey").alias("k"), F.element_at("record.items", 2)["seen"].alias("seen"), overlay.save(outer, F.col("record"), options={"tag": "save"}).alias("saved"), overlay.save(inner, F.col("record.one")).alias("bare"))
+
+
+class _Halving(Values):
+    """Arrays lose half of their items, nulls become zeros, omittables leave, enums step on, maps lose keys with an a; tags are noted."""
+
+    def __init__(self):
+        self.tags = []
+
+    def null(self, slot):
+        return 0
+
+    def present(self, slot, here):
+        return False
+
+    def size(self, slot, n):
+        return n // 2
+
+    def keys(self, slot, held):
+        return [k for k in held if "a" not in k]
+
+    def enum(self, slot, held, name):
+        return held + 4
+
+    def value(self, slot, held):
+        return held.upper() if isinstance(held, str) else held
+
+    def alternative(self, slot, tag):
+        self.tags.append(tag)
+
+
+@query("""select n_nationkey as k, '{"h":"Blue","list":[' || n_nationkey || '],"map":{"b":2},"none":0,"t":"' || upper(n_name) || '","u":{"k":3,"x":' || n_regionkey || '}}' as saved, '3' as tags from nation""")
+def record_values(spark, sf_dir):
+    """Hooks at the slots of loaded values: nulls, omittables, array sizes, map keys, enums, primitives and unions' arms."""
+    hue = m.Enum("Hue", (("Red", 0), ("Blue", 4)))
+    arm = m.record("Arm", x=m.Int())
+    held = m.record("Held", h=hue, list=m.Vector(m.Int()), map=m.Map(m.Int()), none=m.Optional(m.Int()), om=m.Omittable(m.Int()), t=m.Text(), u=m.Internal("k", ((2, arm), (3, arm))))
+
+    @F.pandas_udf("saved string, tags string")
+    def run(texts):
+        out = []
+        for text in texts:
+            hooks = _Halving()
+            left = visit(held, records.load(held, jsontext.parse(text), held.fresh()), hooks)
+            out.append((jsontext.dump(records.save(held, left)), ",".join(map(str, hooks.tags))))
+        return pd.DataFrame(out, columns=["saved", "tags"])
+
+    text = F.format_string('{"h":"Red","list":[%d,2,3],"map":{"a":1,"b":2},"none":null,"om":1,"t":"%s","u":{"k":3,"x":%d}}', "n_nationkey", "n_name", "n_regionkey")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), run(text).alias("r")).select("k", "r.*")
+
+
 # Exports: lines of each format over one model, against texts written down in `exported`.
 
 

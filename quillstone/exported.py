@@ -287,6 +287,17 @@ export class Emitter {
     for (const listener of [...(this.listeners.get(name) ?? [])]) listener(payload);
   }
 }
+
+export interface Transport<E extends object = object> {
+  invoke: Invoke;
+  on?<N extends Extract<keyof E, string>>(name: N, listener: (payload: E[N]) => void): () => void;
+}
+
+/** A backend over a transport, with the transport's events where it has any. */
+export function connect<B extends object, E extends object = object>(transport: Transport<E>, create: (invoke: Invoke) => B): B & Pick<Transport<E>, "on"> {
+  const made = create((name, payload) => transport.invoke(name, payload));
+  return Object.assign(made, { on: transport.on && transport.on.bind(transport) });
+}
 """
 
 TEXTS[".backend.ts"] = r"""
@@ -389,6 +400,114 @@ struct Tree
 };
 """
 
+TEXTS[".visited.h"] = r"""
+#pragma once
+
+#include <array>
+#include <cstdint>
+#include <map>
+#include <optional>
+#include <string>
+#include <variant>
+#include <vector>
+
+struct Leaf
+{
+    std::int32_t x {};
+
+    template <class Visitor>
+    static void members(Visitor&& visit)
+    {
+        visit("x", &Leaf::x);
+    }
+};
+
+enum class Hue
+{
+    Red = 0,
+    Blue = 4,
+};
+
+struct HueMembers
+{
+    template <class Visitor>
+    static void members(Visitor&& visit)
+    {
+        visit("Red", Hue::Red);
+        visit("Blue", Hue::Blue);
+    }
+};
+
+enum class Code
+{
+    low = -1,
+    high = 2,
+};
+
+struct CodeMembers
+{
+    template <class Visitor>
+    static void members(Visitor&& visit)
+    {
+        visit("low", Code::low);
+        visit("high", Code::high);
+    }
+};
+
+struct a_Same
+{
+    std::int64_t k {};
+
+    template <class Visitor>
+    static void members(Visitor&& visit)
+    {
+        visit("k", &a_Same::k);
+    }
+};
+
+struct b_c_Same
+{
+    std::string _t {};
+
+    template <class Visitor>
+    static void members(Visitor&& visit)
+    {
+        visit("_t", &b_c_Same::_t);
+    }
+};
+
+struct Tree
+{
+    std::optional<Leaf> leaf {};
+    std::optional<double> om {};
+    std::optional<std::optional<bool>> omo {};
+    std::vector<std::string> tags {};
+    std::array<std::int32_t, 2> pair {};
+    std::map<std::string, Leaf> by {};
+    std::string raw {};
+    Hue hue {};
+    Code code {};
+    std::variant<a_Same, b_c_Same> u {};
+    std::optional<Tree> again {};
+
+    template <class Visitor>
+    static void members(Visitor&& visit)
+    {
+        visit("leaf", &Tree::leaf);
+        visit("om", &Tree::om);
+        visit("omo", &Tree::omo);
+        visit("tags", &Tree::tags);
+        visit("pair", &Tree::pair);
+        visit("by", &Tree::by);
+        visit("raw", &Tree::raw);
+        visit("hue", &Tree::hue);
+        visit("code", &Tree::code);
+        visit("u", &Tree::u);
+        visit("again", &Tree::again);
+    }
+};
+"""
+
 TEXTS[".client.h"] = r"""
 #pragma once
 

@@ -7,12 +7,13 @@ A type says how a document's slot is read and written:
 * Raw: any JSON, kept as it is; Ref: a record that contains itself, kept as raw JSON;
 * Optional: null or a value; Omittable: no key at all, or a value (null counts as one);
 * Vector, Map: cleared unless the slot is an array or object; Fixed: an array of a fixed size, read as far as it goes;
+* Handed: a slot that an option fills, which loads and saves hand down to it;
 * Record: fields by key; External: {"Tag": body}; Internal: a tag among the body's own fields.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 
@@ -232,6 +233,34 @@ class Internal(Type):
         return None
 
 
+@dataclass(frozen=True)
+class Handed(Type):
+    """A slot that documents have no say in: it holds the option `key` of the load or save, or the inner type's default where none is given."""
+
+    inner: Type
+    key: str
+    value: Any = None
+
+    def ddl(self):
+        return self.inner.ddl()
+
+    def fresh(self):
+        return self.inner.fresh() if self.value is None else self.value
+
+
+def handed(t: Type, options: dict[str, Any] | None) -> Type:
+    """The type with options handed down to every slot below it."""
+    if not options:
+        return t
+    if isinstance(t, Handed):
+        return replace(t, value=options.get(t.key))
+    if isinstance(t, Record):
+        return replace(t, fields=tuple(replace(f, type=handed(f.type, options)) for f in t.fields))
+    if isinstance(t, External | Internal):
+        return replace(t, arms=tuple((tag, handed(r, options)) for tag, r in t.arms))
+    return replace(t, inner=handed(t.inner, options)) if hasattr(t, "inner") else t
+
+
 def record(name: str, space: str = "", /, **fields: Type | tuple) -> Record:
     """record("User", name=Text(), age=(Int(), 18), note=(Optional(Text()), None, "Note")): type, default, wire key."""
     made = [Field(n, *(t if isinstance(t, tuple) else (t,))) for n, t in fields.items()]

@@ -27,7 +27,7 @@ def literal(t: m.Type, value: Any) -> Column:
         return F.parse_json(F.lit(dump(value)))
     if value is None:
         return F.lit(None).cast(t.ddl())
-    if isinstance(t, m.Optional):
+    if isinstance(t, m.Optional | m.Handed):
         return literal(t.inner, value)
     if isinstance(t, m.Vector | m.Fixed):
         return F.array(*[literal(t.inner, x) for x in value]).cast(t.ddl())
@@ -107,6 +107,8 @@ def load(t: m.Type, v: Column, prior: Column | None) -> Column:
         return F.coalesce(narrowed(whole(v), 32), named, narrowed(digits, 32), prior)
     if isinstance(t, m.Raw):
         return F.when(v.isNotNull(), v).otherwise(prior)
+    if isinstance(t, m.Handed):
+        return literal(t, t.fresh())
     if isinstance(t, m.Optional):
         return F.when(v.isNull(), prior).when(k == "null", F.lit(None).cast(t.ddl())).otherwise(load(t.inner, v, None))
     if isinstance(t, m.Omittable):
@@ -139,14 +141,14 @@ def handled(t: m.External | m.Internal, v: Column) -> Column:
     return tag_of(t, find(v, t.key)).isNotNull()
 
 
-def loaded(df: DataFrame, t: m.Type, text: str, out: str = "record", prior: Column | None = None) -> DataFrame:
-    """Adds column `out`: the JSON text column loaded over prior (None: the type's default). Malformed text has no fields."""
+def loaded(df: DataFrame, t: m.Type, text: str, out: str = "record", prior: Column | None = None, options: dict[str, Any] | None = None) -> DataFrame:
+    """Adds column `out`: the JSON text column loaded over prior (None: the type's default). Malformed text has no fields. options fill Handed slots."""
     slot, names = "_document", {c.lower() for c in df.columns}
     while slot in names:
         slot += "_"
     null = F.parse_json(F.lit("null"))
     read = df.withColumn(slot, F.coalesce(parsed(F.col(text)), null))
-    return read.withColumn(out, load(t, F.col(slot), prior)).drop(slot)
+    return read.withColumn(out, load(m.handed(t, options), F.col(slot), prior)).drop(slot)
 
 
 #: Control characters whose escapes hold a letter.
@@ -193,6 +195,8 @@ def _text(t: m.Type, value: Column) -> Column:
     null = F.lit("null")
     if isinstance(t, m.Optional):
         return F.when(value.isNull(), null).otherwise(_text(t.inner, value))
+    if isinstance(t, m.Handed):
+        return _text(t.inner, literal(t, t.fresh()))
     if isinstance(t, m.Omittable):  # in an array: null stands in
         return F.when(value["present"], _text(t.inner, value["value"])).otherwise(null)
     if isinstance(t, m.Bool | m.Int):
@@ -234,9 +238,9 @@ def _text(t: m.Type, value: Column) -> Column:
     raise TypeError(t)
 
 
-def save(t: m.Type, value: Column, indent: int = 0) -> Column:
-    """Canonical JSON text of a column of the type."""
-    text = _text(t, value)
+def save(t: m.Type, value: Column, indent: int = 0, options: dict[str, Any] | None = None) -> Column:
+    """Canonical JSON text of a column of the type. options fill Handed slots."""
+    text = _text(m.handed(t, options), value)
     return text if _exact(t) and not indent else json_print(text, indent)
 
 

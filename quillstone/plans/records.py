@@ -1,7 +1,7 @@
 """Loads and saves of declared records over single documents, as plain Python values: what commands do with requests and responses.
 
 The rules are those of `overlay`, which does the same for columns. A record is a dict by field name, an absent omittable is
-`model.Absent`, a union is (index of its arm, body) or None.
+`model.Absent`, a union is (index of its arm, body) or None. Options reach Handed slots by `model.handed`.
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ def load(t: m.Type, v: Any, prior: Any) -> Any:
         return prior if n is None else narrowed(n, 32)
     if isinstance(t, m.Raw):
         return prior if v is m.Absent else v
+    if isinstance(t, m.Handed):
+        return t.fresh()
     if isinstance(t, m.Optional):
         return prior if v is m.Absent else None if v is None else fresh(t.inner, v)
     if isinstance(t, m.Omittable):
@@ -97,6 +99,8 @@ def save(t: m.Type, value: Any) -> Any:
     """The value as a document."""
     if isinstance(t, m.Enum):
         return value if t.integer else t.name_of(value) or value
+    if isinstance(t, m.Handed):
+        return save(t.inner, t.fresh())
     if isinstance(t, m.Optional):
         return None if value is None else save(t.inner, value)
     if isinstance(t, m.Omittable):

@@ -1,9 +1,10 @@
+import json
 from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.plans import model as m
+from quillstone.plans import model as m, overlay, records
 from quillstone.plans.overlay import handled, literal, load, loaded, patched, save
 
 COLOR = m.Enum("Color", (("Red", 0), ("Green", 1)))
@@ -109,3 +110,20 @@ def test_registry(spark):
     assert r.of(Person).ddl() == "struct<`name`:string,`tags`:array<string>,`age`:bigint>" and not r.is_supported(complex)
     assert run(spark, r.of(Person), ['{"name":"a","tags":["x"],"age":3}']) == ['{"age":3,"name":"a","tags":["x"]}']
     assert m.from_spark(spark.range(1).schema).fields[0].type == m.Int(64)
+
+
+def test_options_reach_every_nested_slot(spark):
+    inner = m.record("Inner", x=m.Int(), seen=(m.Handed(m.Text(), "tag"), None, "tag"))
+    outer = m.record("Outer", one=inner, items=m.Vector(inner), maybe=m.Optional(inner), by=m.Map(inner), u=m.Internal("k", ((1, inner),)))
+    text = '{"one":{"x":5,"tag":"theirs"},"items":[{"x":1},{"x":2}],"maybe":{},"by":{"a":{}},"u":{"k":1}}'
+    df = spark.createDataFrame([(text,)], "t string")
+    for options, want in (({"tag": "ours", "other": 1}, "ours"), (None, "")):
+        r = overlay.loaded(df, outer, "t", options=options).first()["record"]
+        assert r["one"]["x"] == 5 and [x["x"] for x in r["items"]] == [1, 2]
+        assert [r["one"]["seen"], *(x["seen"] for x in r["items"]), r["maybe"]["seen"], r["by"]["a"]["seen"], r["u"]["arm_0"]["seen"]] == [want] * 6
+        plain = records.load(m.handed(outer, options), json.loads(text), outer.fresh())
+        assert plain["one"]["seen"] == plain["items"][1]["seen"] == plain["by"]["a"]["seen"] == want
+        assert records.save(m.handed(outer, options), plain)["maybe"] == {"x": 0, "tag": want}
+    saved = overlay.loaded(df, outer, "t").select(overlay.save(outer, F.col("record"), options={"tag": "out"}).alias("s")).first()["s"]
+    held = json.loads(saved)
+    assert held["one"] == {"x": 5, "tag": "out"} and [x["tag"] for x in held["items"]] == ["out"] * 2 and held["u"] == {"k": 1, "x": 0, "tag": "out"}
