@@ -12,13 +12,16 @@ Documents are sets of distinct 5-word shingles, as 64-bit hashes. Two link if th
    region's owners, so a message holds hundreds of shingles at every size.
 3. Shingles are ordered by (list length, hash), rarest first. A class of n shingles needs T = ceil(percent * n) in common with any
    partner, so partners meet in the first n - T + 1 of both. Classes meeting there form blocks (components of that coarse graph).
-4. In a block each class is a T-occurrence query: its L longest inverted lists are set aside, the short ones are heap-merged, classes
-   with T - L occurrences there are probed in the long lists by binary search, and those reaching the required overlap link.
+4. In a block each class is a T-occurrence query: its L longest inverted lists are set aside, the short ones are merged into counts,
+   classes with T - L occurrences there are probed in the long lists by binary search (where so many are left that merging the long
+   lists too is less work, they are merged), and those reaching the required overlap link.
    Classes known to be connected already are not counted again, and members of the largest tree need no query of their own.
 5. A block of over `block` classes is cut. A few of its classes are queries against all of it, chunk by chunk, which joins large
    groups of near copies in one linear pass. If at most `block` classes are then outside the largest group, they are the queries of a
    second such pass, and the block is done. Else it falls into the lists of the shared prefix shingles whose classes are not all
    connected, each list with a given membership once; a list of over `block` classes is cut as a block is, its queries in sets of `block`.
+   Near copies of one text share most of their prefixes, so that their lists hold the same pairs again and again: where the lists
+   have more comparisons than the block, the block's queries go against all of it, in sets of `block`.
 6. Links (a spanning set of them) give components, whose name is their smallest doc_id.
 
 Edge cases: null, blank and wordless texts have empty sets and link with nothing (component: themselves); texts with fewer than 5
@@ -31,9 +34,7 @@ chance of about n*n / 2**54.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,8 @@ OWNER_SHINGLES, BLOCK, PIVOTS = 2_000_000, 3_000, 4
 FAN, REGION_SHINGLES = 2_048, 2_000_000
 #: A list longer than this, or than this share of all shingles, is heavy; the share bounds how many are sent to every task.
 LIST_LIMIT, HEAVY_MOST = 250_000, 2_000_000
-#: DivideSkip's balance between merging and probing.
-MU = 0.02
+#: DivideSkip's balance between merging and probing; entries of a list that are merged in the time of a probe.
+MU, PROBE = 0.02, 32
 _LOW = np.uint64((1 << 48) - 1)
 HEAVY_LENGTH = 0xFFFF
 
@@ -349,27 +350,34 @@ def search(sets: list[np.ndarray], ns: list[int], percent: int = PERCENT, known:
     #: Every entry as list * m + class, ascending: a binary search finds a class in any list.
     entries = np.repeat(np.arange(len(heads)), stops - heads) * m + postings
 
+    #: Which tree each class is in.
+    trees = np.array([forest.find(i) for i in range(m)], np.int64)
+
+    def counts(lists: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([postings[:0], *[postings[heads[i] : stops[i]] for i in lists]]), minlength=m)
+
     def query(x: int) -> None:
         at = np.searchsorted(names, sets[x])
         lengths = stops[at] - heads[at]
         t = -(-percent * ns[x] // 100)
         by = at[np.argsort(-lengths, kind="stable")]  # longest first
         aside = min(t - 1, len(by), int(t / (MU * np.log2(int(lengths.max(initial=0)) + 2) + 1)))
-        short = [postings[heads[i] : stops[i]].tolist() for i in by[aside:]]
-        seen = ((c, sum(1 for _ in run)) for c, run in groupby(heapq.merge(*short)))
-        mine = forest.find(x)
-        hits = [(c, k) for c, k in seen if k >= t - aside and forest.find(c) != mine]
-        if not hits:
+        merged = counts(by[aside:])
+        found = np.flatnonzero((merged >= max(1, t - aside)) & (trees != trees[x]))
+        if not len(found):
             return
-        found, total = (np.array(v, np.int64) for v in zip(*hits, strict=True))
+        total = merged[found]
         need = -(-percent * (ns[x] + sizes[found]) // (100 + percent))
-        if aside:
+        if aside and PROBE * len(found) * aside > (stops[by[:aside]] - heads[by[:aside]]).sum():
+            total = total + counts(by[:aside])[found]
+        elif aside:
             wanted = by[:aside, None] * m + found
             place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
             total = total + (entries[place] == wanted).sum(axis=0)
-        for c in found[total >= need].tolist():
-            if forest.join(x, c):
-                out.append((x, c))
+        linked = found[total >= need]
+        out.extend((x, c) for c in linked.tolist() if forest.join(x, c))
+        if len(linked):
+            trees[np.isin(trees, np.append(trees[linked], trees[x]))] = forest.find(x)
 
     todo = list(range(m)) if queries is None else queries
     while todo and forest.parts > 1:
@@ -452,13 +460,20 @@ def large_links(members: DataFrame, keys: DataFrame | None, *, percent: int, blo
     masses = written(masses.filter("q > 0"), "masses")
     state = members.drop("label").join(named, ["block", "cid"]).join(masses, "block")
     near = state if keys is None else state.filter(F.col("q") <= block)
-    out = found.unionByName(written(_asked(near, F.col("label") != F.col("mass"), percent, block), "rest-links"))
+    asks = F.col("label") != F.col("mass")
+    out = found.unionByName(written(_asked(near, asks, percent, block), "rest-links"))
     if keys is None or not masses.filter(F.col("q") > block).limit(1).count():
         return out
-    hard = written(state.filter(F.col("q") > block).select("cid", "n", "label", "shared"), "hard")
-    held = keys.join(hard.select("cid", "label"), "cid")
-    lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("sign"), F.min("label").alias("a"), F.max("label").alias("b"))
-    lists = written(lists.filter("a <> b").groupBy("m", "sign").agg(F.min("key").alias("key")).select("key", "m"), "lists")
+    hard = written(state.filter(F.col("q") > block), "hard")
+    held = keys.join(hard.select("cid", "label", "block", asks.cast("int").alias("asks")), "cid")
+    lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("sign"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("block").alias("of"), F.sum("asks").alias("asks"))
+    lists = written(lists.filter("a <> b").groupBy("of", "m", "sign").agg(F.min("key").alias("key"), F.min("asks").alias("asks")), "lists")
+    work = lists.groupBy("of").agg(F.sum(F.col("m").cast("double") * F.col("asks")).alias("work"))
+    dense = written(work.join(sizes.groupBy("block").agg(F.sum("k").alias("m")).join(masses, "block"), F.col("of") == F.col("block")).filter("work >= cast(m as double) * q").select("block"), "dense")
+    if dense.limit(1).count():
+        out = out.unionByName(written(_asked(hard.join(dense, "block", "left_semi"), asks, percent, block), "dense-links"))
+        lists = lists.join(dense, F.col("of") == F.col("block"), "left_anti")
+    lists, hard = lists.select("key", "m"), hard.select("cid", "n", "label", "shared")
     rows = keys.join(lists, "key").join(hard, "cid").withColumnRenamed("key", "block")
     short = written(_searched(rows.filter(F.col("m") <= block).withColumn("task", F.col("block")).withColumn("query", F.lit(True)), percent), "list-links")
     out = out.unionByName(short)

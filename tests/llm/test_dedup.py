@@ -1,10 +1,12 @@
 import hashlib
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstone.llm import exact_dedup, golomb, jaccard_join, substring_dedup
 from quillstone.llm.components import components
@@ -99,6 +101,38 @@ def test_jaccard_of_chains(spark, block):
     assert counted(tuple(r) for r in got) == similar(docs)
 
 
+def test_jaccard_of_a_drifting_group(spark, monkeypatch):
+    """Copies of one text that are mostly not alike: their block is compared about once, not once for each list of their shared prefixes."""
+    r = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in r.choice(120, r.integers(1, 5), replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words), "s"))
+    docs, compared, searched = spark.createDataFrame(rows, "doc_id long, text string, source string"), [], jaccard_join._searched
+
+    def counting(tasks, percent):
+        compared.extend(q * m for q, m in tasks.groupBy("task").agg(F.sum(F.col("query").cast("int")).alias("q"), F.count("*").alias("m")).select("q", "m").collect())
+        return searched(tasks, percent)
+
+    monkeypatch.setattr(jaccard_join, "_searched", counting)
+    got = jaccard_join.join(docs, block=10).select("doc_id", "n_shingles", "component_id").collect()
+    assert counted(tuple(x) for x in got) == similar(docs)
+    assert sum(compared) < 3 * 90 * 90
+
+
+def test_search_of_a_large_group():
+    """A task's largest group, most of it copies of one text that link with nothing, takes seconds."""
+    r = np.random.default_rng(8)
+    base = np.sort(r.choice(2**47, 390, replace=False).astype(np.uint64))
+    sets = [np.sort(np.concatenate((r.choice(base, 300, replace=False), r.choice(2**40, 90, replace=False).astype(np.uint64)))) for _ in range(1000)]
+    began = time.process_time()
+    assert jaccard_join.search(sets, [390] * 1000) == []
+    assert time.process_time() - began < 10
+
+
 def test_fans():
     assert jaccard_join.fans(2048) == (2048, 1)
     assert all(a * b >= n and a <= 0xFFFF for n in (2049, 10**5, 13 * 10**6) for a, b in [jaccard_join.fans(n)])
