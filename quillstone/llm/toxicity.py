@@ -3,15 +3,16 @@
 1. Terms: over labelled training rows (a sample of at most `sample_rows`, the documented bound of what is fitted) Spark counts
    by term in how many toxic and other documents it stands. Terms are words and word beginnings of 4 and 5 letters, which reach
    inflected and compounded forms. Those much likelier in toxic documents, and in at least `TERM_SUPPORT` groups of near copies
-   among them, make the lexicons, `max_terms` at most. Labels choose words only; how far each lexicon is to be believed is not read from them. The support is the same for any input, so terms of rare languages count.
+   among them, make the lexicons. Labels choose words only; how far each lexicon is to be believed is not read from them. The support is the same for any input, so terms of rare languages count.
 2. Voters: lexicons of words, lexicons of beginnings, fixed lexicons, and patterns (density, insult beside a pronoun, shouting,
    no term at all). A voter votes or abstains.
 3. A generative label model is fitted to the votes of every document that is not held out, labelled or not: Spark counts how
-   often each combination of votes occurs, and the most frequent `MAX_PATTERNS` combinations, weighted by their counts, go through
-   expectation-maximisation. It starts from how many voters vote, not from labels. A class has its rate; within a class each voter
-   depends on one other voter (the maximum spanning tree of their conditional mutual information, with a rate for either vote of that
-   voter), so accuracies and correlations are both parameters of the model.
-4. Labels name the model's classes: toxic is the one in which labelled training rows are toxic more often.
+   often each combination of votes occurs, and all combinations, weighted by their counts, go through expectation-maximisation: on
+   the driver up to `MAX_PATTERNS` of them, else every step is a pass over their table. It starts from how many voters vote, not from
+   labels. A class has its rate; within a class each voter depends on one other voter (the maximum spanning tree of their conditional
+   mutual information, with a rate for either vote of that voter), so accuracies and correlations are both parameters of the model.
+   Languages and manners of insult make groups of votes of their own, so a class is split in two again, `LEVELS` times in all.
+4. Labels name the model's classes: a class is as toxic as the labelled training rows in it.
 5. A logistic classifier on term and density features is trained on the labelled sample's posteriors; its slope and offset are then
    calibrated on the sample's labels. It scores every whole text.
 
@@ -35,9 +36,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import hash_words, split_words, window_hashes
+from quillstone.llm.common import hash_words, split_words, window_hashes, written
 
-SAMPLE_ROWS, MAX_TERMS, TERM_SUPPORT, TERM_ODDS, MAX_PATTERNS = 20_000, 1_000, 6, 4.0, 100_000
+SAMPLE_ROWS, TERM_SUPPORT, TERM_ODDS = 20_000, 6, 4.0
+#: Combinations of votes that the driver holds at most; how many times the label model's classes are split.
+MAX_PATTERNS, LEVELS = 100_000, 3
 #: Near copies: `NEAR` of the windows of `WINDOW` words are shared, as told by the `SKETCH` smallest window hashes.
 WINDOW, SKETCH, NEAR = 5, 64, 0.75
 GROUPS = 12
@@ -102,22 +105,24 @@ class Voters:
 class LabelModel:
     """P(class) * P(votes | class), in which every voter but the root depends on one other voter and the class."""
 
-    def __init__(self, v: np.ndarray, q: np.ndarray, n: np.ndarray, tree: list[tuple[int, int]] | None = None):
-        """Fits to votes v with counts n and posteriors q of class 1; tree: (voter, the voter it depends on or -1), from the data if not given."""
-        w = np.stack([n * (1 - q), n * q])
-        self.prior = (w.sum(1) + 1) / (n.sum() + 2)
-        both = np.stack([v.T @ (c[:, None] * v) for c in w])
-        self.tree = tree or self._spanning(both, w.sum(1))
+    def __init__(self, both: np.ndarray, total: np.ndarray, tree: list[tuple[int, int]] | None = None):
+        """Fits to the weights of the classes and, by class, of rows in which two voters vote; tree: (voter, the voter it depends on or -1), from the data if not given."""
+        self.prior = (total + 1) / (total.sum() + 2)
+        self.tree = tree or self._spanning(both, total)
         one = np.stack([np.diag(b) for b in both])
-        total = w.sum(1)[:, None]
+        total = total[:, None]
         self.root = (one + 0.5) / (total + 1)
         parent = np.array([max(p, 0) for _, p in sorted(self.tree)])
-        at = np.arange(v.shape[1])
+        at = np.arange(both.shape[1])
         on, held = both[:, at, parent], one[:, parent]
         #: [class, parent's vote, voter]: how often it votes.
         self.rate = np.stack([(one - on + 0.5) / (total - held + 1), (on + 0.5) / (held + 1)], axis=1)
         self.parent = np.array([p for _, p in sorted(self.tree)])
 
+    def apart(self, other: LabelModel) -> float:
+        """The largest difference of two models' parameters."""
+        return max(np.abs(getattr(self, x) - getattr(other, x)).max() for x in ("prior", "root", "rate"))
+
     @staticmethod
     def _spanning(both: np.ndarray, total: np.ndarray) -> list[tuple[int, int]]:
         m = both.shape[1]
@@ -153,21 +158,87 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
 
 
-def label_model(votes: np.ndarray, counts: np.ndarray | None = None, steps: int = 60) -> LabelModel:
-    """Expectation-maximisation from the number of voters that vote; the last voter is the one for no term. The tree settles in the first steps."""
-    v = votes.astype(float)
-    n = np.ones(len(v)) if counts is None else counts.astype(float)
-    q = np.clip(v[:, :-1].sum(1) * 0.3, 0.02, 0.95)
-    model = LabelModel(v, q, n)
+#: The way to a class: models, and which of a model's two classes it lies in.
+Path = list[tuple[LabelModel, int]]
+
+
+def within(votes: np.ndarray, path: Path) -> np.ndarray:
+    """How much of each row lies in the class at the end of a path."""
+    out = np.ones(len(votes))
+    for model, c in path:
+        q = model.posterior(votes)
+        out *= q if c else 1 - q
+    return out
+
+
+def moments(votes: np.ndarray, counts: np.ndarray, path: Path, model: LabelModel | None) -> tuple[np.ndarray, np.ndarray]:
+    """What a model of a class is fitted to, as far as rows tell; without a model, from the number of voters that vote. The last voter is the one for no term."""
+    v, n = votes.astype(float), counts * within(votes, path)
+    q = np.clip(v[:, :-1].sum(1) * 0.3, 0.02, 0.95) if model is None else model.posterior(votes)
+    w = np.stack([n * (1 - q), n * q])
+    return np.stack([v.T @ (c[:, None] * v) for c in w]), w.sum(1)
+
+
+def maximised(of, steps: int = 60) -> LabelModel:
+    """Expectation-maximisation; of(model) gives moments. The tree settles in the first steps."""
+    model = LabelModel(*of(None))
     for step in range(steps):
-        new = model.posterior(votes)
-        model = LabelModel(v, new, n, model.tree if step >= 5 else None)
-        if step >= 5 and np.abs(new - q).max() < 1e-6:
+        new = LabelModel(*of(model), model.tree if step >= 5 else None)
+        done = step >= 5 and new.apart(model) < 1e-6
+        model = new
+        if done:
             break
-        q = new
     return model
 
 
+def label_model(votes: np.ndarray, counts: np.ndarray | None = None, steps: int = 60) -> LabelModel:
+    n = np.ones(len(votes)) if counts is None else counts.astype(float)
+    return maximised(lambda model: moments(votes, n, [], model), steps)
+
+
+def label_classes(of) -> list[Path]:
+    """Classes of votes, each split in two LEVELS times; of(path, model) gives moments."""
+    paths: list[Path] = [[]]
+    for _ in range(LEVELS):
+        split = [(p, maximised(lambda model, p=p: of(p, model))) for p in paths]
+        paths = [[*p, (model, c)] for p, model in split for c in (0, 1)]
+    return paths
+
+
+def named(paths: list[Path], votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Posteriors of rows: how much of each lies in a class, times how often that class's labelled rows are toxic."""
+    inside = np.stack([within(votes, p) for p in paths])
+    rates = (inside @ toxic + toxic.mean()) / (inside.sum(1) + 1)
+    return rates @ inside
+
+
+def combinations(patterns: np.ndarray, voters: int) -> np.ndarray:
+    """Votes from bits."""
+    return patterns[:, None] >> np.arange(voters) & 1 == 1
+
+
+def moments_of(patterns: DataFrame, voters: int):
+    """moments() over a table of patterns and how often they occur. A small one is held here; else each call is a pass over it, whose partial sums come back."""
+    held = patterns.limit(MAX_PATTERNS + 1).collect()  # voters' votes in a long, and a count
+    if len(held) <= MAX_PATTERNS:
+        held = sorted(tuple(r) for r in held)
+        votes, n = combinations(np.array([p for p, _ in held], np.int64), voters), np.array([n for _, n in held], float)
+        return lambda path, model: moments(votes, n, path, model)
+
+    def summed(path: Path, model: LabelModel | None) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            both, total = np.zeros((2, voters, voters)), np.zeros(2)
+            for b in batches:
+                x, y = moments(combinations(b["pattern"].to_numpy(np.int64), voters), b["n"].to_numpy(float), path, model)
+                both, total = both + x, total + y
+            yield pd.DataFrame({"sums": [np.append(both.ravel(), total).tolist()]})
+
+        sums = np.sum([r["sums"] for r in patterns.mapInPandas(part, "sums array<double>").collect()], axis=0)  # one short row a task
+        return sums[:-2].reshape(2, voters, voters), sums[-2:]
+
+    return summed
+
+
 def fit_linear(rows: list[list[tuple[int, float]]], target: np.ndarray, size: int, l2: float = 1e-5, steps: int = 600) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient descent over sparse rows."""
     at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
@@ -185,12 +256,16 @@ def fit_linear(rows: list[list[tuple[int, float]]], target: np.ndarray, size: in
 
 def calibrated(w: np.ndarray, z: np.ndarray, toxic: np.ndarray, bias: int) -> np.ndarray:
     """Weights whose slope and offset fit labels, by Newton steps on a logistic regression of one input; near 1 and 0 where labels say little."""
-    a = np.array([1.0, 0.0])
+    near = np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], axis=1)
+    loss = lambda a: np.logaddexp(0, x @ a).sum() - toxic @ (x @ a) + ((a - near) ** 2).sum() / 2
+    a = near
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        grad = x.T @ (p - toxic) + (a - np.array([1.0, 0.0]))
-        a = a - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - toxic) + (a - near))
+        while np.abs(step).max() > 1e-9 and loss(a - step) > loss(a):
+            step = step / 2  # far from its end a whole Newton step can go astray
+        a = a - step
     if not a[0] > 0:
         return w
     w = w * a[0]
@@ -240,7 +315,7 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS) -> tuple[Voters, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> tuple[Voters, np.ndarray]:
     """docs: doc_id, text. labels: doc_id, toxic. Returns the voters and the classifier's weights."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -262,8 +337,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     total = rows.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).first()
     na, nb = total["a"] or 0, total["b"] or 0
     odds = F.log((F.col("a") + 0.5) / (na + 1.0)) - F.log((F.col("b") + 0.5) / (nb + 1.0))
-    best = counts.filter(F.col("groups") >= TERM_SUPPORT).withColumn("o", odds).filter(F.col("o") >= TERM_ODDS).orderBy(F.desc(F.col("o") * F.sqrt("a")), "term").limit(max_terms)
-    voters = Voters([r["term"] for r in best.select("term").collect()])
+    best = counts.filter(F.col("groups") >= TERM_SUPPORT).withColumn("o", odds).filter(F.col("o") >= TERM_ODDS)
+    voters = Voters([r["term"] for r in best.select("term").collect()])  # each in TERM_SUPPORT of the sample's rows at least
 
     def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -285,14 +360,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
             yield pd.DataFrame({"pattern": p, "n": n})
 
     open_ = docs.filter(~held_out(F.col("doc_id"))).select("text").mapInPandas(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    most = open_.orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS).collect()  # voters' votes in a long, and a count
-    seen = np.array([r["pattern"] for r in most], np.int64)[:, None] >> np.arange(voters.size) & 1 == 1
-    model = label_model(seen, np.array([r["n"] for r in most]))
+    paths = label_classes(moments_of(written(open_, "vote-patterns"), voters.size))
     votes = np.array([r["votes"] for r in held])
     toxic = np.array([r["toxic"] for r in held], float)
-    posterior = model.posterior(votes)
-    if (posterior * toxic).sum() * (1 - posterior).sum() < ((1 - posterior) * toxic).sum() * posterior.sum():
-        posterior = 1 - posterior
+    posterior = named(paths, votes, toxic)
     rows = [list(zip(r["at"], r["value"], strict=True)) for r in held]
     weights = fit_linear(rows, posterior, size)
     return voters, calibrated(weights, np.array([sum(weights[i] * x for i, x in r) for r in rows]), toxic, len(voters.terms))

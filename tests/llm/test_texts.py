@@ -208,6 +208,41 @@ def test_label_model():
     assert np.allclose(toxicity.label_model(merged, np.bincount(back.ravel())).posterior(merged)[back.ravel()], model.posterior(votes), atol=1e-6)
 
 
+def test_toxicity_of_two_manners(spark, monkeypatch):
+    """Insults of two manners, whose words never meet, are both found; more combinations of votes than the driver holds tell the same."""
+    r = np.random.default_rng(5)
+    plain_words, coded = [f"plain{chr(97 + i)}" for i in range(26)], [f"{chr(97 + i)}zorb" for i in range(24)]
+    rude = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
+    rows = []
+    for i in range(1600):
+        kind = i % 20
+        own = r.choice(coded, 9, replace=False).tolist() if kind == 0 else r.choice(rude, r.integers(1, 4), replace=False).tolist() if kind in (1, 2) else []
+        rows.append((i, " ".join(r.permutation([*r.choice(plain_words, 30), f"n{i}", *own])), int(kind < 3)))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([x[::2] for x in rows], "doc_id long, toxic int")
+    toxic = {i: x for i, _, x in rows}
+    got = {x["doc_id"]: x for x in toxicity.scored(docs, labels).collect()}
+    held = [x for x in got.values() if x["held_out"]]
+    assert len(held) > 400 and all(x["predicted"] == toxic[x["doc_id"]] for x in held)
+    monkeypatch.setattr(toxicity, "MAX_PATTERNS", 5)
+    monkeypatch.setattr(toxicity, "LEVELS", 1)
+    voters = toxicity.Voters(coded)
+    votes = np.array([voters.votes(t) for _, t, _ in rows])
+    bits, n = np.unique([sum(1 << j for j in np.flatnonzero(v).tolist()) for v in votes], return_counts=True)
+    table = spark.createDataFrame(list(zip(bits.tolist(), n.tolist(), strict=True)), "pattern long, n long")
+    (apart, _), *_ = toxicity.label_classes(toxicity.moments_of(table, voters.size))[0]
+    assert len(bits) > 100 and np.allclose(apart.posterior(votes), toxicity.label_model(votes).posterior(votes), atol=1e-4)
+
+
+def test_calibration_ends():
+    """Scores far from 0 and a few rows on the wrong side: whole Newton steps go astray."""
+    r = np.random.default_rng(6)
+    toxic = (np.arange(20_000) < 2_000).astype(float)
+    z = np.where(toxic == 1, r.normal(-2, 12, 20_000), -22.0)
+    w = toxicity.calibrated(np.array([1.0, 0.0]), z, toxic, 1)
+    p = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -30, 30)))
+    assert w[0] > 0 and np.abs(w).max() < 50 and abs(p.mean() - toxic.mean()) < 0.01
+
+
 def test_toxicity_held_out(spark):
     """Held-out labels of the driver's documents."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
