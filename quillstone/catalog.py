@@ -269,11 +269,8 @@ def text_categories(spark, sf_dir):
 @query("select doc_id, cast(strlen(text) as bigint) as bytes, cast(length(text) as bigint) as characters, cast(case when text = '' then null else unicode(text) end as integer) as first_point, sha256(text) as again from documents")
 def text_utf8(spark, sf_dir):
     """Characters decoded from bytes one by one, against the text's own lengths, and encoded again."""
-    decoded = unicode16.utf8_decoded(F.encode("text", "UTF-8"))
-    df = read(spark, sf_dir, "documents").select("doc_id", decoded.alias("d"))
-    again = F.sha2(unicode16.utf8_encoded(F.transform("d", lambda x: x["value"])), 256)
-    total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return df.select("doc_id", total.alias("bytes"), F.size("d").cast("long").alias("characters"), F.get("d", F.lit(0))["value"].alias("first_point"), again.alias("again"))
+    df = read(spark, sf_dir, "documents").select("doc_id", unicode16.utf8_again(F.encode("text", "UTF-8")).alias("u"))
+    return df.select("doc_id", "u.bytes", "u.characters", "u.first_point", F.sha2("u.again", 256).alias("again"))
 
 
 @query("select cast(c as bigint) as code_point from range(0, 1114112) t(c) where c between 9 and 13 or c in (32, 133, 160, 5760) or c between 8192 and 8202 or c in (8232, 8233, 8239, 8287, 12288)")

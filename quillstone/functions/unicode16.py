@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ NEW_IN_16 = """
 #: The 25 White_Space code points.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LIMIT = 0x110000
+#: Bytes or code points that a worker turns into arrays at a time.
+PORTION = 1 << 20
 CLASSES = {"letter": "L", "mark": "M", "number": "N", "punctuation": "P", "symbol": "S", "separator": "Z", "other": "C"}
 
 
@@ -173,16 +178,32 @@ def decoded_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.array(v, np.int32), np.array(n, np.int32), np.array(ok, bool)
 
 
+def encoded_points(cps: np.ndarray) -> bytes:
+    """encode_point of each."""
+    try:
+        return cps.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return b"".join(encode_point(int(c)) for c in cps)
+
+
+def _portions(column: pa.Array, weight: Callable[[pa.Array], pa.Array], most: int = PORTION) -> Iterator[pa.Array]:
+    """A batch's rows in order, in slices of about `most` by weight, a row at least, and all rows of an empty batch."""
+    held = np.cumsum(np.append(0, pc.fill_null(weight(column), 0).to_numpy(zero_copy_only=False))) // most
+    cuts = [0, *(np.flatnonzero(np.diff(held[:-1])) + 1).tolist(), len(column)]
+    return (column.slice(a, b - a) for a, b in itertools.pairwise(cuts) if b > a or not len(column))
+
+
 def utf8_decoded(data: Column) -> Column:
     """array of struct(value, length, valid) over the characters of a binary."""
 
     @F.arrow_udf("array<struct<value int, length int, valid boolean>>")
-    def run(blobs: pa.Array) -> pa.Array:
-        each = [decoded_arrays(b) if b is not None else None for b in blobs.to_pylist()]
-        held = [e for e in each if e is not None]
-        cuts = np.concatenate(([0], np.cumsum([0 if e is None else len(e[0]) for e in each])))
-        columns = [pa.array(np.concatenate([e[i] for e in held]) if held else [], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns, ["value", "length", "valid"]), mask=pa.array([e is None for e in each]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for blobs in (x for b in batches for x in _portions(b, pc.binary_length)):
+            each = [decoded_arrays(b) if b is not None else None for b in blobs.to_pylist()]
+            held = [e for e in each if e is not None]
+            cuts = np.concatenate(([0], np.cumsum([0 if e is None else len(e[0]) for e in each])))
+            columns = [pa.array(np.concatenate([e[i] for e in held]) if held else [], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns, ["value", "length", "valid"]), mask=pa.array([e is None for e in each], pa.bool_()))
 
     return run(data)
 
@@ -190,8 +211,29 @@ def utf8_decoded(data: Column) -> Column:
 def utf8_encoded(cps: Column) -> Column:
     """UTF-8 bytes of an array of code points, not validated."""
 
-    @F.pandas_udf("binary")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else b"".join(encode_point(int(c)) for c in r) for r in rows], dtype=object)
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in (x for b in batches for x in _portions(b, pc.list_value_length)):
+            yield pa.array([None if r is None else encoded_points(np.array(r, np.int64)) for r in rows.to_pylist()], pa.binary())
 
     return run(cps)
+
+
+def utf8_again(data: Column) -> Column:
+    """struct(bytes, characters, first_point, again) of a binary: the sums of what utf8_decoded gives and what utf8_encoded makes of it. Only a row's characters are held at a time, none leave the worker."""
+    names, kinds = ["bytes", "characters", "first_point", "again"], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    @F.arrow_udf("struct<bytes bigint, characters bigint, first_point int, again binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for blobs in (x for b in batches for x in _portions(b, pc.binary_length)):
+            rows = []
+            for b in blobs:
+                if not b.is_valid:
+                    rows.append((None,) * 4)
+                    continue
+                value, length, _ = decoded_arrays(b.as_py())
+                rows.append((int(length.sum()), len(value), int(value[0]) if len(value) else None, encoded_points(value)))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.StructArray.from_arrays(columns, names, mask=pa.array([not b.is_valid for b in blobs], pa.bool_()))
+
+    return run(data)

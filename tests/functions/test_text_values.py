@@ -1,9 +1,12 @@
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import catalog
 from quillstone.functions import strings, unicode16, values
 
 
@@ -51,6 +54,29 @@ def test_utf8_columns(spark):
     assert list(r.p) == [97, 128512, 98] and [tuple(x) for x in r.d] == [(97, 1, True), (255, 1, False)] and bytes(r.e) == "a€".encode() and [tuple(x) for x in r.n] == [("Ll", 2), ("So", 1)]
 
 
+def test_utf8_in_portions(spark):
+    """Texts are decoded and encoded again a few at a time; no characters pass between workers and the JVM."""
+    odd = [0, 0x7F, 0x800, 0xD83D, 0xDE00, 0x10FFFF]
+    for points in (odd, [*odd, 0x110000, 0x1FFFFF], []):
+        assert unicode16.encoded_points(np.array(points, np.int64)) == b"".join(map(unicode16.encode_point, points))
+    blobs = [b"", None, "a\u20ac\U0001f600".encode(), b"\xffa", b"x" * 50, None, b"yz"] * 3
+    parts = list(unicode16._portions(pa.array(blobs, pa.binary()), pc.binary_length, 20))
+    assert pa.concat_arrays(parts).to_pylist() == blobs and len(parts) > 3 and all(sum(len(b or b"") for b in p.to_pylist()[:-1]) <= 40 for p in parts)
+    assert [len(p) for p in unicode16._portions(pa.array([], pa.binary()), pc.binary_length, 20)] == [0]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary").coalesce(1)
+    got = df.select("i", "b", unicode16.utf8_again(F.col("b")).alias("u"), unicode16.utf8_decoded(F.col("b")).alias("d")).collect()
+    assert len(got) == len(blobs)
+    for r in got:
+        assert (r.b is None) == (r.u is None) == (r.d is None)
+        if r.b is not None:
+            d = unicode16.decode_all(bytes(r.b))
+            assert [tuple(x) for x in r.d] == d
+            assert (r.u.bytes, r.u.characters, r.u.first_point) == (len(r.b), len(d), d[0][0] if d else None)
+            assert bytes(r.u.again) == b"".join(unicode16.encode_point(x[0]) for x in d)
+    plan = catalog.queries()["text_utf8"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
 def test_strings(spark):
     df = spark.createDataFrame([(" a,b..c\t",)], "t string")
     c = F.col("t")
