@@ -341,12 +341,14 @@ def search(sets: list[np.ndarray], ns: list[int], percent: int = PERCENT, known:
         forest.join(first.setdefault(label, i), i)
     sizes = np.array(ns, np.int64)
     keys = np.concatenate(sets)
-    who = np.repeat(np.arange(m), [len(s) for s in sets])
+    who = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(keys, kind="stable")  # lists hold classes in ascending order
     postings, listed = who[order], keys[order]
+    del keys, who, order
     heads = np.flatnonzero(np.concatenate(([True], listed[1:] != listed[:-1])))
     stops = np.append(heads[1:], len(listed))
     names = listed[heads]
+    del listed
     #: Every entry as list * m + class, ascending: a binary search finds a class in any list.
     entries = np.repeat(np.arange(len(heads)), stops - heads) * m + postings
 
@@ -402,6 +404,8 @@ def _search(percent: int):
         def finish():
             asked = None if all(r[3] for r in held) else [i for i, r in enumerate(held) if r[3]]
             links = search([np.frombuffer(r[4], np.uint64) for r in held], [r[1] for r in held], percent, [r[2] for r in held], asked)
+            if len(held) > 256:
+                trim()
             return [(held[i][0], held[j][0]) for i, j in links]
 
         def table(pairs):
